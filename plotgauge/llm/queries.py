@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from .chat_format import OP9_SQL, op9_chat_format
+from .line_dedup import OP10_SQL, op10_line_dedup
+from .mixing import OP3_SQL, op3_mixing
 from .piece_codec import op4_piece_codec
 from .token_count import op7_token_count
 
 QUERIES = {
+    "op3_mixing": op3_mixing,
     "op4_piece_codec": op4_piece_codec,
     "op7_token_count": op7_token_count,
+    "op9_chat_format": op9_chat_format,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_mixing": OP3_SQL,
+    "op9_chat_format": OP9_SQL,
+    "op10_line_dedup": OP10_SQL,
+}
