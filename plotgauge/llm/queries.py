@@ -5,11 +5,13 @@ from __future__ import annotations
 from .chat_format import OP9_SQL, op9_chat_format
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import OP3_SQL, op3_mixing
+from .near_dedup import op1_near_dedup
 from .piece_codec import op4_piece_codec
 from .substring_dedup import op5_substring_dedup
 from .token_count import op7_token_count
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op3_mixing": op3_mixing,
     "op4_piece_codec": op4_piece_codec,
     "op5_substring_dedup": op5_substring_dedup,
