@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat_format import OP9_SQL, op9_chat_format
+from .fingerprint import op6_fingerprint
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import OP3_SQL, op3_mixing
 from .near_dedup import op1_near_dedup
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_piece_codec": op4_piece_codec,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_fingerprint": op6_fingerprint,
     "op7_token_count": op7_token_count,
     "op9_chat_format": op9_chat_format,
     "op10_line_dedup": op10_line_dedup,
