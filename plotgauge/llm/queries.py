@@ -4,20 +4,24 @@ from __future__ import annotations
 
 from .chat_format import OP9_SQL, op9_chat_format
 from .fingerprint import op6_fingerprint
+from .language_id import op8_language_id
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import OP3_SQL, op3_mixing
 from .near_dedup import op1_near_dedup
 from .piece_codec import op4_piece_codec
+from .quality import op2_quality
 from .substring_dedup import op5_substring_dedup
 from .token_count import op7_token_count
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_quality": op2_quality,
     "op3_mixing": op3_mixing,
     "op4_piece_codec": op4_piece_codec,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_fingerprint": op6_fingerprint,
     "op7_token_count": op7_token_count,
+    "op8_language_id": op8_language_id,
     "op9_chat_format": op9_chat_format,
     "op10_line_dedup": op10_line_dedup,
 }
