@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import scoring_queries  # noqa: F401
+from . import behaviour_queries, sample_queries, scoring_queries  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
