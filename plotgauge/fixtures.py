@@ -73,7 +73,7 @@ PIXELS = {"spark": _PIXELS.format(div="DIV"), "duckdb": _PIXELS.format(div="//")
 GRAY = {"spark": "SELECT image, pos DIV 8 AS y, pos % 8 AS x, c FROM (@@channels) t", "duckdb": "SELECT image, pos // 8 AS y, pos % 8 AS x, c FROM (@@channels) t"}
 COLOR_DICT = "SELECT image AS idx, CONCAT('c', LPAD(CAST(image AS VARCHAR(10)), 2, '0')) AS name, c0 AS l0, c1 AS l1, c2 AS l2 FROM (@@pixels) t WHERE y = 0 AND x = 0 AND image < 32"
 SIMILAR = """
-SELECT a.name, b.name AS similar FROM (@@color_dict) a JOIN (@@color_dict) b ON b.idx = (a.idx + 1) % 32 OR b.idx = (a.idx + 7) % 32"""
+SELECT a.name, b.name AS similar_name FROM (@@color_dict) a JOIN (@@color_dict) b ON b.idx = (a.idx + 1) % 32 OR b.idx = (a.idx + 7) % 32"""
 
 DETECTIONS = """
 SELECT doc_id AS image, CAST(p.pos AS BIGINT) AS pos, SPLIT_PART(text, ' ', p.pos) AS ref_text,
@@ -100,7 +100,7 @@ ADAPTERS: dict[str, str | dict[str, str]] = {
     "pixels": PIXELS,
     "gray": GRAY,
     "color_dict": COLOR_DICT,
-    "similar": SIMILAR,
+    "color_similarity": SIMILAR,
     "detections": DETECTIONS,
     "feature_positions": FEATURE_POSITIONS,
 }
