@@ -47,8 +47,9 @@ def json_payload(text: Column) -> Column:
 
 
 def valid_json(text: Column) -> Column:
-    """The text if it parses as JSON, else null."""
-    return F.when(F.try_parse_json(text).isNotNull(), text)
+    """The text if all of it is one JSON value, else null. The parser alone would let anything follow the value."""
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return F.when(F.try_parse_json(text).isNotNull() & listed.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull(), text)
 
 
 def json_block(text: Column) -> Column:

@@ -20,6 +20,12 @@ RECORD = T.StructType(
 FILES = ("gen.html", "orig.png", "eval.png", "gen.png")
 
 
+def whole_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value) of text files, each as one row with every character."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", F.decode("content", "UTF-8").alias("value"))
+
+
 def read_eval_tree(spark: SparkSession, root: str) -> DataFrame:
     """(model, task, sample, has_<file>...) of a tree root/model/task/sample/file. Only paths are read, not contents."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
@@ -42,9 +48,8 @@ def pick_reference_image(samples: DataFrame) -> DataFrame:
 
 def read_sample_tree(spark: SparkSession, root: str) -> DataFrame:
     """(sample, html, js) of a tree root/sample/{chart.html, code.js}; null for an absent file."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(root).select("value", F.col("_metadata.file_path").alias("path"))
     parts = F.slice(F.split("path", "/"), -2, 2)
-    rows = files.select(parts[0].alias("sample"), parts[1].alias("file"), "value")
+    rows = whole_texts(spark, root).select(parts[0].alias("sample"), parts[1].alias("file"), "value")
     return rows.groupBy("sample").agg(F.max(F.when(F.col("file") == "chart.html", F.col("value"))).alias("html"), F.max(F.when(F.col("file") == "code.js", F.col("value"))).alias("js"))
 
 
@@ -57,7 +62,7 @@ def flatten_results(files: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_results_json(spark: SparkSession, path: str) -> DataFrame:
-    return flatten_results(spark.read.option("wholetext", "true").text(path))
+    return flatten_results(whole_texts(spark, path))
 
 
 def read_model_coefficients(spark: SparkSession, path: str) -> DataFrame:
@@ -124,8 +129,8 @@ def color_counts(images: DataFrame) -> DataFrame:
 
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
     """(name, template) of a folder of text files."""
-    rows = spark.read.option("wholetext", "true").text(path).select("value", F.col("_metadata.file_name").alias("file"))
-    return rows.select(F.regexp_replace("file", r"\.[^.]*$", "").alias("name"), F.col("value").alias("template"))
+    name = F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "")
+    return whole_texts(spark, path).select(name.alias("name"), F.col("value").alias("template"))
 
 
 def sample_order(samples: DataFrame, name: str = "sample") -> DataFrame:
@@ -138,5 +143,5 @@ def sample_order(samples: DataFrame, name: str = "sample") -> DataFrame:
 
 def read_sample_order(spark: SparkSession, path: str) -> DataFrame:
     """(sample, position) as a summary file (a JSON list of records) lists them."""
-    rows = spark.read.option("wholetext", "true").text(path).select(F.from_json("value", "array<struct<sample:string>>").alias("_l"))
+    rows = whole_texts(spark, path).select(F.from_json("value", "array<struct<sample:string>>").alias("_l"))
     return rows.select(F.posexplode("_l").alias("position", "_s")).select(F.col("_s.sample").alias("sample"), F.col("position").cast("long").alias("position"))
