@@ -78,7 +78,7 @@ def a04(spark, d):
 
 @query("a04_composite_per_sample", f"""
 , rec AS (SELECT *, {_ERR} <= 0 AS ok FROM eval_records)
-SELECT model, task, round(avg(CASE WHEN ok THEN {_CLIP.format("data_fidelity")} * 0.3 + ocr_f1 * 0.2 + {_CLIP.format("visual_logic")} * 0.2 + {_CLIP.format("style")} * 0.15 + color_iou * 0.15 ELSE 0 END), 6) AS score
+SELECT model, task, round(round(avg(CASE WHEN ok THEN {_CLIP.format("data_fidelity")} * 0.3 + ocr_f1 * 0.2 + {_CLIP.format("visual_logic")} * 0.2 + {_CLIP.format("style")} * 0.15 + color_iou * 0.15 ELSE 0 END), 9), 6) AS score
 FROM rec GROUP BY model, task""", USES)
 def a04b(spark, d):
     return S.composite_score(S.metric_means(records(spark, d), "per_sample")).select("model", "task", F.round("score", 6).alias("score"))
