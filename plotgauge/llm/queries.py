@@ -7,10 +7,10 @@ from .fingerprint import op6_fingerprint
 from .language_id import op8_language_id
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import OP3_SQL, op3_mixing
-from .near_dedup import op1_near_dedup
+from .near_dedup import OP1_SQL, op1_near_dedup
 from .piece_codec import op4_piece_codec
 from .quality import op2_quality
-from .substring_dedup import op5_substring_dedup
+from .substring_dedup import OP5_SQL, op5_substring_dedup
 from .token_count import op7_token_count
 
 QUERIES = {
@@ -27,7 +27,9 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_near_dedup": OP1_SQL,
     "op3_mixing": OP3_SQL,
+    "op5_substring_dedup": OP5_SQL,
     "op9_chat_format": OP9_SQL,
     "op10_line_dedup": OP10_SQL,
 }

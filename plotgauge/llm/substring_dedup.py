@@ -171,3 +171,15 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(documents(spark, sf_dir), with_text=False).withColumnRenamed("kept", "kept_sha256")
+
+
+OP5_SQL = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + {MIN_WORDS - 1}], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {MIN_WORDS - 2})) AS i FROM w WHERE len(ws) >= {MIN_WORDS})),
+early AS (SELECT h, min(doc_id) AS least FROM win GROUP BY h),
+later AS (SELECT DISTINCT win.doc_id, i FROM win JOIN early ON early.h = win.h WHERE least < win.doc_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM later, range({MIN_WORDS}) t(k)),
+each AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+kept AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.p) AS text, count(*) AS n FROM each e ANTI JOIN gone g ON g.doc_id = e.doc_id AND g.p = e.p GROUP BY e.doc_id)
+SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
+"""
