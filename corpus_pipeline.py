@@ -38,7 +38,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates, the one of smallest id; of rows with the same id, the one of least text. Rows of null id stay."""
     found = write_table(near_dedup.near_components(docs).select("doc_id", "kept"), "near")
-    gone = found.where("NOT kept").select("doc_id").distinct()
+    # written by itself, so that Spark knows its size: while it is small it goes to the texts, not the texts through a shuffle
+    gone = write_table(found.where("NOT kept").select("doc_id").distinct(), "near-gone")
     left = docs.join(gone, "doc_id", "left_anti").select(*_quoted(docs))
     if found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count() == 0:
         return left
