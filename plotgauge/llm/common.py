@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import hashlib
+import re
 import uuid
 
 import numpy as np
@@ -17,6 +18,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Used where ``spark.checkpoint.dir`` is unset, as in local tests.
 LOCAL_SHARED = "/tmp/plotgauge-shared"
 
+#: Bytes of a very long text that are worked on at a time.
+STRETCH = 1 << 20
+_BLANK = re.compile(rb"[ \t-\r]")
+
 _MADE: dict[str, list[str]] = {}
 
 
@@ -81,6 +86,19 @@ class HashMemo(dict):
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
+    def of_text(self, raw: bytes) -> np.ndarray:
+        """Hashes of a text's words in order. A very long text is split a stretch at a time, so its words never all stand in memory."""
+        if len(raw) <= STRETCH:
+            return self.of(raw.split())
+        parts, low = [], 0
+        while low < len(raw):
+            gap = _BLANK.search(raw, low + STRETCH)
+            high = gap.start() if gap else len(raw)
+            parts.append(self.of(raw[low:high].split()))
+            self.trim()
+            low = high
+        return np.concatenate(parts)
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser, so that sums and minima of the results behave like random numbers."""

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_of, documents, sha256_hex, write_table
+from .common import STRETCH, bytes_of, documents, sha256_hex, write_table
 
 WINDOW = 64  # bytes of a feature, and features of a neighbourhood in which ranks are compared
 POPULAR = 16  # neighbourhoods a feature must win
@@ -52,6 +52,24 @@ def leftmost_best(rank: np.ndarray) -> np.ndarray:
     return n - (best & ((1 << 40) - 1))
 
 
+def popular_windows(raw: bytes) -> list[int]:
+    """Places of the windows that win 16 neighbourhoods or more. A very long text is ranked a stretch at a time, each with the margins that its wins depend on."""
+    n, margin, chosen = len(raw) - WINDOW + 1, WINDOW - 1, []
+    for low in range(0, n, STRETCH):
+        high = min(n, low + STRETCH)
+        begin, end = max(0, low - margin), min(n, high + margin)
+        entropy = window_entropy(np.frombuffer(raw[begin : end + margin], np.uint8))
+        rank = np.where(entropy < LOWEST_BITS, 0, 1 + np.minimum(np.abs(entropy - TYPICAL_BITS) * 64, 254)).astype(np.uint8)
+        if n >= WINDOW:
+            wins = np.bincount(leftmost_best(rank), minlength=len(rank))
+        else:
+            wins = np.zeros(len(rank), np.int64)
+            wins[rank.argmax()] = POPULAR
+        own = slice(low - begin, high - begin)
+        chosen += (np.flatnonzero((wins[own] >= POPULAR) & (rank[own] > 0)) + low).tolist()
+    return chosen
+
+
 def features(raw: bytes) -> np.ndarray:
     """64-bit hashes of the chosen features in order, each once.
 
@@ -61,14 +79,7 @@ def features(raw: bytes) -> np.ndarray:
     if not raw:
         return np.empty(0, np.uint64)
     if len(raw) >= WINDOW:
-        entropy = window_entropy(np.frombuffer(raw, np.uint8))
-        rank = np.where(entropy < LOWEST_BITS, 0, 1 + np.minimum(np.abs(entropy - TYPICAL_BITS) * 64, 254)).astype(np.uint8)
-        if len(rank) >= WINDOW:
-            wins = np.bincount(leftmost_best(rank), minlength=len(rank))
-        else:
-            wins = np.zeros(len(rank), np.int64)
-            wins[rank.argmax()] = POPULAR
-        chosen = np.flatnonzero((wins >= POPULAR) & (rank > 0)).tolist()
+        chosen = popular_windows(raw)
         if chosen:
             digest = xxhash.xxh64_intdigest
             return np.array(list(dict.fromkeys([digest(raw[i : i + WINDOW]) for i in chosen])), np.uint64)

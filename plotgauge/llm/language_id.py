@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .common import documents
+from .common import STRETCH, documents
 
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -39,17 +39,18 @@ def held_out(id_: Column) -> Column:
 
 def gram_features(text: str, p: LanguageParams) -> tuple[np.ndarray, np.ndarray]:
     """Features of a text and how often each occurs."""
-    b = np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8).astype(np.uint64)
-    parts = []
+    raw = text.lower().encode("utf-8", "replace")
+    counts = np.zeros(1 << p.bits, np.int64)
     with np.errstate(over="ignore"):
-        for order in p.orders:
-            n = len(b) - order + 1
-            if n > 0:
-                h = np.full(n, order, np.uint64)
-                for k in range(order):
-                    h = h * np.uint64(257) + b[k : k + n]
-                parts.append(((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - p.bits)).astype(np.int64))
-    counts = np.bincount(np.concatenate(parts), minlength=1 << p.bits) if parts else np.zeros(1 << p.bits, np.int64)
+        for low in range(0, len(raw), STRETCH):  # stretches share what the longest n-gram needs
+            b = np.frombuffer(raw[low : low + STRETCH + max(p.orders) - 1], np.uint8).astype(np.uint64)
+            for order in p.orders:
+                n = min(STRETCH, len(b) - order + 1)
+                if n > 0:
+                    h = np.full(n, order, np.uint64)
+                    for k in range(order):
+                        h = h * np.uint64(257) + b[k : k + n]
+                    counts += np.bincount(((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - p.bits)).astype(np.int64), minlength=1 << p.bits)
     at = np.flatnonzero(counts)
     return at, counts[at]
 

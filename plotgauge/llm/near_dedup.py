@@ -28,10 +28,9 @@ class NearParams:
 
 def shingle_set(raw: bytes, memo: HashMemo, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's word shingles; A-Z count as lower case, fewer words make one shingle."""
-    found = raw.lower().split()
-    if not found:
+    h = memo.of_text(raw.lower())
+    if not len(h):
         return np.empty(0, np.int64)
-    h = memo.of(found)
     out = window_hashes(h, min(words, len(h)))
     with np.errstate(over="ignore"):  # a short text's one shingle is no other text's full one
         out = mix(out + np.uint64(min(words, len(h))))

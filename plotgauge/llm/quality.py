@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, documents
+from .common import STRETCH, bytes_of, documents
 
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -38,6 +38,12 @@ def hashed_grams(raw: bytes, gram: int, bits: int) -> np.ndarray:
         return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def stretches(raw: bytes, gram: int):
+    """A text in stretches that share gram - 1 bytes, so that each n-gram lies in one of them."""
+    for low in range(0, max(len(raw), 1), STRETCH):
+        yield raw[low : low + STRETCH + gram - 1]
+
+
 def gram_counts(df: DataFrame, labels: DataFrame, p: QualityParams, id_col: str, text_col: str) -> DataFrame:
     """(class, raw, target): n-gram counts of all texts, and of the trusted ones, those labelled quality 1.
 
@@ -51,10 +57,11 @@ def gram_counts(df: DataFrame, labels: DataFrame, p: QualityParams, id_col: str,
         raw, target = np.zeros(1 << p.bits, np.int64), np.zeros(1 << p.bits, np.int64)
         for batch in batches:
             for text, good in zip(batch.column(0), batch.column(1)):
-                counts = np.bincount(hashed_grams(text.as_py(), p.gram, p.bits), minlength=1 << p.bits)
-                raw += counts
-                if good.as_py():
-                    target += counts
+                for part in stretches(text.as_py(), p.gram):
+                    counts = np.bincount(hashed_grams(part, p.gram, p.bits), minlength=1 << p.bits)
+                    raw += counts
+                    if good.as_py():
+                        target += counts
         at = np.flatnonzero(raw)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(target[at])], names=["class", "raw", "target"])
@@ -118,8 +125,8 @@ def quality_rules(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
             for text in batch.column(1):
                 raw = text.as_py()
                 base.append(base_counts(raw, p))
-                grams = hashed_grams(raw, p.gram, p.bits)
-                ratios.append(round(float(w[grams].mean()), 6) if len(grams) else 0.0)
+                total = sum(float(w[hashed_grams(part, p.gram, p.bits)].sum()) for part in stretches(raw, p.gram))
+                ratios.append(round(total / max(1, len(raw) - p.gram + 1), 6))
             columns = [pa.array(x, pa.int64()) for x in zip(*base)] if base else [pa.array([], pa.int64())] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(ratios, pa.float64())], names=["id", *names, "ratio"])
 

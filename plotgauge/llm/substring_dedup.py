@@ -63,10 +63,10 @@ def _seed_rows(rows: DataFrame, min_words: int, seed_words: int) -> DataFrame:
         for batch in batches:
             out = []
             for i, raw in enumerate(batch.column(2)):
-                words = raw.as_py().split()
+                words = memo.of_text(raw.as_py())
                 if len(words) < min_words:
                     continue
-                seed, context, first, last = anchors(Spans(memo.of(words)), len(words), min_words, seed_words)
+                seed, context, first, last = anchors(Spans(words), len(words), min_words, seed_words)
                 out.append((np.full(len(seed), i), seed.view(np.int64), context.view(np.int64), first.astype(np.int32), last.astype(np.int32)))
             memo.trim()
             if out:
@@ -88,8 +88,7 @@ def _extended(rows: DataFrame, asked: DataFrame, min_words: int) -> DataFrame:
             out = []
             ids = batch.column(0).to_pylist()
             for i, raw in enumerate(batch.column(1)):
-                words = raw.as_py().split()
-                spans = Spans(memo.of(words))
+                spans = Spans(memo.of_text(raw.as_py()))
                 seed, context, first, last = (np.array(batch.column(c)[i].as_py(), np.int64) for c in range(2, 6))
                 size = last - first + 1
                 which = np.repeat(np.arange(len(size)), size)

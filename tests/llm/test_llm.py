@@ -383,3 +383,25 @@ def test_lines(docs, empty, nulls):
     assert got.columns == [*docs.columns, "_n_lines", "_n_removed", "_kept_text"]
     assert line_dedup.dedup_lines(empty).count() == 0
     assert line_dedup.dedup_lines(nulls).count() == 5
+
+
+# --- very long texts
+
+
+@pytest.mark.parametrize("stretch", [128, 777, 1000])
+def test_stretches_change_nothing(monkeypatch, stretch):
+    from plotgauge.llm import common
+
+    rng = random.Random(1)
+    raw = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 9))) for _ in range(2000)).encode()
+
+    def found():
+        counts = sum(np.bincount(quality.hashed_grams(x, 4, 16), minlength=1 << 16) for x in quality.stretches(raw, 4))
+        features = language_id.gram_features(raw.decode(), language_id.LanguageParams())
+        windows = [fingerprint.popular_windows(raw[:n]) for n in (64, 100, 127, 130, len(raw))]
+        return counts.tolist(), features[0].tolist(), features[1].tolist(), windows, common.HashMemo().of_text(raw).tolist()
+
+    whole = found()
+    for module in (common, quality, language_id, fingerprint):
+        monkeypatch.setattr(module, "STRETCH", stretch)
+    assert found() == whole
