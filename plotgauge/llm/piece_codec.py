@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bytes_of, documents, sha256_hex
-from .pieces import Pieces, load, words_of
+from .pieces import STRETCH, Pieces, load, stretches, words_of
 
 MODEL = "piece_bpe_32k.model"
 #: Distinct words remembered by a worker; the memo starts anew beyond it.
@@ -121,14 +121,25 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[tuple[str, int]]:
         """The decimal ids joined by commas, and their number, of each text."""
-        cut = [words_of(t, self.pieces) for t in texts]
-        self.learn(set().union(*cut))
+        out, held, owners = [[] for _ in texts], [], []
+        for i, text in enumerate(texts):
+            for stretch in stretches(text) if text else ():
+                held.append(words_of(stretch, self.pieces))
+                owners.append(i)
+                if len(stretch) >= STRETCH:
+                    self._flush(held, owners, out)
+        self._flush(held, owners, out)
+        joined = [",".join(parts) for parts in out]
+        return [(ids, ids.count(",") + 1 if ids else 0) for ids in joined]
+
+    def _flush(self, held: list[list[str]], owners: list[int], out: list[list[str]]) -> None:
+        """Encode the stretches held so far and put their ids to their texts."""
+        self.learn(set().union(*held))
         get = self.memo.__getitem__
-        out = []
-        for words in cut:
-            joined = ",".join(map(get, words))
-            out.append((joined, joined.count(",") + 1 if words else 0))
-        return out
+        for i, words in zip(owners, held):
+            out[i].append(",".join(map(get, words)))
+        held.clear()
+        owners.clear()
 
 
 def portions(column, size: int = 1_000_000):

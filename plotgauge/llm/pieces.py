@@ -7,6 +7,8 @@ import functools
 import numpy as np
 import sentencepiece
 
+#: Characters of a very long text that are worked on at a time.
+STRETCH = 1 << 20
 #: Stands for a space inside pieces.
 SPACE = "▁"
 
@@ -78,18 +80,27 @@ def load(path: str) -> Pieces:
     return Pieces(path)
 
 
-def words_of(text: str, pieces: Pieces) -> list[str]:
-    """Cut a text into the stretches that merge on their own, so that their joined pieces are the text's pieces.
+def stretches(text: str):
+    """The text with the space that encoding puts before it, in stretches that end where a space follows another character. No piece crosses such a place."""
+    s = " " + text.replace(SPACE, " ")
+    low = 0
+    while low < len(s):
+        high = s.find(" ", low + STRETCH)
+        while high > 0 and s[high - 1] == " ":
+            high = s.find(" ", high + 1)
+        yield s[low:] if high < 0 else s[low:high]
+        low = len(s) if high < 0 else high
 
-    No piece has a space sign after another character, so a stretch is a run of space signs and what follows it.
+
+def words_of(stretch: str, pieces: Pieces) -> list[str]:
+    """Cut a stretch into the words that merge on their own, so that their joined pieces are the text's pieces.
+
+    No piece has a space sign after another character, so a word is a run of space signs and what follows it.
     Long runs of spaces are cut into the blocks that leftmost merges make of them anyway.
     """
-    if not text:
-        return []
-    parts = (" " + text).replace(" ", SPACE).split(SPACE)
     out: list[str] = []
     run, most = 0, pieces.space_run
-    for part in parts[1:]:
+    for part in stretch.split(" ")[1:]:
         run += 1
         if part:
             while most and run > 2 * most:
@@ -102,6 +113,4 @@ def words_of(text: str, pieces: Pieces) -> list[str]:
         run -= most
     if run:
         out.append(SPACE * run)
-    if parts[0]:
-        out.insert(0, parts[0])
     return out

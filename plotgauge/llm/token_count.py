@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bytes_of, documents
-from .pieces import Pieces, load, words_of
+from .pieces import Pieces, load, stretches, words_of
 
 MODEL = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
@@ -77,6 +77,12 @@ class CountMemo(dict):
         return value
 
 
+def count_text(text: str, memo: CountMemo) -> int:
+    if not text:
+        return 0
+    return sum(sum(map(memo.__getitem__, words_of(stretch, memo.pieces))) for stretch in stretches(text))
+
+
 def count_tokens(df: DataFrame, model: str, limit: int = TOKEN_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Count the tokens of every whole text: (id, n_bytes, n_tokens, over_limit), one row per input row.
 
@@ -92,7 +98,7 @@ def count_tokens(df: DataFrame, model: str, limit: int = TOKEN_LIMIT, id_col: st
             for raw in batch.column(1):
                 raw = raw.as_py()
                 sizes.append(len(raw))
-                counts.append(sum(map(memo.__getitem__, words_of(raw.decode("utf-8", "replace"), p))))
+                counts.append(count_text(raw.decode("utf-8", "replace"), memo))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], names=[id_col, "n_bytes", "n_tokens"])
 
     kind = df.schema[id_col].dataType.simpleString()

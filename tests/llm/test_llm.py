@@ -212,12 +212,16 @@ def awkward_texts():
     return out + ["".join(rng.choice("abcdeeetttiiioonns  ▁\né日本_-=<>/0123") for _ in range(rng.randint(1, 120))) for _ in range(1500)]
 
 
-def test_pieces_equal_the_library():
+@pytest.mark.parametrize("stretch", [1 << 20, 40])
+def test_pieces_equal_the_library(monkeypatch, stretch):
+    monkeypatch.setattr(pieces, "STRETCH", stretch)
+    monkeypatch.setattr(piece_codec, "STRETCH", stretch)
     sp, texts = library(), awkward_texts()
-    p, memo = pieces.load(MODEL), token_count.CountMemo(pieces.load(MODEL))
+    p = pieces.load(MODEL)
+    memo = token_count.CountMemo(p)
     for text, (ids, n), expected in zip(texts, piece_codec.Encoder(MODEL).encode(texts), sp.encode(texts)):
         assert ids == ",".join(map(str, expected)) and n == len(expected)
-        assert sum(map(memo.__getitem__, pieces.words_of(text, p))) == n
+        assert token_count.count_text(text, memo) == n
         assert piece_codec.decode(np.array(expected, np.int64), p) == sp.decode(expected)
 
 
