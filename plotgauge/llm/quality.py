@@ -47,11 +47,11 @@ def stretches(raw: bytes, gram: int):
 def gram_counts(df: DataFrame, labels: DataFrame, p: QualityParams, id_col: str, text_col: str) -> DataFrame:
     """(class, raw, target): n-gram counts of all texts, and of the trusted ones, those labelled quality 1.
 
-    Every task adds up its own counts first, so what is shuffled is at most 2^bits rows a task. Labels meet the texts by
-    id; Spark broadcasts them only where it finds them small.
+    Every task adds up its own counts first, so what is shuffled of them is at most 2^bits rows a task. Labels meet the
+    texts by id in a sort-merge join at every size, as labels grow with the documents.
     """
     trusted = labels.where("quality = 1").select(F.col("doc_id").alias("_id")).distinct().withColumn("_trusted", F.lit(True))
-    rows = df.select(F.col(id_col).alias("_id"), bytes_of(text_col).alias("text")).join(trusted, "_id", "left").select("text", F.coalesce("_trusted", F.lit(False)).alias("trusted"))
+    rows = df.select(F.col(id_col).alias("_id"), bytes_of(text_col).alias("text")).join(trusted.hint("merge"), "_id", "left").select("text", F.coalesce("_trusted", F.lit(False)).alias("trusted"))
 
     def run(batches):
         raw, target = np.zeros(1 << p.bits, np.int64), np.zeros(1 << p.bits, np.int64)
