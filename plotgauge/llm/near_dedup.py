@@ -188,13 +188,15 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hub = parts.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
     member = member.join(hub, "hub", "left").withColumn("straggler", F.col("component") != F.coalesce("hub_component", "hub")).drop("hub_component")
     blocks = member.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / p.block).alias("mb"), F.ceil(F.sum(F.col("straggler").cast("long")) / p.block).alias("sb")).where("sb > 0")
+    blocks = write_table(blocks, "blocks")  # a plain table, so that Spark can split a large group's rows in the join
     member = write_table(member.join(blocks, "hub"), "members")
     own = F.xxhash64("id")
     as_member = member.select("hub", "id", "component", F.lit(False).alias("straggler"), F.pmod(own, "mb").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("sb") - 1)).alias("x"))
     as_straggler = member.where("straggler").select("hub", "id", "component", "straggler", F.pmod(own, "sb").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("mb") - 1)).alias("y"))
     tasks = as_member.unionByName(as_straggler).join(sets, "id")
-    more = tasks.groupBy("hub", "x", "y").applyInPandas(_block_links(p), "a long, b long")
-    parts = connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    more = write_table(tasks.groupBy("hub", "x", "y").applyInPandas(_block_links(p), "a long, b long"), "more-links")
+    if more.limit(1).count():
+        parts = connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     rep = classes.where("size > 1").select("s1", "s2", "rep")
     out = known.select("id", "n", "s1", "s2").join(rep, ["s1", "s2"], "left").withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")))
