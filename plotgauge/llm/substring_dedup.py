@@ -113,7 +113,9 @@ def repeated_spans(rows: DataFrame, min_words: int = MIN_WORDS, seed_words: int
     seeds = write_table(_seed_rows(rows, min_words, seed_words), "seeds")
     # which seeds do several documents have, and do their surroundings differ
     found = seeds.groupBy("seed").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min("context").alias("c1"), F.max("context").alias("c2")).where("least < most")
-    shared = write_table(seeds.join(found.select("seed", "least", (F.col("c1") == F.col("c2")).alias("alike")), "seed"), "shared-seeds")
+    # written, so that both sides of the join are plain tables and Spark can split a hot seed's rows
+    found = write_table(found.select("seed", "least", (F.col("c1") == F.col("c2")).alias("alike")), "found-seeds")
+    shared = write_table(seeds.join(found, "seed"), "shared-seeds")
     whole = [shared.where("alike AND id > least").select("id", "version", F.col("first").alias("start"), (F.col("last") + min_words).alias("end"))]
 
     mixed = shared.where("NOT alike")
@@ -125,6 +127,7 @@ def repeated_spans(rows: DataFrame, min_words: int = MIN_WORDS, seed_words: int
 
     windows = write_table(_extended(rows, one, min_words), "windows")
     earlier = windows.groupBy("seed", "window").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("seed", "window", "least")
+    earlier = write_table(earlier, "earlier")
     hits = windows.join(earlier, ["seed", "window"]).where("id > least").groupBy("seed", "context").agg(F.collect_set("at").alias("hits"))
     parts = mixed.where("id = own").join(hits, ["seed", "context"]).select("id", "version", "first", F.explode("hits").alias("at"))
     whole.append(parts.select("id", "version", (F.col("first") + F.col("at")).alias("start"), (F.col("first") + F.col("at") + min_words).alias("end")))
