@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, write_table
 
 WINDOW = 3
 
@@ -23,6 +23,8 @@ def repeated_windows(df: DataFrame, id_col: str, text_col: str, window: int = WI
     windows = rows.select("_id", "_version", F.posexplode(hashed).alias("_at", "_h")).select("_id", "_version", "_at", "_h.a", "_h.b")
     # counting combines on the map side, so a window that a third of all documents share stays small
     first = windows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_id", "_at")).alias("_first")).where("_n > 1").select("a", "b", "_first")
+    # written, so that both sides of the join are plain tables and Spark can split a hot window's rows, or send a small side around
+    first = write_table(first, "first-windows")
     return windows.join(first, ["a", "b"]).where(F.struct("_id", "_at") != F.col("_first")).select("_id", "_version", "_at")
 
 
