@@ -122,14 +122,15 @@ def repeated_spans(rows: DataFrame, min_words: int = MIN_WORDS, seed_words: int
     one = mixed.groupBy("seed", "context").agg(F.min(F.struct("id", "version", "first", "last")).alias("one")).select("seed", "context", "one.*")
     one = write_table(one, "contexts")
     least = one.select("seed", "context", F.col("id").alias("own"))
-    mixed = mixed.join(least, ["seed", "context"])
-    whole.append(mixed.where("id > own").select("id", "version", F.col("first").alias("start"), (F.col("last") + min_words).alias("end")))
+    later = mixed.join(least, ["seed", "context"]).where("id > own")
+    whole.append(later.select("id", "version", F.col("first").alias("start"), (F.col("last") + min_words).alias("end")))
 
     windows = write_table(_extended(rows, one, min_words), "windows")
     earlier = windows.groupBy("seed", "window").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("seed", "window", "least")
     earlier = write_table(earlier, "earlier")
-    hits = windows.join(earlier, ["seed", "window"]).where("id > least").groupBy("seed", "context").agg(F.collect_set("at").alias("hits"))
-    parts = mixed.where("id = own").join(hits, ["seed", "context"]).select("id", "version", "first", F.explode("hits").alias("at"))
+    hits = windows.join(earlier, ["seed", "window"]).where("id > least").groupBy("seed", "context", "id").agg(F.collect_set("at").alias("hits"))
+    # the first document of a context has it in few places, so this join has no hot key
+    parts = mixed.join(write_table(hits, "hits"), ["seed", "context", "id"]).select("id", "version", "first", F.explode("hits").alias("at"))
     whole.append(parts.select("id", "version", (F.col("first") + F.col("at")).alias("start"), (F.col("first") + F.col("at") + min_words).alias("end")))
     return whole[0].unionByName(whole[1]).unionByName(whole[2])
 
