@@ -14,6 +14,9 @@ from .common import HashMemo, bytes_of, documents, mix, write_table
 #: Words of a repeat at least, and of a seed. Every repeat holds the same seeds wherever it stands.
 MIN_WORDS, SEED_WORDS = 50, 12
 
+#: Rows that a task makes of its documents before it hands them on.
+ROWS_AT_ONCE = 100_000
+
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 _INVERSE = pow(_BASE, -1, 2**64)
 
@@ -84,8 +87,12 @@ def _extended(rows: DataFrame, asked: DataFrame, min_words: int) -> DataFrame:
 
     def run(batches):
         memo = HashMemo()
+
+        def rows_of(out):
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["id", "seed", "context", "at", "window"])
+
         for batch in batches:
-            out = []
+            out, held = [], 0
             ids = batch.column(0).to_pylist()
             for i, raw in enumerate(batch.column(1)):
                 spans = Spans(memo.of_text(raw.as_py()))
@@ -95,9 +102,13 @@ def _extended(rows: DataFrame, asked: DataFrame, min_words: int) -> DataFrame:
                 at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                 start = first[which] + at
                 out.append((np.full(len(at), ids[i]), seed[which], context[which], at.astype(np.int32), spans.of(start, start + min_words).view(np.int64)))
+                held += len(at)
+                if held >= ROWS_AT_ONCE:
+                    yield rows_of(out)
+                    out, held = [], 0
             memo.trim()
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["id", "seed", "context", "at", "window"])
+                yield rows_of(out)
 
     return joined.mapInArrow(run, "id long, seed long, context long, at int, window long")
 
