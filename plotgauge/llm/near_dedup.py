@@ -44,6 +44,13 @@ def signature(values: np.ndarray) -> tuple[int, int]:
         return int(mix(u).sum(dtype=np.uint64).view(np.int64)), int(mix(u ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64))
 
 
+def least_shown(n: int, p: NearParams) -> int:
+    """Of a set of n <= `listed` values, the fewest that also stand in the list of a linked partner: one of m values shares
+    percent * (n + m) / (100 + percent) or more, of which it may leave out m - `listed`."""
+    sizes = range(-(-n * p.percent // 100), n * 100 // p.percent + 1)
+    return max(1, min(-(-p.percent * (n + m) // (100 + p.percent)) - max(0, m - p.listed) for m in sizes))
+
+
 def sketches(rows: DataFrame, p: NearParams) -> DataFrame:
     """(id, n, s1, s2, sketch) of rows (id, text as bytes)."""
 
@@ -159,7 +166,8 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keys = usable.select("id", "s1", "s2", "n", F.slice("sketch", 1, p.listed).alias("low")).join(reps, ["id", "s1", "s2"]).select("id", "n", F.explode("low").alias("value")).distinct()
     often = keys.groupBy("value").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select("value")
     shared = keys.join(often, "value").groupBy("id").agg(F.max("n").alias("n"), F.collect_list("value").alias("low"))
-    need = F.when(F.col("n") <= p.listed, F.ceil(F.col("n") * p.percent / 100)).otherwise(max(1, p.listed * 3 // 16))
+    shown = F.array(*[F.lit(least_shown(n, p)) for n in range(1, p.listed + 1)])
+    need = F.when(F.col("n") <= p.listed, F.get(shown, F.col("n").cast("int") - 1)).otherwise(max(1, p.listed * 3 // 16))
     alive = write_table(shared.where(F.size("low") >= need), "alive")
     keys = alive.select("id", "n", F.explode("low").alias("value"))
     lists = keys.groupBy("value").agg(F.count(F.lit(1)).alias("f"), F.min("id").alias("hub")).where("f > 1")

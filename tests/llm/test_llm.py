@@ -105,6 +105,20 @@ def test_near_components(docs, params):
     assert collected(near_dedup.near_components(docs, p=params), "n_shingles", "component_id", "kept") == near_expected(corpus())
 
 
+def test_near_short_supersets(spark):
+    """Sets of 12 to 24 shingles and their largest linked supersets, each pair without other partners."""
+    rng, texts = random.Random(11), []
+    for n in range(12, 25):
+        for k in range(20):
+            w = [f"s{n}x{k}x{rng.randrange(10**9)}" for _ in range(n * 100 // 75 + 4)]
+            texts += [" ".join(w[: n + 4]), " ".join(w)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got, expected = collected(near_dedup.near_components(df), "n_shingles", "component_id", "kept"), near_expected(texts)
+    assert sum(not kept for _, _, kept in expected.values()) == 260
+    lost = collections.Counter(expected[i][0] for i in expected if got[i] != expected[i])
+    assert not lost, f"of 20 pairs each, by the superset's size: {dict(lost)}"
+
+
 def test_near_awkward(empty, nulls):
     assert near_dedup.near_components(empty).count() == 0
     rows = near_dedup.near_components(nulls).collect()
