@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import STRETCH, bytes_of, documents
+from .common import STRETCH, bytes_of, documents, write_table
 
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -44,29 +44,50 @@ def stretches(raw: bytes, gram: int):
         yield raw[low : low + STRETCH + gram - 1]
 
 
-def gram_counts(df: DataFrame, labels: DataFrame, p: QualityParams, id_col: str, text_col: str) -> DataFrame:
+def language_shares(rows: DataFrame, p: QualityParams) -> DataFrame:
+    """(of, share): the trusted part of each language's n-grams, from rows (lang, text, trusted); a null language is one of its own."""
+    grams = F.greatest(F.octet_length("text") - (p.gram - 1), F.lit(0)).cast("long")
+    sums = rows.select("lang", "trusted", grams.alias("n")).groupBy("lang").agg(F.sum("n").alias("raw"), F.sum(F.when(F.col("trusted"), F.col("n")).otherwise(0)).alias("target"))
+    return write_table(sums.select(F.col("lang").alias("of"), (F.col("target") / F.greatest("raw", F.lit(1))).alias("share")), "language-shares")
+
+
+def gram_counts(df: DataFrame, labels: DataFrame, p: QualityParams, id_col: str, text_col: str, lang_col: str | None = None) -> DataFrame:
     """(class, raw, target): n-gram counts of all texts, and of the trusted ones, those labelled quality 1.
 
+    With `lang_col`, a text's raw counts are weighted by the trusted part of its language, so that each language weighs the
+    same in both.
+
     Every task adds up its own counts first, so what is shuffled of them is at most 2^bits rows a task. Labels meet the
     texts by id in a sort-merge join at every size, as labels grow with the documents.
     """
     trusted = labels.where("quality = 1").select(F.col("doc_id").alias("_id")).distinct().withColumn("_trusted", F.lit(True))
-    rows = df.select(F.col(id_col).alias("_id"), bytes_of(text_col).alias("text")).join(trusted.hint("merge"), "_id", "left").select("text", F.coalesce("_trusted", F.lit(False)).alias("trusted"))
+    lang = F.lit(None).cast("string") if lang_col is None else F.col(lang_col)
+    rows = df.select(F.col(id_col).alias("_id"), lang.alias("lang"), bytes_of(text_col).alias("text"))
+
+    def marked(rows: DataFrame) -> DataFrame:
+        return rows.join(trusted.hint("merge"), "_id", "left").withColumn("trusted", F.coalesce("_trusted", F.lit(False)))
+
+    if lang_col is None:
+        rows = rows.withColumn("share", F.lit(1.0))
+    else:
+        shares = language_shares(marked(rows), p)
+        rows = rows.join(shares, F.col("lang").eqNullSafe(F.col("of")))
+    rows = marked(rows.select("_id", "text", "share")).select("text", "trusted", "share")
 
     def run(batches):
-        raw, target = np.zeros(1 << p.bits, np.int64), np.zeros(1 << p.bits, np.int64)
+        raw, target = np.zeros(1 << p.bits), np.zeros(1 << p.bits, np.int64)
         for batch in batches:
-            for text, good in zip(batch.column(0), batch.column(1)):
+            for text, good, share in zip(batch.column(0), batch.column(1), batch.column(2)):
                 for part in stretches(text.as_py(), p.gram):
                     counts = np.bincount(hashed_grams(part, p.gram, p.bits), minlength=1 << p.bits)
-                    raw += counts
+                    raw += counts * share.as_py()
                     if good.as_py():
                         target += counts
         at = np.flatnonzero(raw)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(target[at])], names=["class", "raw", "target"])
 
-    return rows.mapInArrow(run, "class int, raw long, target long").groupBy("class").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    return rows.mapInArrow(run, "class int, raw double, target long").groupBy("class").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
 def ratio_weights(counts: DataFrame, p: QualityParams) -> np.ndarray:
@@ -106,15 +127,17 @@ def base_counts(raw: bytes, p: QualityParams) -> tuple[int, int, int, int, int]:
     return len(words), chars, len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words, p.repeat)
 
 
-def quality_rules(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: QualityParams = QualityParams()) -> DataFrame:
+def quality_rules(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: QualityParams = QualityParams(), lang_col: str | None = None) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ratio, kept), one row per input row.
 
     `base_failed`: under 10 words, or over 20 % of the words in repeated windows. `ratio` is the mean over a text's n-grams of the log
     ratio between what trusted texts and what all texts hold; every text is held against the same fixed threshold. Texts
     with no n-gram have ratio 0. A null text has no words and fails. Labels (doc_id, quality) may have nulls, repeats and unknown
-    ids; if none is trusted, ratios are 0 and the base rules alone decide. Other columns are left out, whatever their names.
+    ids; if none is trusted, ratios are 0 and the base rules alone decide. With `lang_col`, texts are held against what all texts
+    would hold if each language had its share among the trusted ones: how few texts of a language are labelled then makes
+    none of them worse, and n-grams that only languages without a trusted text hold count as 0. Other columns are left out, whatever their names.
     """
-    weights = ratio_weights(gram_counts(df, labels, p, id_col, text_col), p)
+    weights = ratio_weights(gram_counts(df, labels, p, id_col, text_col, lang_col), p)
     shared = df.sparkSession.sparkContext.broadcast(weights)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -137,4 +160,4 @@ def quality_rules(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), lang_col="lang")

@@ -169,6 +169,21 @@ def test_quality(spark, docs, empty, nulls):
     assert quality.quality_rules(nulls, labels.limit(0)).where("ratio <> 0").count() == 0
 
 
+def test_quality_judges_no_language(spark, sf_dir):
+    """A language that labels cover less keeps its clean texts; junk goes in each language."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    got = quality.op2_quality(spark, sf_dir).join(labels.where("quality IS NOT NULL").select("doc_id", "quality").distinct(), "doc_id").where("NOT base_failed")
+    assert {(r["quality"], r["kept"]) for r in got.select("quality", "kept").distinct().collect()} == {(0, False), (1, True)}
+    rng, rows = random.Random(6), []
+    for lang, n in (("xx", 200), (None, 40)):
+        clean, junk = [[f"{a}{lang}{k}" for k in range(50)] for a in "cj"]
+        for k in range(n):
+            rows.append((len(rows), " ".join(rng.choice(junk if k % 10 == 9 else clean) for _ in range(60)), lang, k % 10 != 9, 1 if k < 9 else None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, clean boolean, quality int")
+    kept = {r["doc_id"]: r["kept"] for r in quality.quality_rules(docs, docs.select("doc_id", "quality"), lang_col="lang").collect()}
+    assert kept == {i: clean for i, _, _, clean, _ in rows}
+
+
 # --- 3
 
 
