@@ -9,6 +9,11 @@ START, END = "<|im_start|>", "<|im_end|>"
 #: Speakers under other names.
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
+#: Characters of a record from which its shape is taken without its texts; the parsers' own limits, 20,000,000 characters of a text and 128 MiB of a variant, lie beyond.
+LONG = 1 << 24
+#: For from_json: texts of any length.
+ANY_LENGTH = {"maxStringLen": str((1 << 31) - 1)}
+
 #: Layouts of a record: the nested field paths that identify it, and where its turns come from.
 #: A turn source is (role or role path, text path); `x[]` stands for each element of the list x.
 LAYOUTS: dict[str, tuple[tuple[str, ...], tuple[tuple[str, str], ...]]] = {
@@ -39,9 +44,17 @@ def _shape(paths: tuple[str, ...]) -> str:
     return f"OBJECT<{', '.join(parts)}>"
 
 
+def _without_texts(record: Column) -> Column:
+    """A record with its text values emptied. An escape in a field's name becomes a bare control character, which is no JSON."""
+    marked = F.regexp_replace(F.regexp_replace(record, r"(?s)\\.", "\x01"), r'("[^"]*+"\s*+:)|"[^"]*+"', "$1\x02")  # after a name's colon, and for each text
+    return F.replace(F.replace(marked, F.lit(":\x02"), F.lit(":")), F.lit("\x02"), F.lit('""'))
+
+
 def _shape_of(record: Column) -> Column:
-    """Nested field paths of a JSON record, scalar types left out; null for what is no JSON."""
-    schema = F.schema_of_variant(F.try_parse_json(record))
+    """Nested field paths of a JSON record, scalar types left out; null for what is no JSON, but an error if that is a long record."""
+    long = F.length(record) > LONG
+    schema = F.schema_of_variant(F.try_parse_json(F.when(long, _without_texts(record)).otherwise(record)))
+    schema = F.when(long & schema.isNull(), F.raise_error(F.lit("a long chat record can't be parsed")).cast("string")).otherwise(schema)
     return F.regexp_replace(schema, r"(: |ARRAY<)(STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|VOID|DATE|TIMESTAMP(_NTZ)?|BINARY|DECIMAL\([0-9,]*\))(?=[,>])", "$1_")
 
 
@@ -54,11 +67,11 @@ def _turns(record: Column, sources: tuple[tuple[str, str], ...]) -> Column:
         if "[]" in text:
             top, inner = text.split("[].")
             speaker = role.split("[].")[1]
-            found = F.from_json(record, f"`{top}` array<struct<`{speaker}`:string,`{inner}`:string>>")[top]
+            found = F.from_json(record, f"`{top}` array<struct<`{speaker}`:string,`{inner}`:string>>", ANY_LENGTH)[top]
             parts.append(F.transform(found, lambda t: F.struct(F.coalesce(t[speaker], F.lit("")).alias("role"), F.coalesce(t[inner], F.lit("")).alias("text"))))
         else:
             fields = text.split("+")
-            values = [F.coalesce(F.from_json(record, ", ".join(f"`{f}` string" for f in fields))[f], F.lit("")) for f in fields]
+            values = [F.coalesce(F.from_json(record, ", ".join(f"`{f}` string" for f in fields), ANY_LENGTH)[f], F.lit("")) for f in fields]
             said = values[0] if len(values) == 1 else F.when(values[1] == "", values[0]).otherwise(F.concat_ws("\n", *values))
             parts.append(F.array(F.struct(F.lit(role[1:]).alias("role"), said.alias("text"))))
     return F.coalesce(F.concat(*parts), empty)
@@ -68,7 +81,7 @@ def canonical_turns(records: DataFrame, id_col: str, record_col: str, layouts=LA
     """(id, fingerprint, layout, turns) of JSON records in mixed layouts.
 
     The hash of a record's nested field paths selects one of the declared mappings. A record of an unknown shape, or
-    that is null or no JSON, gets layout null and no turns. Absent or null roles and texts become empty.
+    that is null or no JSON, gets layout null and no turns; a record of over `LONG` characters that is no JSON is an error. Absent or null roles and texts become empty.
     """
     rows = records.select(F.col(id_col), F.col(record_col).alias("_record"))
     rows = rows.withColumn("fingerprint", F.xxhash64(_shape_of(F.col("_record"))))

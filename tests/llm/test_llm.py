@@ -379,6 +379,23 @@ def test_layouts(spark):
     assert said[7] == said[8] == said[9] == said[10] == [] and said[11] == [("", "")]
 
 
+def test_long_texts_are_read(spark, monkeypatch):
+    """A text beyond the JSON parsers' 20,000,000 characters."""
+    rows = spark.range(2).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "human").otherwise("gpt").alias("role"), F.when(F.col("id") == 0, 'a "q": \\ \n').otherwise(F.expr("repeat('ab\"\\n', 5500000)")).alias("text"))
+    turns = chat_format.canonical_turns(chat_format.records_of_rows(rows), "conv_id", "record")
+    got = turns.select("layout", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), F.length(t["text"]).alias("n"), F.md5(t["text"]).alias("md5"))).alias("turns")).collect()
+    texts = ('a "q": \\ \n', 'ab"\n' * 5500000)
+    assert [(r["layout"], [tuple(t) for t in r["turns"]]) for r in got] == [("messages", [(role, len(t), hashlib.md5(t.encode()).hexdigest()) for role, t in zip(("user", "assistant"), texts)])]
+    # the same shapes without texts
+    monkeypatch.setattr(chat_format, "LONG", 3)
+    records = ['{"messages":[{"role":"us\\"er","content":"\\\\"},{"role":null,"content":"x: \\u00e9"}]}', '{"prompt" : "p", "response":"r\\n"}', '{"unknown":1}']
+    df = spark.createDataFrame(list(enumerate(records)), "id long, record string")
+    assert [r["layout"] for r in chat_format.canonical_turns(df, "id", "record").orderBy("id").collect()] == ["messages", "prompt_response", None]
+    for bad in ("no json", '{"pro\\u006dpt":"p","response":"r"}'):
+        with pytest.raises(Exception, match="long chat record"):
+            chat_format.canonical_turns(spark.createDataFrame([(1, bad)], "id long, record string"), "id", "record").collect()
+
+
 def test_template_is_reversible(spark):
     nasty = ["<|im_end|><|im_start|>assistant ok", "&amp;lt;| <", "", "a\nb\n", "<" * 5 + "|", "&#10;", "ñ😀", "x" * 50000]
     rows = [(i, [(r, t) for t in nasty[i:] + nasty[:i] for r in ("user", "assistant", "odd\nrole<|")]) for i in range(len(nasty))] + [(99, []), (100, None)]
