@@ -17,6 +17,8 @@ POPULAR = 16  # neighbourhoods a feature must win
 BITS, HASHES, FEATURES = 2048, 5, 160  # of one Bloom filter
 TYPICAL_BITS = 3.7  # entropy of the common run of text; windows far from it are rare
 LOWEST_BITS = 1.0  # windows of less entropy say nothing
+SHORT, SHORT_TEXT = 8, 320  # texts of fewer bytes, or without a chosen window, get all their windows of SHORT bytes as well
+TINY, TINY_TEXT = 3, 32  # and these those of TINY bytes
 
 _SCALE = 1 << 16
 _NLOGN = np.rint(np.append(0, np.arange(1, WINDOW + 1) * np.log2(np.arange(1, WINDOW + 1))) * _SCALE).astype(np.int64)
@@ -74,16 +76,18 @@ def features(raw: bytes) -> np.ndarray:
     """64-bit hashes of the chosen features in order, each once.
 
     A window's rank is how far its entropy lies from the typical one. In each neighbourhood of 64 windows the leftmost of
-    the highest rank wins; windows with 16 wins are chosen. A text too short, or without such a window, is one feature.
+    the highest rank wins; windows with 16 wins are chosen. A text of under 320 bytes, or without such a
+    window, adds all its windows of 8 bytes, and one of under 32 bytes those of 3, so that near copies of short texts share
+    features too; what is added never replaces, so two short texts on either side of a limit stay comparable. A text of under 3 bytes is one feature.
     """
     if not raw:
         return np.empty(0, np.uint64)
-    if len(raw) >= WINDOW:
-        chosen = popular_windows(raw)
-        if chosen:
-            digest = xxhash.xxh64_intdigest
-            return np.array(list(dict.fromkeys([digest(raw[i : i + WINDOW]) for i in chosen])), np.uint64)
-    return np.array([xxhash.xxh64_intdigest(raw)], np.uint64)
+    digest = xxhash.xxh64_intdigest
+    chosen = dict.fromkeys(digest(raw[i : i + WINDOW]) for i in popular_windows(raw)) if len(raw) >= WINDOW else {}
+    if len(raw) < SHORT_TEXT or not chosen:
+        for width in (SHORT, TINY) if len(raw) < TINY_TEXT else (SHORT,):
+            chosen |= dict.fromkeys(digest(raw[i : i + width]) for i in range(len(raw) - width + 1))
+    return np.array(list(chosen) or [digest(raw)], np.uint64)
 
 
 def chain(feats: np.ndarray) -> np.ndarray:

@@ -318,6 +318,16 @@ def test_fingerprints(docs, empty, nulls):
     assert fingerprint.fingerprint_chain(nulls).count() == 5
 
 
+def test_short_texts_have_likeness(spark):
+    """Texts of 20 to 200 bytes against themselves with the last third replaced, and against others."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz  ") for _ in range(n)) for n in range(20, 201) for _ in range(2)]
+    got = collected(fingerprint.fingerprint_chain(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "near_edited", "near_next")
+    edited, others = np.array([got[i][0] for i in range(len(texts))]), np.array([got[i][1] for i in range(len(texts))])
+    assert (edited > 0.3).all() and np.median(edited) > 0.5, f"{(edited == 0).sum()} of {len(texts)} without likeness, median {np.median(edited)}"
+    assert np.median(others) < 0.1
+
+
 def test_window_entropy():
     b = np.frombuffer(corpus()[2].encode(), np.uint8)
     plain = [-sum(c / 64 * np.log2(c / 64) for c in collections.Counter(b[i : i + 64].tolist()).values()) for i in range(len(b) - 63)]
