@@ -44,10 +44,9 @@ def stretches(raw: bytes, gram: int):
         yield raw[low : low + STRETCH + gram - 1]
 
 
-def language_shares(rows: DataFrame, p: QualityParams) -> DataFrame:
-    """(of, share): the trusted part of each language's n-grams, from rows (lang, text, trusted); a null language is one of its own."""
-    grams = F.greatest(F.octet_length("text") - (p.gram - 1), F.lit(0)).cast("long")
-    sums = rows.select("lang", "trusted", grams.alias("n")).groupBy("lang").agg(F.sum("n").alias("raw"), F.sum(F.when(F.col("trusted"), F.col("n")).otherwise(0)).alias("target"))
+def language_shares(rows: DataFrame) -> DataFrame:
+    """(of, share): the trusted part of each language's n-grams, from rows (lang, n, trusted); a null language is one of its own."""
+    sums = rows.groupBy("lang").agg(F.sum("n").alias("raw"), F.sum(F.when(F.col("trusted"), F.col("n")).otherwise(0)).alias("target"))
     return write_table(sums.select(F.col("lang").alias("of"), (F.col("target") / F.greatest("raw", F.lit(1))).alias("share")), "language-shares")
 
 
@@ -70,7 +69,8 @@ def gram_counts(df: DataFrame, labels: DataFrame, p: QualityParams, id_col: str,
     if lang_col is None:
         rows = rows.withColumn("share", F.lit(1.0))
     else:
-        shares = language_shares(marked(rows), p)
+        grams = F.greatest(F.octet_length("text") - (p.gram - 1), F.lit(0)).cast("long")
+        shares = language_shares(marked(rows.select("_id", "lang", grams.alias("n"))))  # lengths, not texts, go through this shuffle
         rows = rows.join(shares, F.col("lang").eqNullSafe(F.col("of")))
     rows = marked(rows.select("_id", "text", "share")).select("text", "trusted", "share")
 
