@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import hashlib
 import re
 import uuid
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,10 +71,53 @@ def drop_tables(spark: SparkSession) -> None:
             return
 
 
+def stretches(raw: bytes):
+    """A text in stretches of about `STRETCH` bytes that end at white space, so that no word is cut; at least one."""
+    low = 0
+    while True:
+        gap = _BLANK.search(raw, low + STRETCH) if len(raw) - low > STRETCH else None
+        high = gap.start() if gap else len(raw)
+        yield raw[low:high]
+        low = high
+        if low >= len(raw):
+            return
+
+
+#: Rows of a batch that goes to Python, where the session has Spark's default of 10,000: texts are long, and a worker holds a whole batch.
+BATCH_ROWS = 1000
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Let batches be of `BATCH_ROWS` rows in this session, unless it has a size of its own."""
+    if spark.conf.get(_BATCH_ROWS) == "10000":
+        spark.conf.set(_BATCH_ROWS, str(BATCH_ROWS))
+
+
+def give_back() -> None:
+    """Hand memory that was freed back to the system: idle workers stay beside the ones of later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        return
+
+
+def map_texts(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` on rows with whole texts, in short batches; a task's memory is handed back at its end."""
+    short_batches(rows.sparkSession)
+
+    def task(batches):
+        yield from run(batches)
+        give_back()
+
+    return rows.mapInArrow(task, schema)
+
+
 class HashMemo(dict):
-    """64-bit hash of a bytes key, remembered; ``trim`` keeps it bounded between batches."""
+    """64-bit hash of a bytes key, remembered; ``trim`` keeps it bounded between texts."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 
@@ -88,16 +134,11 @@ class HashMemo(dict):
 
     def of_text(self, raw: bytes) -> np.ndarray:
         """Hashes of a text's words in order. A very long text is split a stretch at a time, so its words never all stand in memory."""
-        if len(raw) <= STRETCH:
-            return self.of(raw.split())
-        parts, low = [], 0
-        while low < len(raw):
-            gap = _BLANK.search(raw, low + STRETCH)
-            high = gap.start() if gap else len(raw)
-            parts.append(self.of(raw[low:high].split()))
+        parts = []
+        for part in stretches(raw):
+            parts.append(self.of(part.split()))
             self.trim()
-            low = high
-        return np.concatenate(parts)
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

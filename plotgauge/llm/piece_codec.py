@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, documents, sha256_hex
+from .common import bytes_of, documents, map_texts, sha256_hex
 from .pieces import STRETCH, Pieces, load, stretches, words_of
 
 MODEL = "piece_bpe_32k.model"
-#: Distinct words remembered by a worker; the memo starts anew beyond it.
-MEMO_WORDS = 600_000
+#: Bytes that a worker's memo of words may take, about; it starts anew beyond them.
+MEMO_BYTES = 32 << 20
+#: What an entry costs besides its characters and ids, about.
+ENTRY_BYTES = 220
+#: Bytes of texts that are encoded, decoded and handed on at a time.
+PORTION = 1 << 20
 
 
-def merge_words(words: list[str], p: Pieces) -> list[list[int]]:
-    """Piece ids of each word. All words lie in one flat symbol array and are merged in rounds.
+def merge_words(words: list[str], p: Pieces) -> list[bytes]:
+    """Piece ids of each word, as bytes of 32-bit numbers. All words lie in one flat symbol array and are merged in rounds.
 
     A round finds each word's lowest pair rank, merges its leftmost pairs of that rank that don't overlap (only the
     first one where the new piece could open a merge of no higher rank), and compacts the arrays. Rounds end when
@@ -27,7 +33,7 @@ def merge_words(words: list[str], p: Pieces) -> list[list[int]]:
         return []
     flat = "".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
-    sym = p.char_symbol[np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    sym = p.char_symbol[np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
     place = np.arange(len(flat))
     word = np.repeat(np.arange(len(words)), lengths)
     # no merge crosses two neighbours that stand together in no piece, so segments end there
@@ -85,42 +91,48 @@ def merge_words(words: list[str], p: Pieces) -> list[list[int]]:
         order = np.argsort(place, kind="stable")
         sym, place = sym[order], place[order]
     ids = p.symbol_id[sym]
-    bounds = np.searchsorted(place, np.append(0, np.cumsum(lengths))).tolist()
-    unknown = bool((ids < 0).any())
-    listed = ids.tolist()
-    out = []
-    for a, b in zip(bounds, bounds[1:]):
-        own = listed[a:b]
-        if unknown and -1 in own:
-            own = [x for i, at in zip(own, place[a:b].tolist()) for x in ([i] if i >= 0 else p.byte_ids[list(flat[at].encode())].tolist())]
-        out.append(own)
+    bounds = np.searchsorted(place, np.append(0, np.cumsum(lengths)))
+    unknown = np.flatnonzero(ids < 0)
+    raw = ids.astype(np.int32).tobytes()
+    out = [raw[a:b] for a, b in zip((4 * bounds[:-1]).tolist(), (4 * bounds[1:]).tolist())]
+    for k in np.unique(word_at(bounds, unknown)).tolist():  # few words have a character outside the vocabulary
+        own = slice(bounds[k], bounds[k + 1])
+        parts = [[i] if i >= 0 else p.byte_ids[list(flat[at].encode())].tolist() for i, at in zip(ids[own].tolist(), place[own].tolist())]
+        out[k] = np.array([i for part in parts for i in part], np.int32).tobytes()
     return out
 
 
+def word_at(bounds: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Number of the word that each place lies in."""
+    return np.searchsorted(bounds, places, side="right") - 1
+
+
 class Encoder:
-    """Encodes whole texts; the words of a batch that are new to the memo are merged together."""
+    """Encodes whole texts; the words of a portion that are new to the memo are merged together."""
 
     def __init__(self, path: str):
         self.pieces = load(path)
-        self.memo: dict[str, str] = {}  # a word's decimal ids joined by commas
+        self.memo: dict[str, bytes] = {}  # a word's ids
+        self.held = 0  # bytes of the memo
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.memo]
-        if len(self.memo) + len(new) > MEMO_WORDS:
+        if self.held > MEMO_BYTES:
             self.memo.clear()
-            new = list(words)
-        at, size = 0, 0
+            self.held, new = 0, list(words)
+        at = 0
         while at < len(new):  # a bounded number of characters at a time
             end, size = at, 0
-            while end < len(new) and (size < 200_000 or end == at):
+            while end < len(new) and (size < 100_000 or end == at):
                 size += len(new[end])
                 end += 1
-            for w, ids in zip(new[at:end], merge_words(new[at:end], self.pieces)):
-                self.memo[w] = ",".join(map(str, ids))
+            found = merge_words(new[at:end], self.pieces)
+            self.memo.update(zip(new[at:end], found))
+            self.held += 2 * size + sum(map(len, found)) + ENTRY_BYTES * len(found)
             at = end
 
-    def encode(self, texts: list[str]) -> list[tuple[str, int]]:
-        """The decimal ids joined by commas, and their number, of each text."""
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
         out, held, owners = [[] for _ in texts], [], []
         for i, text in enumerate(texts):
             for stretch in stretches(text) if text else ():
@@ -129,31 +141,35 @@ class Encoder:
                 if len(stretch) >= STRETCH:
                     self._flush(held, owners, out)
         self._flush(held, owners, out)
-        joined = [",".join(parts) for parts in out]
-        return [(ids, ids.count(",") + 1 if ids else 0) for ids in joined]
+        return [np.frombuffer(b"".join(parts), np.int32) for parts in out]
 
-    def _flush(self, held: list[list[str]], owners: list[int], out: list[list[str]]) -> None:
+    def _flush(self, held: list[list[str]], owners: list[int], out: list[list[bytes]]) -> None:
         """Encode the stretches held so far and put their ids to their texts."""
         self.learn(set().union(*held))
         get = self.memo.__getitem__
         for i, words in zip(owners, held):
-            out[i].append(",".join(map(get, words)))
+            out[i].append(b"".join(map(get, words)))
         held.clear()
         owners.clear()
 
 
-def portions(column, size: int = 1_000_000):
-    """Lists of a column's texts, each of about `size` bytes or one text."""
-    held, total = [], 0
-    for raw in column:
+@functools.cache
+def worker_encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a worker, so that they share its memo."""
+    return Encoder(path)
+
+
+def portions(batch: pa.RecordBatch, size: int = 0):
+    """A batch of (id, text as bytes) in portions (ids, texts), each of about `size` bytes or one text."""
+    begin, held, total = 0, [], 0
+    size = size or PORTION
+    for at, raw in enumerate(batch.column(1)):
         raw = raw.as_py()
         held.append(raw.decode("utf-8", "replace"))
         total += len(raw)
-        if total >= size:
-            yield held
-            held, total = [], 0
-    if held:
-        yield held
+        if total >= size or at + 1 == batch.num_rows:
+            yield batch.column(0).slice(begin, len(held)), held
+            begin, held, total = at + 1, [], 0
 
 
 def decode(ids: np.ndarray, p: Pieces) -> str:
@@ -178,31 +194,41 @@ def decode(ids: np.ndarray, p: Pieces) -> str:
         return "".join(out)
 
 
+def decimal_text(ids: np.ndarray) -> str:
+    """Decimal ids joined by commas."""
+    return ",".join(map(str, ids.tolist()))
+
+
 def encode_pieces(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """Encode every whole text and decode it again: (id, n_tokens, ids_text, decoded), one row per input row.
+    """Encode every whole text and decode it again: (id, n_tokens, ids, decoded), one row per input row.
 
-    `ids_text` holds the decimal ids joined by commas. A null text counts as empty and has no ids. Ids may be null or
+    `ids` is an array of all ids. A null text counts as empty and has no ids. Ids of rows may be null or
     repeat; other columns are left out, whatever their names. `model` is a SentencePiece BPE model's path, which
-    every worker must be able to open. With ``with_ids=False`` the two texts come as SHA-256 digests instead.
+    every worker must be able to open. With ``with_ids=False`` SHA-256 digests come instead: ids_sha256 of the decimal ids
+    joined by commas, decoded_sha256 of the decoded text.
+
+    Texts are worked on in portions of about `PORTION` bytes, each handed on before the next one, so a worker holds one
+    portion and a memo of `MEMO_BYTES`, whatever the size of its batches.
     """
-    names = ("ids_text", "decoded") if with_ids else ("ids_sha256", "decoded_sha256")
+    names = ("ids", "decoded") if with_ids else ("ids_sha256", "decoded_sha256")
 
     def run(batches):
-        encoder = Encoder(model)
-        p = encoder.pieces
+        encoder = worker_encoder(model)
         for batch in batches:
-            counts, ids, texts = [], [], []
-            for texts_in in portions(batch.column(1)):
-                for joined, n in encoder.encode(texts_in):
-                    back = decode(np.fromstring(joined, np.int64, sep=","), p)
-                    counts.append(n)
-                    ids.append(joined if with_ids else sha256_hex(joined.encode()))
-                    texts.append(back if with_ids else sha256_hex(back.encode()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=[id_col, "n_tokens", *names])
+            for keys, texts in portions(batch):
+                ids = encoder.encode(texts)
+                back = [decode(x, encoder.pieces) for x in ids]
+                sizes = [len(x) for x in ids]
+                if with_ids:
+                    ends = np.append(0, np.cumsum(sizes)).astype(np.int32)
+                    out = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))), pa.array(back, pa.string())]
+                else:
+                    out = [pa.array([sha256_hex(x.encode()) for x in made], pa.string()) for made in (map(decimal_text, ids), back)]
+                yield pa.RecordBatch.from_arrays([keys, pa.array(sizes, pa.int64()), *out], names=[id_col, "n_tokens", *names])
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col), bytes_of(text_col).alias("text"))
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, {names[0]} string, {names[1]} string")
+    return map_texts(rows, run, f"`{id_col}` {kind}, n_tokens long, {names[0]} {'array<int>' if with_ids else 'string'}, {names[1]} string")
 
 
 def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,10 +55,8 @@ class Pieces:
         self.pair_keys = np.array(sorted(pairs), np.int64)
         self.pair_to = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
         self.pair_rank = self.rank[self.symbol_id[self.pair_to]]
-        #: the same for single look-ups: (rank, merged symbol) by pair
-        self.merges = dict(zip(self.pair_keys.tolist(), zip(self.pair_rank.tolist(), self.pair_to.tolist())))
         #: symbol of each code point
-        self.char_symbol = np.full(0x110000, m - 1, np.int64)
+        self.char_symbol = np.full(0x110000, m - 1, np.int32)
         for c, k in chars.items():
             self.char_symbol[ord(c)] = k
         #: neighbours that stand side by side inside some piece; no merge crosses any other place
@@ -74,6 +72,11 @@ class Pieces:
         self.raw = [bytes([int(p[3:5], 16)]) if b else p.replace(SPACE, " ").encode() if ok else b"" for p, b, ok in zip(self.names, self.is_byte, self.is_plain)]
         self.raw[sp.unk_id()] = " ⁇ ".encode()
 
+    @functools.cached_property
+    def merges(self) -> dict[int, tuple[int, int]]:
+        """(rank, merged symbol) by pair, for single look-ups."""
+        return dict(zip(self.pair_keys.tolist(), zip(self.pair_rank.tolist(), self.pair_to.tolist())))
+
 
 @functools.cache
 def load(path: str) -> Pieces:

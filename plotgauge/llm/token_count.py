@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from heapq import heapify, heappop, heappush
 
 import public_tokenizers
@@ -9,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, documents
+from .common import bytes_of, documents, map_texts
 from .pieces import Pieces, load, stretches, words_of
 
 MODEL = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
 #: Distinct words remembered by a worker; the memo starts anew beyond it.
-MEMO_WORDS = 800_000
+MEMO_WORDS = 250_000
 
 
 def count_word(word: str, p: Pieces) -> int:
@@ -77,6 +78,12 @@ class CountMemo(dict):
         return value
 
 
+@functools.cache
+def worker_memo(path: str) -> CountMemo:
+    """One memo for all tasks of a worker."""
+    return CountMemo(load(path))
+
+
 def count_text(text: str, memo: CountMemo) -> int:
     if not text:
         return 0
@@ -91,8 +98,7 @@ def count_tokens(df: DataFrame, model: str, limit: int = TOKEN_LIMIT, id_col: st
     """
 
     def run(batches):
-        p = load(model)
-        memo = CountMemo(p)
+        memo = worker_memo(model)
         for batch in batches:
             sizes, counts = [], []
             for raw in batch.column(1):
@@ -103,7 +109,7 @@ def count_tokens(df: DataFrame, model: str, limit: int = TOKEN_LIMIT, id_col: st
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col), bytes_of(text_col).alias("text"))
-    counted = rows.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long")
+    counted = map_texts(rows, run, f"`{id_col}` {kind}, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -100,7 +101,7 @@ def near_expected(texts):
     return {i: (len(s), find(i), find(i) == i) for i, s in enumerate(sets)}
 
 
-@pytest.mark.parametrize("params", [near_dedup.NearParams(), near_dedup.NearParams(pairs_list=3, block=7)])
+@pytest.mark.parametrize("params", [near_dedup.NearParams(), near_dedup.NearParams(pairs_list=3, block=7), near_dedup.NearParams(exact=True), near_dedup.NearParams(exact=True, sketch=4, pairs_list=3, block=7, block_values=500)])
 def test_near_components(docs, params):
     assert collected(near_dedup.near_components(docs, p=params), "n_shingles", "component_id", "kept") == near_expected(corpus())
 
@@ -248,12 +249,24 @@ def test_pieces_equal_the_library(monkeypatch, stretch):
     sp, texts = library(), awkward_texts()
     p = pieces.load(MODEL)
     memo = token_count.CountMemo(p)
-    for text, (ids, n), expected in zip(texts, piece_codec.Encoder(MODEL).encode(texts), sp.encode(texts)):
-        assert ids == ",".join(map(str, expected)) and n == len(expected)
-        assert token_count.count_text(text, memo) == n
+    for text, ids, expected in zip(texts, piece_codec.Encoder(MODEL).encode(texts), sp.encode(texts)):
+        assert ids.tolist() == expected
+        assert token_count.count_text(text, memo) == len(expected)
         assert piece_codec.decode(np.array(expected, np.int64), p) == sp.decode(expected)
 
 
+def test_small_memo_and_portions(monkeypatch, docs):
+    """A memo that is forgotten all the time, and portions of a few texts, change nothing."""
+    monkeypatch.setattr(piece_codec, "MEMO_BYTES", 3000)
+    encoder, sp, texts = piece_codec.Encoder(MODEL), library(), [t or "" for t in corpus()]
+    for low in range(0, len(texts), 7):
+        assert [x.tolist() for x in encoder.encode(texts[low : low + 7])] == sp.encode(texts[low : low + 7])
+    assert len(encoder.memo) < len(set(" ".join(texts).split()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([t.encode() for t in texts])], names=["id", "text"])
+    parts = list(piece_codec.portions(batch, 500))
+    assert len(parts) > 20 and [t for _, p in parts for t in p] == texts and [i for k, _ in parts for i in k.to_pylist()] == list(range(len(texts)))
+
+
 def test_decode_any_ids():
     sp, p, rng = library(), pieces.load(MODEL), random.Random(5)
     for _ in range(500):
@@ -263,11 +276,13 @@ def test_decode_any_ids():
 
 def test_encode_and_count_tables(docs, empty, nulls):
     sp = library()
-    coded = collected(piece_codec.encode_pieces(docs, MODEL), "n_tokens", "ids_text", "decoded")
+    coded = collected(piece_codec.encode_pieces(docs, MODEL), "n_tokens", "ids", "decoded")
+    digests = collected(piece_codec.encode_pieces(docs, MODEL, with_ids=False), "n_tokens", "ids_sha256", "decoded_sha256")
     counted = collected(token_count.count_tokens(docs, MODEL, limit=50), "n_bytes", "n_tokens", "over_limit")
     for i, t in enumerate(corpus()):
         ids = sp.encode(t or "")
-        assert coded[i] == (len(ids), ",".join(map(str, ids)), sp.decode(ids))
+        assert coded[i] == (len(ids), ids, sp.decode(ids))
+        assert digests[i] == (len(ids), sha(",".join(map(str, ids))), sha(sp.decode(ids)))
         assert counted[i] == (len((t or "").encode()), len(ids), len(ids) > 50)
     assert piece_codec.encode_pieces(empty, MODEL).count() == token_count.count_tokens(empty, MODEL).count() == 0
     assert piece_codec.encode_pieces(nulls, MODEL).count() == token_count.count_tokens(nulls, MODEL).count() == 5
@@ -349,17 +364,18 @@ def test_language_id(spark):
     rows += [(300, None, "en"), (301, "", "en"), (302, "12 %% 34", "de"), (None, "thesh tion", "en"), (303, "the " * 50000, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = language_id.train(docs)
-    assert model.labels == ["de", "en", "es"] and (model.weights == 0).mean() > 0.5  # sparse
-    got = {r["doc_id"]: r for r in language_id.predict(docs, model).collect()}
-    wrong = sum(got[i]["_lang_pred"] != ["en", "de", "es"][i % 3] for i in range(300) if zlib.crc32(str(i).encode()) % 4 == 2)
-    assert wrong <= 2 and all(0 <= r["_score"] <= 1 for r in got.values())
-    assert [(got[i]["_lang_pred"], got[i]["_score"]) for i in (300, 301, 302)] == [("und", 0.0)] * 3
-    assert got[303]["_lang_pred"] == "en"
+    assert model.labels == ["de", "en", "es"] and 0 < len(model.value_of) < 0.05 * 3 * len(model.idf)  # sparse
+    got = {r["row"]["doc_id"]: r for r in language_id.predict(docs, model).collect()}
+    wrong = sum(got[i]["lang_pred"] != ["en", "de", "es"][i % 3] for i in range(300) if zlib.crc32(str(i).encode()) % 4 == 2)
+    assert wrong <= 2 and all(0 <= r["score"] <= 1 for r in got.values())
+    assert [(got[i]["lang_pred"], got[i]["score"]) for i in (300, 301, 302)] == [("und", 0.0)] * 3
+    assert got[303]["lang_pred"] == "en"
     # held-out labels are never read
     changed = docs.withColumn("lang", F.when(language_id.held_out(F.col("doc_id")), "zz").otherwise(F.col("lang")))
-    assert np.array_equal(language_id.train(changed).weights, model.weights)
+    again = language_id.train(changed)
+    assert np.array_equal(again.value_of, model.value_of) and np.array_equal(again.label_of, model.label_of)
     none = language_id.train(docs.withColumn("lang", F.lit(None).cast("string")))
-    assert {r["_lang_pred"] for r in language_id.predict(docs, none).collect()} == {"und"}
+    assert {r["lang_pred"] for r in language_id.predict(docs, none).collect()} == {"und"}
     assert language_id.predict(docs.limit(0), model).count() == 0
 
 
@@ -389,10 +405,10 @@ def test_layouts(spark):
     assert said[7] == said[8] == said[9] == said[10] == [] and said[11] == [("", "")]
 
 
-def test_long_texts_are_read(spark, monkeypatch):
-    """A text beyond the JSON parsers' 20,000,000 characters."""
-    rows = spark.range(2).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "human").otherwise("gpt").alias("role"), F.when(F.col("id") == 0, 'a "q": \\ \n').otherwise(F.expr("repeat('ab\"\\n', 5500000)")).alias("text"))
-    turns = chat_format.canonical_turns(chat_format.records_of_rows(rows), "conv_id", "record")
+def test_long_json_records(spark, monkeypatch):
+    """JSON records with a text beyond the parsers' 20,000,000 characters."""
+    record = F.to_json(F.struct(F.array(F.struct(F.lit("human").alias("role"), F.lit('a "q": \\ \n').alias("content")), F.struct(F.lit("gpt").alias("role"), F.expr("repeat('ab\"\\n', 5500000)").alias("content"))).alias("messages")))
+    turns = chat_format.canonical_turns(spark.range(1).select("id", record.alias("record")), "id", "record")
     got = turns.select("layout", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), F.length(t["text"]).alias("n"), F.md5(t["text"]).alias("md5"))).alias("turns")).collect()
     texts = ('a "q": \\ \n', 'ab"\n' * 5500000)
     assert [(r["layout"], [tuple(t) for t in r["turns"]]) for r in got] == [("messages", [(role, len(t), hashlib.md5(t.encode()).hexdigest()) for role, t in zip(("user", "assistant"), texts)])]
@@ -439,8 +455,8 @@ def lines_expected(texts):
 
 def test_lines(docs, empty, nulls):
     got = line_dedup.dedup_lines(docs)
-    assert collected(got, "_n_lines", "_n_removed", "_kept_text") == lines_expected(corpus())
-    assert got.columns == [*docs.columns, "_n_lines", "_n_removed", "_kept_text"]
+    assert collected(got.select("row.doc_id", "n_lines", "n_removed", "kept_text"), "n_lines", "n_removed", "kept_text") == lines_expected(corpus())
+    assert got.select("row.*").columns == docs.columns
     assert line_dedup.dedup_lines(empty).count() == 0
     assert line_dedup.dedup_lines(nulls).count() == 5
 
@@ -456,12 +472,16 @@ def test_stretches_change_nothing(monkeypatch, stretch):
     raw = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 9))) for _ in range(2000)).encode()
 
     def found():
-        counts = sum(np.bincount(quality.hashed_grams(x, 4, 16), minlength=1 << 16) for x in quality.stretches(raw, 4))
+        counts = sum(np.bincount(quality.hashed_grams(x, 4, 16), minlength=1 << 16) for x in quality.gram_stretches(raw, 4))
         features = language_id.gram_features(raw.decode(), language_id.LanguageParams())
         windows = [fingerprint.popular_windows(raw[:n]) for n in (64, 100, 127, 130, len(raw))]
-        return counts.tolist(), features[0].tolist(), features[1].tolist(), windows, common.HashMemo().of_text(raw).tolist()
+        memo = common.HashMemo()
+        base = quality.base_counts(raw + b"\n" + raw[:300] + b"\n" + raw[:300], quality.QualityParams(), memo)
+        cut = [substring_dedup.cut_words(raw, np.array([5, 40, 700, 1990]), np.array([60, 90, 760, 2000]), x) for x in (True, False)]
+        assert cut[1] == cut[0][:2] + (sha(cut[0][2]),) and cut[0][:2] == (2000, 155)
+        return base, cut, counts.tolist(), features[0].tolist(), features[1].tolist(), windows, common.HashMemo().of_text(raw).tolist()
 
     whole = found()
-    for module in (common, quality, language_id, fingerprint):
+    for module in (common, quality, language_id, fingerprint):  # the places that read it
         monkeypatch.setattr(module, "STRETCH", stretch)
     assert found() == whole
