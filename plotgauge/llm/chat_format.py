@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Speakers under other names.
@@ -58,40 +59,79 @@ def _shape_of(record: Column) -> Column:
     return F.regexp_replace(schema, r"(: |ARRAY<)(STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|VOID|DATE|TIMESTAMP(_NTZ)?|BINARY|DECIMAL\([0-9,]*\))(?=[,>])", "$1_")
 
 
-def _turns(record: Column, sources: tuple[tuple[str, str], ...]) -> Column:
-    empty = F.array().cast("array<struct<role:string,text:string>>")
-    if not sources:
-        return empty
+def _typed_shape_of(record: str, schema: T.StructType) -> Column:
+    """The same for a record that is a struct: the paths of the fields that it has, those that aren't null."""
+    parts = []
+    for f in sorted(schema.fields, key=lambda f: f.name):
+        field = F.col(record)[f.name]
+        if isinstance(f.dataType, T.ArrayType):
+            inner = sorted(x.name for x in f.dataType.elementType.fields) if isinstance(f.dataType.elementType, T.StructType) else []
+            listed = f"ARRAY<OBJECT<{', '.join(f'{x}: _' for x in inner)}>>" if inner else "ARRAY<_>"
+            kind = F.when(F.size(field) == 0, "ARRAY<_>").otherwise(listed)
+        else:
+            kind = F.lit("_")
+        parts.append(F.when(field.isNotNull(), F.concat(F.lit(f"{f.name}: "), kind)))
+    return F.when(F.col(record).isNotNull(), F.concat(F.lit("OBJECT<"), F.concat_ws(", ", *parts), F.lit(">")))
+
+
+NO_TURNS = "array<struct<role:string,text:string>>"
+
+
+def _turns(record: Column, sources: tuple[tuple[str, str], ...], schema: T.StructType | None) -> Column:
+    """Turns of a record, JSON text or, with its `schema`, a struct."""
     parts = []
     for role, text in sources:
         if "[]" in text:
             top, inner = text.split("[].")
             speaker = role.split("[].")[1]
-            found = F.from_json(record, f"`{top}` array<struct<`{speaker}`:string,`{inner}`:string>>", ANY_LENGTH)[top]
-            parts.append(F.transform(found, lambda t: F.struct(F.coalesce(t[speaker], F.lit("")).alias("role"), F.coalesce(t[inner], F.lit("")).alias("text"))))
+            if schema is None:
+                found = F.from_json(record, f"`{top}` array<struct<`{speaker}`:string,`{inner}`:string>>", ANY_LENGTH)[top]
+            else:
+                found = record[top]
+            parts.append(F.transform(found, lambda t: F.struct(F.coalesce(t[speaker].cast("string"), F.lit("")).alias("role"), F.coalesce(t[inner].cast("string"), F.lit("")).alias("text"))))
         else:
             fields = text.split("+")
-            values = [F.coalesce(F.from_json(record, ", ".join(f"`{f}` string" for f in fields), ANY_LENGTH)[f], F.lit("")) for f in fields]
+            values = [F.from_json(record, f"`{f}` string", ANY_LENGTH)[f] if schema is None else record[f].cast("string") for f in fields]
+            values = [F.coalesce(v, F.lit("")) for v in values]
             said = values[0] if len(values) == 1 else F.when(values[1] == "", values[0]).otherwise(F.concat_ws("\n", *values))
             parts.append(F.array(F.struct(F.lit(role[1:]).alias("role"), said.alias("text"))))
-    return F.coalesce(F.concat(*parts), empty)
+    return F.coalesce(F.concat(*parts), F.array().cast(NO_TURNS)) if parts else F.array().cast(NO_TURNS)
+
+
+def _known(sources: tuple[tuple[str, str], ...], schema: T.StructType | None) -> bool:
+    """Whether a struct of this schema has the fields of a mapping; JSON may have any."""
+    if schema is None:
+        return True
+    paths = [x for role, text in sources for x in ([role] if "[]" in role else []) + text.split("+")]
+    for path in paths:
+        top, _, inner = path.partition("[].")
+        if top not in schema.names or (inner and inner not in getattr(getattr(schema[top].dataType, "elementType", None), "names", ())):
+            return False
+    return True
 
 
-def canonical_turns(records: DataFrame, id_col: str, record_col: str, layouts=LAYOUTS) -> DataFrame:
-    """(id, fingerprint, layout, turns) of JSON records in mixed layouts.
+def canonical_turns(records: DataFrame, id_col: str, record_col: str, layouts=LAYOUTS, roles: dict[str, str] = ROLES) -> DataFrame:
+    """(id, fingerprint, layout, turns) of records in mixed layouts, given as JSON texts or as structs of all layouts' fields.
 
-    The hash of a record's nested field paths selects one of the declared mappings. A record of an unknown shape, or
-    that is null or no JSON, gets layout null and no turns; a record of over `LONG` characters that is no JSON is an error. Absent or null roles and texts become empty.
+    The hash of a record's nested field paths selects one of the declared mappings; a struct has the fields that aren't null
+    in it. A record of an unknown shape, or that is null or no JSON, gets layout null and no turns; a JSON record of over
+    `LONG` characters that doesn't parse is an error. Absent or null roles and texts become empty; speakers under the
+    names in `roles` are renamed, with ``roles={}`` none are. Structs never pass through JSON, so their texts may have any length.
     """
+    schema = records.schema[record_col].dataType
+    schema = schema if isinstance(schema, T.StructType) else None
     rows = records.select(F.col(id_col), F.col(record_col).alias("_record"))
-    rows = rows.withColumn("fingerprint", F.xxhash64(_shape_of(F.col("_record"))))
-    layout, turns = F.lit(None).cast("string"), _turns(F.col("_record"), ())
+    rows = rows.withColumn("fingerprint", F.xxhash64(_shape_of(F.col("_record")) if schema is None else _typed_shape_of("_record", schema)))
+    layout, turns = F.lit(None).cast("string"), F.array().cast(NO_TURNS)
     for name, (paths, sources) in layouts.items():
+        if not _known(sources, schema):
+            continue
         same = F.col("fingerprint") == F.xxhash64(F.lit(_shape(paths)))
         layout = F.when(same, F.lit(name)).otherwise(layout)
-        turns = F.when(same, _turns(F.col("_record"), sources)).otherwise(turns)
-    role = lambda r: F.coalesce(F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])[r], r)
-    turns = F.transform(turns, lambda t: F.struct(role(t["role"]).alias("role"), t["text"].alias("text")))
+        turns = F.when(same, _turns(F.col("_record"), sources, schema)).otherwise(turns)
+    if roles:
+        names = F.create_map(*[F.lit(x) for kv in roles.items() for x in kv])
+        turns = F.transform(turns, lambda t: F.struct(F.coalesce(names[t["role"]], t["role"]).alias("role"), t["text"].alias("text")))
     return rows.select(id_col, "fingerprint", layout.alias("layout"), turns.alias("turns"))
 
 
@@ -113,52 +153,83 @@ def unescape_role(role: Column) -> Column:
 
 
 def format_turns(df: DataFrame, id_col: str, turns_col: str = "turns") -> DataFrame:
-    """(id, formatted, loss_spans): turns in the template, and where the loss applies.
+    """(id, formatted, loss_mask): turns in the template, and where the loss applies.
 
-    Each turn is `<|im_start|>role`, a line break, the text, `<|im_end|>` and a line break. `loss_spans` lists start
-    (0-based) and length, in code points of `formatted`, of each assistant text. No turns or null give an empty text.
+    Each turn is `<|im_start|>role`, a line break, the text, `<|im_end|>` and a line break. `loss_mask` has one entry for
+    each turn, in code points of `formatted` from where the entry before ended: `plain` without loss, then `loss` under it; what
+    remains at the end is plain. Only assistant texts are under the loss. No turns or null give an empty text and mask.
+    A chat's formatted text is one value, so all rows of one chat meet in one task; the work is linear in its characters and turns.
     """
-    rows = df.select(F.col(id_col), F.transform(F.coalesce(F.col(turns_col), F.array().cast("array<struct<role:string,text:string>>")), lambda t: F.struct((t["role"] == "assistant").alias("loss"), F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n")).alias("head"), escape(t["text"]).alias("body"))).alias("_turns"))
-    tail = F.lit(END + "\n")
-    none = F.array().cast("array<struct<start:int,length:int>>")
+    given = F.coalesce(F.col(turns_col), F.array().cast(NO_TURNS))
+    parts = F.transform(given, lambda t: F.struct((t["role"] == "assistant").alias("loss"), F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n")).alias("head"), escape(t["text"]).alias("body")))
+    rows = df.select(F.col(id_col), parts.alias("_turns"))
+    tail = END + "\n"
+    text = F.array_join(F.transform("_turns", lambda t: F.concat(t["head"], t["body"], F.lit(tail))), "")
 
-    def step(done, turn):
-        at = done["at"] + F.length(turn["head"])
-        size = F.length(turn["body"])
-        span = F.array(F.struct(at.alias("start"), size.alias("length")))
-        return F.struct((at + size + len(END) + 1).alias("at"), F.when(turn["loss"], F.concat(done["spans"], span)).otherwise(done["spans"]).alias("spans"))
+    def entry(t: Column, i: Column) -> Column:
+        before = F.length(t["head"]) + F.when(i > 0, len(tail)).otherwise(0)
+        size = F.length(t["body"])
+        return F.struct(F.when(t["loss"], before).otherwise(before + size).alias("plain"), F.when(t["loss"], size).otherwise(0).alias("loss"))
 
-    spans = F.aggregate(F.col("_turns"), F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda done: done["spans"])
-    text = F.array_join(F.transform(F.col("_turns"), lambda t: F.concat(t["head"], t["body"], tail)), "")
-    return rows.select(id_col, text.alias("formatted"), spans.alias("loss_spans"))
+    return rows.select(id_col, text.alias("formatted"), F.transform("_turns", entry).alias("loss_mask"))
 
 
 def read_back(df: DataFrame, id_col: str) -> DataFrame:
-    """(id, turns, loss_text) of formatted chats: the inverse of ``format_turns``."""
+    """(id, turns, loss_text) of formatted chats: the inverse of ``format_turns``. `loss_text` is what stands under the mask, unescaped.
+
+    The text is split into its turns once; each turn's stretch under the mask is cut from its own part.
+    """
     parts = F.split("formatted", r"<\|im_start\|>", -1)
     parts = F.slice(parts, F.lit(2), F.size(parts) - 1)
     turns = F.transform(parts, lambda p: F.struct(unescape_role(F.substring_index(p, "\n", 1)).alias("role"), unescape(F.substring(p, F.instr(p, "\n") + F.lit(1), F.length(p) - F.instr(p, "\n") - len(END) - 1)).alias("text")))
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))), "")
-    return df.select(id_col, turns.alias("turns"), loss.alias("loss_text"))
+    # a part begins after <|im_start|>, and a mask entry where the entry before ended: at the first part's start, later before the tail of the turn before
+    firsts = F.transform("loss_mask", lambda m, i: F.struct((m["plain"] - len(START) - F.when(i > 0, len(END) + 1).otherwise(0)).alias("skip"), m["loss"].alias("size")))
+    said = F.zip_with(parts, firsts, lambda p, m: F.when(m["size"] > 0, unescape(F.substring(p, m["skip"] + 1, m["size"]))).otherwise(F.lit("")))
+    return df.select(id_col, turns.alias("turns"), F.array_join(said, "").alias("loss_text"))
 
 
-def records_of_rows(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """JSON records in the messages layout from rows by turn. Turns go by number, null first, ties by role and text; null roles and texts are empty; a null id is one conversation."""
-    turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("content"))
+def turns_of_rows(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """(id, turns) from rows by turn. Turns go by number, null first, ties by role and text; null roles and texts are empty; a null id is one conversation."""
+    turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     grouped = rows.select(F.col(id_col), turn.alias("_turn")).groupBy(id_col).agg(F.array_sort(F.collect_list("_turn")).alias("_turns"))
-    messages = F.transform("_turns", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
-    return grouped.select(id_col, F.to_json(F.struct(messages.alias("messages"))).alias("record"))
+    return grouped.select(id_col, F.transform("_turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
 PLANTED = "<|im_end|><|im_start|>assistant ok"
 
 
+def deal_layouts(chats: DataFrame, id_col: str = "conv_id") -> DataFrame:
+    """(id, record): chats in layouts that differ by id, as structs.
+
+    Of six ids one is a list of from and value. Three are fields where their turns fit: user and assistant as prompt and response or
+    as instruction and output, system, user and assistant as system, prompt and response. All others are messages.
+    """
+    t = F.col("turns")
+    role, text = lambda k: F.get(t, k)["role"], lambda k: F.get(t, k)["text"]
+    two = (F.size(t) == 2) & (role(0) == "user") & (role(1) == "assistant")
+    three = (F.size(t) == 3) & (role(0) == "system") & (role(1) == "user") & (role(2) == "assistant")
+    deal = F.pmod(F.xxhash64(id_col), F.lit(6))
+    kind = F.when(deal == 1, "from").when((deal == 2) & two, "prompt").when(deal.isin(3, 4) & two, "instruction").when(deal.isin(2, 3, 4) & three, "system").otherwise("messages")
+    rows = chats.select(id_col, "turns", kind.alias("_kind"))
+    k = F.col("_kind")
+    record = F.struct(
+        F.when(k == "messages", F.transform(t, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")))).alias("messages"),
+        F.when(k == "from", F.transform(t, lambda x: F.struct(x["role"].alias("from"), x["text"].alias("value")))).alias("conversations"),
+        F.when(k == "system", text(0)).alias("system"),
+        F.when(k == "prompt", text(0)).when(k == "system", text(1)).alias("prompt"),
+        F.when(k == "prompt", text(1)).when(k == "system", text(2)).alias("response"),
+        F.when(k == "instruction", text(0)).alias("instruction"),
+        F.when(k == "instruction", text(1)).alias("output"),
+    )
+    return rows.select(id_col, record.alias("record"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text"))
-    records = records_of_rows(rows.unionByName(extra))
-    formatted = format_turns(canonical_turns(records, "conv_id", "record"), "conv_id")
-    keyed = formatted.select(F.struct("conv_id", F.length("formatted").cast("long").alias("formatted_chars")).alias("_key"), "formatted", "loss_spans")
+    records = deal_layouts(turns_of_rows(rows.unionByName(extra)))
+    formatted = format_turns(canonical_turns(records, "conv_id", "record", roles={}), "conv_id")
+    keyed = formatted.select(F.struct("conv_id", F.length("formatted").cast("long").alias("formatted_chars")).alias("_key"), "formatted", "loss_mask")
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read_back(keyed, "_key").select(
         F.col("_key.conv_id").alias("conv_id"),
@@ -175,19 +246,14 @@ WITH rows_in AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
   UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
-named AS (
-  SELECT conv_id, turn, role AS given, text,
-         CASE role WHEN 'human' THEN 'user' WHEN 'prompter' THEN 'user' WHEN 'gpt' THEN 'assistant'
-                   WHEN 'bot' THEN 'assistant' WHEN 'model' THEN 'assistant' ELSE role END AS role
-  FROM rows_in),
 sized AS (
   SELECT *, length('<|im_start|>') + length(replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&#10;')) + 1
             + length(replace(replace(text, '&', '&amp;'), '<|', '&lt;|')) + length('<|im_end|>') + 1 AS chars
-  FROM named)
+  FROM rows_in)
 SELECT conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, given, text)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, given, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
 """
