@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .common import STRETCH, documents
+from .common import STRETCH, documents, give_back, map_texts, short_batches, write_table
 
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -20,10 +21,10 @@ LETTER = re.compile(r"[^\W\d_]")
 
 @dataclass(frozen=True)
 class LanguageParams:
-    orders: tuple[int, ...] = (1, 2, 3)  # bytes of an n-gram of the lower-cased text
-    bits: int = 14  # n-grams are hashed into 2^bits features
-    sample_rows: int = 2000  # the classifier is fitted on so many labelled rows at most, as many of each language
-    most_labels: int = 500  # most frequent labels that are learned
+    orders: int = 4  # n-grams of 1 to so many characters of the lower-cased text
+    bits: int = 15  # n-grams are hashed into 2^bits features
+    sample_rows: int = 2000  # the classifier is fitted on so many labelled rows at most, as many of each label,
+    least_rows: int = 5  # or on so many of each label, where that is more
     epochs: int = 3
     alpha: float = 0.5
     beta: float = 1.0
@@ -38,39 +39,47 @@ def held_out(id_: Column) -> Column:
 
 
 def gram_features(text: str, p: LanguageParams) -> tuple[np.ndarray, np.ndarray]:
-    """Features of a text and how often each occurs."""
-    raw = text.lower().encode("utf-8", "replace")
-    counts = np.zeros(1 << p.bits, np.int64)
+    """Features of a text, n-grams of its code points, and how often each occurs."""
+    lower, counts = text.lower(), 0
     with np.errstate(over="ignore"):
-        for low in range(0, len(raw), STRETCH):  # stretches share what the longest n-gram needs
-            b = np.frombuffer(raw[low : low + STRETCH + max(p.orders) - 1], np.uint8).astype(np.uint64)
-            for order in p.orders:
-                n = min(STRETCH, len(b) - order + 1)
-                if n > 0:
-                    h = np.full(n, order, np.uint64)
-                    for k in range(order):
-                        h = h * np.uint64(257) + b[k : k + n]
-                    counts += np.bincount(((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - p.bits)).astype(np.int64), minlength=1 << p.bits)
+        for low in range(0, len(lower), STRETCH):  # stretches share what the longest n-gram needs
+            c = np.frombuffer(lower[low : low + STRETCH + p.orders - 1].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            h, found = np.zeros(len(c), np.uint64), []
+            for order in range(1, min(p.orders, len(c)) + 1):
+                n = len(c) - order + 1
+                h = h[:n] * np.uint64(0x100000001B3) + c[order - 1 :] + np.uint64(order)
+                found.append(h[: min(STRETCH, n)])
+            keys = (np.concatenate(found) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - p.bits)
+            counts = counts + np.bincount(keys.view(np.int64), minlength=1 << p.bits)
     at = np.flatnonzero(counts)
-    return at, counts[at]
+    return at, counts[at] if len(at) else np.empty(0, np.int64)
 
 
 class Model:
-    """Weights (features x labels), biases, inverse document frequencies and temperature."""
+    """Weights by feature and label (only those that aren't zero), biases, inverse document frequencies and temperature."""
 
     def __init__(self, labels: list[str], idf: np.ndarray, p: LanguageParams):
         self.labels, self.idf, self.p = labels, idf, p
-        self.weights = np.zeros((len(idf), len(labels)))
+        self.keep(np.zeros((len(idf), 0), np.float32))
         self.bias = np.zeros(len(labels))
         self.temperature = 1.0
 
+    def keep(self, weights: np.ndarray) -> None:
+        """Store weights (features x labels) by row: where each feature's entries begin, their labels and values."""
+        at, self.label_of = np.nonzero(weights)
+        self.value_of = weights[at, self.label_of]
+        self.begin = np.searchsorted(at, np.arange(len(self.idf) + 1))
+
     def values(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
         x = np.log1p(counts) * self.idf[at]
         norm = np.sqrt((x * x).sum())
         return x / norm if norm else x
 
     def logits(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return self.values(at, counts) @ self.weights[at] + self.bias
+        begin, size = self.begin[at], self.begin[at + 1] - self.begin[at]
+        place = np.arange(size.sum()) + np.repeat(begin - np.append(0, np.cumsum(size)[:-1]), size)
+        x = np.repeat(self.values(at, counts), size)
+        return np.bincount(self.label_of[place], weights=x * self.value_of[place], minlength=len(self.labels)) + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.labels or not text or not LETTER.search(text):
@@ -83,7 +92,9 @@ class Model:
     def fit(self, rows: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
         """Follow the regularised leader, row by row, with l1 and l2 penalties; then one temperature for held-back rows."""
         p, k = self.p, len(self.labels)
-        z, n = np.zeros_like(self.weights), np.zeros_like(self.weights)
+        used = np.unique(np.concatenate([at for _, at, _ in rows])) if rows else np.empty(0, np.int64)
+        rows = [(y, np.searchsorted(used, at), self.values(at, counts)) for y, at, counts in rows]  # features that the sample has
+        z, n = np.zeros((len(used), k), np.float32), np.zeros((len(used), k), np.float32)
         zb, nb = np.zeros(k), np.zeros(k)
         own, rest = [r for i, r in enumerate(rows) if i % p.calibration], rows[:: p.calibration]
 
@@ -91,8 +102,7 @@ class Model:
             return np.where(np.abs(z_) <= l1, 0.0, -(z_ - np.sign(z_) * l1) / ((p.beta + np.sqrt(n_)) / p.alpha + l2))
 
         for _ in range(p.epochs):
-            for y, at, counts in own or rows:
-                x = self.values(at, counts)
+            for y, at, x in own or rows:
                 za, na = z[at], n[at]
                 w, b = weights(za, na, p.l1, p.l2), weights(zb, nb, 0.0, p.l2)
                 s = x @ w + b
@@ -103,10 +113,13 @@ class Model:
                 z[at] = za + gx - (np.sqrt(na + gx * gx) - np.sqrt(na)) / p.alpha * w
                 n[at] = na + gx * gx
                 zb, nb = zb + g - (np.sqrt(nb + g * g) - np.sqrt(nb)) / p.alpha * b, nb + g * g
-        self.weights, self.bias = weights(z, n, p.l1, p.l2), weights(zb, nb, 0.0, p.l2)
+        w, self.bias = weights(z, n, p.l1, p.l2), weights(zb, nb, 0.0, p.l2)
+        all_weights = np.zeros((len(self.idf), k), np.float32)
+        all_weights[used] = w
+        self.keep(all_weights)
         if not rest:
             return
-        scores = np.array([self.logits(at, counts) for _, at, counts in rest])
+        scores = np.array([x @ w[at] for _, at, x in rest]) + self.bias
         truth = np.array([y for y, _, _ in rest])
 
         def loss(log_t: float) -> float:
@@ -121,16 +134,33 @@ class Model:
         self.temperature = float(np.exp((low + high) / 2))
 
 
+def draw_sample(rows: DataFrame, p: LanguageParams) -> tuple[list[str], DataFrame]:
+    """The labels, and a sample (_draw, _lang, _text) of rows (_id, _text, _lang): of each label the rows of lowest hash of id and text, rows that are equal in both counting once.
+
+    No label is left out. Labels meet the rows as a table that Spark broadcasts while it is small; the sample holds at most
+    `sample_rows` rows, or `least_rows` of each label if that is more.
+    """
+    drawn = rows.withColumn("_draw", F.xxhash64("_id", "_text"))
+    sizes = write_table(drawn.groupBy("_lang").agg(F.approx_count_distinct("_draw").alias("_rows")), "label-sizes")
+    labels = sorted(r["_lang"] for r in sizes.select("_lang").collect())
+    each = max(p.least_rows, p.sample_rows // max(1, len(labels)))
+    # a label's lowest hashes lie below a bound that leaves some three times as many rows as are wanted
+    share = F.least(F.lit(1.0), F.lit(3.0 * each + 30) / F.greatest("_rows", F.lit(1)))
+    bits = F.shiftrightunsigned("_draw", 24).cast("double")
+    few = drawn.join(sizes, "_lang").where(bits < share * float(1 << 40)).groupBy("_lang", "_draw").agg(F.max("_text").alias("_text"))
+    place = F.row_number().over(Window.partitionBy("_lang").orderBy("_draw"))
+    return labels, few.withColumn("_n", place).where(F.col("_n") <= each).select("_draw", "_lang", "_text")
+
+
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", p: LanguageParams = LanguageParams()) -> Model:
     """Fit a model on the labelled rows that aren't held out.
 
     Document frequencies are counted over all of these rows, each task adding up its own before at most 2^bits rows of it are
-    shuffled. The regression is fitted on `sample_rows` rows at most, those of lowest hash of their id in each language.
-    Without labelled rows the model has no labels and predicts `und`.
+    shuffled. The regression is fitted on the driver, on the bounded sample of ``draw_sample``; its memory is the features
+    that the sample has times the labels. Without labelled rows the model has no labels and predicts `und`.
     """
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).where(F.col("_lang").isNotNull() & F.col("_text").isNotNull() & ~held_out(F.col(id_col)))
-    sizes = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(p.most_labels).collect()
-    labels = sorted(r["_lang"] for r in sizes)
+    labels, sample = draw_sample(rows, p)
     if not labels:
         return Model([], np.ones(1 << p.bits), p)
 
@@ -144,52 +174,46 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], docs))], names=["feature", "docs"])
 
-    counted = rows.select("_text").mapInArrow(frequencies, "feature long, docs long").groupBy("feature").agg(F.sum("docs").alias("docs")).collect()
-    df_counts, all_docs = np.zeros(1 << p.bits), 0
-    for r in counted:
-        if r["feature"] < 0:
-            all_docs = r["docs"]
-        else:
-            df_counts[r["feature"]] = r["docs"]
-    model = Model(labels, np.log((1 + all_docs) / (1 + df_counts)) + 1, p)
-
-    each = max(2, p.sample_rows // len(labels))
-    draw = F.pmod(F.xxhash64("_id"), F.lit(1 << 40))
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("_lang") == r["_lang"], min(1.0, (3 * each + 30) / r["count"])).otherwise(share)
-    few = rows.select("_id", "_lang", draw.alias("_draw")).where(F.col("_draw") < share * float(1 << 40))
-    few = few.withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy("_draw", "_id"))).where(F.col("_n") <= each).select("_id", "_lang", "_draw").distinct()
+    counted = map_texts(rows.select("_text"), frequencies, "feature long, docs long").groupBy("feature").agg(F.sum("docs").alias("docs")).toArrow()
+    feature, docs = (counted.column(c).to_numpy() for c in ("feature", "docs"))
+    df_counts = np.zeros(1 << p.bits)
+    df_counts[feature[feature >= 0]] = docs[feature >= 0]
+    model = Model(labels, np.log((1 + docs[feature < 0].sum()) / (1 + df_counts)) + 1, p)
 
     def features(batches):
         for batch in batches:
             found = [gram_features(t.as_py(), p) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.astype(np.int32).tobytes() for a, _ in found], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in found], pa.binary())], names=["draw", "lang", "at", "counts"])
 
-    # the sample is bounded by `sample_rows`, so it may be broadcast to the scan
-    sample = rows.join(F.broadcast(few), ["_id", "_lang"]).select("_draw", "_lang", "_text").mapInArrow(features, "draw long, lang string, at binary, counts binary").collect()
-    sample.sort(key=lambda r: (r["draw"], r["lang"], bytes(r["at"]), bytes(r["counts"])))
+    fitted = map_texts(sample, features, "draw long, lang string, at binary, counts binary").collect()
+    fitted.sort(key=lambda r: (r["draw"], r["lang"]))
     place = {x: k for k, x in enumerate(labels)}
-    model.fit([(place[r["lang"]], np.frombuffer(r["at"], np.int32), np.frombuffer(r["counts"], np.int32)) for r in sample])
+    model.fit([(place[r["lang"]], np.frombuffer(r["at"], np.int32), np.frombuffer(r["counts"], np.int32)) for r in fitted])
     return model
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All rows and columns of `df`, with `_lang_pred` and `_score`. A null text, or one without a letter, is `und` with score 0."""
+    """(row, lang_pred, score), one row per input row; `row` holds all columns of `df`, so their names can't clash.
+
+    A null text, or one without a letter, is `und` with score 0. Only the text goes to Python.
+    """
+    short_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
-    row = df.select(F.col(text_col).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+    kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
-    def run(batches):
+    @F.arrow_udf(kind)
+    def found(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
-        for batch in batches:
-            found = [m.predict(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["_row", "_lang_pred", "_score"])
+        for texts in parts:
+            said = [m.predict(t.as_py()) for t in texts]
+            yield pa.StructArray.from_arrays([pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64())], names=["lang_pred", "score"])
+        give_back()
 
-    schema = T.StructType([row.schema["_row"], T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType())])
-    return row.mapInArrow(run, schema).select("_row.*", "_lang_pred", "_score")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), found(F.col(text_col)).alias("_found"))
+    return rows.select("row", "_found.lang_pred", "_found.score")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     done = predict(docs.select("doc_id", "text"), train(docs))
-    return done.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
+    return done.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
