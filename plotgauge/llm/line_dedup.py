@@ -14,13 +14,21 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def _windows(lines: Column, window: int) -> Column:
+    """Two 64-bit hashes of each window of consecutive lines, in order, so that different ones don't meet even among 10^12. Nothing is looked up by place, so the work is linear in the lines."""
+    hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))
+    run = F.transform(hashed, lambda h: F.array(h))
+    for k in range(1, window):
+        run = F.zip_with(run, F.slice(hashed, k + 1, F.greatest(F.size(hashed) - k, F.lit(0))), lambda w, h: F.concat(w, F.array(h)))
+    run = F.slice(run, 1, F.size(lines) - (window - 1))
+    each = lambda w, part: [w[k][part] for k in range(window)]
+    return F.transform(run, lambda w: F.struct(F.xxhash64(*each(w, "a")).alias("a"), F.xxhash64(*each(w, "b")).alias("b")))
+
+
 def repeated_windows(df: DataFrame, id_col: str, text_col: str, window: int = WINDOW) -> DataFrame:
     """(_id, _version, _at): windows of `window` consecutive lines whose lines also stand earlier, by (id, place)."""
     rows = df.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_version"), _lines(F.col(text_col)).alias("_l")).where(F.size("_l") >= window)
-    # two 64-bit hashes name a window, so that different ones don't meet even among 10^12
-    parts = lambda i: [F.get("_l", i + k) for k in range(window)]
-    hashed = F.transform(F.sequence(F.lit(0), F.size("_l") - window), lambda i: F.struct(F.xxhash64(*parts(i)).alias("a"), F.xxhash64(F.lit(window), *parts(i)).alias("b")))
-    windows = rows.select("_id", "_version", F.posexplode(hashed).alias("_at", "_h")).select("_id", "_version", "_at", "_h.a", "_h.b")
+    windows = rows.select("_id", "_version", F.posexplode(_windows(F.col("_l"), window)).alias("_at", "_h")).select("_id", "_version", "_at", "_h.a", "_h.b")
     # counting combines on the map side, so a window that a third of all documents share stays small
     first = windows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_id", "_at")).alias("_first")).where("_n > 1").select("a", "b", "_first")
     # written, so that both sides of the join are plain tables and Spark can split a hot window's rows, or send a small side around
@@ -28,8 +36,17 @@ def repeated_windows(df: DataFrame, id_col: str, text_col: str, window: int = WI
     return windows.join(first, ["a", "b"]).where(F.struct("_id", "_at") != F.col("_first")).select("_id", "_version", "_at")
 
 
+def _without(lines: Column, starts: Column, n: Column, window: int) -> tuple[Column, Column]:
+    """The lines that no window from `starts` covers, and how many are covered. Linear but for one sort: lines meet their marks side by side, none is looked up by place."""
+    covered = F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(s, s + (window - 1)))))
+    left = F.array_except(F.sequence(F.lit(0), n - 1), covered)
+    mark = lambda places, gone: F.transform(places, lambda i: F.struct(i.alias("at"), F.lit(gone).alias("gone")))
+    marks = F.array_sort(F.concat(mark(left, False), mark(covered, True)))
+    return F.array_join(F.zip_with(lines, marks, lambda x, m: F.when(~m["gone"], x)), "\n"), F.size(covered)  # nulls are left out
+
+
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """All rows and columns of `df`, with (_n_lines, _n_removed, _kept_text) added.
+    """(row, n_lines, n_removed, kept_text), one row per input row; `row` holds all columns of `df`, so their names can't clash.
 
     Lines are what `\\n` separates, unchanged. A line goes if a window of three consecutive lines covers it that also
     stands earlier: in a row of smaller id, or higher up in its own text. Rows of null id come before all others.
@@ -38,22 +55,19 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     each by its own lines, ties in place being no repeat. A null text has 0 lines and stays null.
     """
     marked = repeated_windows(df, id_col, text_col, window).groupBy("_id", "_version").agg(F.collect_set("_at").alias("_starts"))
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_version"), F.col(text_col).alias("_text"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_version"), F.col(text_col).alias("_text"))
     marked = marked.withColumnsRenamed({"_id": "_mid", "_version": "_mversion"})
     both = rows.join(marked, F.col("_id").eqNullSafe(F.col("_mid")) & (F.col("_version") == F.col("_mversion")), "left")
     lines = _lines(F.col("_text"))
-    n = F.coalesce(F.size(lines), F.lit(0))
-    n = F.when(F.col("_text").isNull(), 0).otherwise(n)
-    covered = F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + (window - 1))))
-    left = F.array_except(F.sequence(F.lit(0), n - 1), covered)
-    kept = F.when(F.col("_starts").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    removed = F.when(F.col("_starts").isNull(), 0).otherwise(n - F.size(left))
-    return both.select("_row.*", n.cast("long").alias("_n_lines"), removed.cast("long").alias("_n_removed"), kept.alias("_kept_text"))
+    n = F.when(F.col("_text").isNull(), 0).otherwise(F.coalesce(F.size(lines), F.lit(0)))
+    kept, gone = _without(lines, F.col("_starts"), n, window)
+    whole = F.col("_starts").isNull()
+    return both.select("row", n.cast("long").alias("n_lines"), F.when(whole, 0).otherwise(gone).cast("long").alias("n_removed"), F.when(whole, F.col("_text")).otherwise(kept).alias("kept_text"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
-    return done.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("_kept_text", F.lit("")), 256).alias("kept_sha256"))
+    return done.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def dedup_sql(table: str) -> str:
