@@ -6,10 +6,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import STRETCH, bytes_of, documents, write_table
+from .common import STRETCH, HashMemo, bytes_of, documents, map_texts, stretches, window_hashes, write_table
 
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -38,93 +39,154 @@ def hashed_grams(raw: bytes, gram: int, bits: int) -> np.ndarray:
         return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def stretches(raw: bytes, gram: int):
+def gram_stretches(raw: bytes, gram: int):
     """A text in stretches that share gram - 1 bytes, so that each n-gram lies in one of them."""
     for low in range(0, max(len(raw), 1), STRETCH):
         yield raw[low : low + STRETCH + gram - 1]
 
 
-def language_shares(rows: DataFrame) -> DataFrame:
-    """(of, share): the trusted part of each language's n-grams, from rows (lang, n, trusted); a null language is one of its own."""
-    sums = rows.groupBy("lang").agg(F.sum("n").alias("raw"), F.sum(F.when(F.col("trusted"), F.col("n")).otherwise(0)).alias("target"))
-    return write_table(sums.select(F.col("lang").alias("of"), (F.col("target") / F.greatest("raw", F.lit(1))).alias("share")), "language-shares")
+FILTER_BITS = 26
 
 
-def gram_counts(df: DataFrame, labels: DataFrame, p: QualityParams, id_col: str, text_col: str, lang_col: str | None = None) -> DataFrame:
-    """(class, raw, target): n-gram counts of all texts, and of the trusted ones, those labelled quality 1.
+def _places(id_: str) -> list:
+    """Where an id stands in the filter, as (word, bit) of 64-bit words."""
+    h = F.xxhash64(id_)
+    spots = [F.shiftrightunsigned(h, k).bitwiseAND((1 << FILTER_BITS) - 1) for k in (0, FILTER_BITS)]
+    return [F.struct(F.shiftright(x, 6).alias("word"), x.bitwiseAND(63).alias("bit")) for x in spots]
 
-    With `lang_col`, a text's raw counts are weighted by the trusted part of its language, so that each language weighs the
-    same in both.
 
-    Every task adds up its own counts first, so what is shuffled of them is at most 2^bits rows a task. Labels meet the
-    texts by id in a sort-merge join at every size, as labels grow with the documents.
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of ids (_id), 2^26 bits whatever their number: 8 MiB come to the driver and to each executor.
+
+    Some 10^7 ids leave it letting through a few per cent of the others; beyond that it only filters less.
     """
-    trusted = labels.where("quality = 1").select(F.col("doc_id").alias("_id")).distinct().withColumn("_trusted", F.lit(True))
-    lang = F.lit(None).cast("string") if lang_col is None else F.col(lang_col)
-    rows = df.select(F.col(id_col).alias("_id"), lang.alias("lang"), bytes_of(text_col).alias("text"))
+    spots = ids.select(F.explode(F.array(*_places("_id"))).alias("_s")).select("_s.word", F.expr("shiftleft(1L, CAST(_s.bit AS INT))").alias("mask"))
+    words = spots.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[words.column("word").to_numpy()] = words.column("mask").to_numpy()
+    return out
 
-    def marked(rows: DataFrame) -> DataFrame:
-        return rows.join(trusted.hint("merge"), "_id", "left").withColumn("trusted", F.coalesce("_trusted", F.lit(False)))
 
-    if lang_col is None:
-        rows = rows.withColumn("share", F.lit(1.0))
-    else:
-        grams = F.greatest(F.octet_length("text") - (p.gram - 1), F.lit(0)).cast("long")
-        shares = language_shares(marked(rows.select("_id", "lang", grams.alias("n"))))  # lengths, not texts, go through this shuffle
-        rows = rows.join(shares, F.col("lang").eqNullSafe(F.col("of")))
-    rows = marked(rows.select("_id", "text", "share")).select("text", "trusted", "share")
+def trusted_texts(rows: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(lang, text) of the rows (_id, lang, text) whose id is trusted. A filter of the ids lets few others into the join, so only those texts are shuffled."""
+    shared = rows.sparkSession.sparkContext.broadcast(id_filter(trusted))
+
+    @F.arrow_udf("boolean")
+    def maybe(word1: pa.Array, bit1: pa.Array, word2: pa.Array, bit2: pa.Array) -> pa.Array:
+        hit = [(shared.value[w.to_numpy()] >> b.to_numpy()) & 1 for w, b in ((word1, bit1), (word2, bit2))]
+        return pa.array((hit[0] & hit[1]).astype(bool))
+
+    one, two = _places("_id")
+    some = rows.where("_id IS NOT NULL").where(maybe(one["word"], one["bit"], two["word"], two["bit"]))
+    return write_table(some.join(trusted, "_id", "left_semi").select("lang", "text"), "trusted-texts")
+
+
+def _n_grams(p: QualityParams):
+    return F.greatest(F.octet_length("text") - (p.gram - 1), F.lit(0)).cast("long")
+
+
+def language_shares(rows: DataFrame, good: DataFrame, p: QualityParams) -> DataFrame:
+    """(of, share): the trusted part of each language's n-grams; a null language is one of its own. Only lengths are added up."""
+    sums = rows.groupBy("lang").agg(F.sum(_n_grams(p)).alias("raw"))
+    found = good.groupBy(F.col("lang").alias("of")).agg(F.sum(_n_grams(p)).alias("target"))
+    both = sums.join(found, F.col("lang").eqNullSafe(F.col("of")), "left")
+    return write_table(both.select(F.col("lang").alias("of"), (F.coalesce("target", F.lit(0)) / F.greatest("raw", F.lit(1))).alias("share")), "language-shares")
+
+
+def _added_up(rows: DataFrame, p: QualityParams) -> DataFrame:
+    """(class, n): counts of the n-grams of rows (text, share), weighted by share. Every task adds up its own counts first, so what is shuffled is at most 2^bits rows a task."""
 
     def run(batches):
-        raw, target = np.zeros(1 << p.bits), np.zeros(1 << p.bits, np.int64)
+        total, held, size = np.zeros(1 << p.bits), {}, 0
+
+        def add_up():
+            for share, classes in held.items():
+                total[:] += np.bincount(np.concatenate(classes), minlength=1 << p.bits) * share
+            held.clear()
+
         for batch in batches:
-            for text, good, share in zip(batch.column(0), batch.column(1), batch.column(2)):
-                for part in stretches(text.as_py(), p.gram):
-                    counts = np.bincount(hashed_grams(part, p.gram, p.bits), minlength=1 << p.bits)
-                    raw += counts * share.as_py()
-                    if good.as_py():
-                        target += counts
-        at = np.flatnonzero(raw)
+            for text, share in zip(batch.column(0), batch.column(1)):
+                for part in gram_stretches(text.as_py(), p.gram):
+                    classes = hashed_grams(part, p.gram, p.bits)
+                    held.setdefault(share.as_py(), []).append(classes)  # a language's texts have one share
+                    size += len(classes)
+                    if size > STRETCH:
+                        add_up()
+                        size = 0
+        add_up()
+        at = np.flatnonzero(total)
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(target[at])], names=["class", "raw", "target"])
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["class", "n"])
 
-    return rows.mapInArrow(run, "class int, raw double, target long").groupBy("class").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    return map_texts(rows.select("text", "share"), run, "class int, n double").groupBy("class").agg(F.sum("n").alias("n"))
+
+
+def gram_counts(df: DataFrame, labels: DataFrame, p: QualityParams, id_col: str, text_col: str, lang_col: str | None = None) -> DataFrame:
+    """(class, raw, target): n-gram counts of all texts, and of the trusted ones, those labelled quality 1.
+
+    With `lang_col`, a text's raw counts are weighted by the trusted part of its language, so that each language weighs the
+    same in both. The raw counts come from a scan of the texts; only trusted texts are shuffled.
+    """
+    trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
+    lang = F.lit(None).cast("string") if lang_col is None else F.col(lang_col)
+    rows = df.select(F.col(id_col).alias("_id"), lang.alias("lang"), bytes_of(text_col).alias("text"))
+    good = trusted_texts(rows, trusted)
+    if lang_col is None:
+        weighted = rows.withColumn("share", F.lit(1.0))
+    else:
+        weighted = rows.join(language_shares(rows, good, p), F.col("lang").eqNullSafe(F.col("of")))
+    raw = _added_up(weighted, p).withColumnRenamed("n", "raw")
+    target = _added_up(good.withColumn("share", F.lit(1.0)), p).select(F.col("class").alias("_c"), F.col("n").alias("target"))
+    return raw.join(target, F.col("class") == F.col("_c"), "left").select("class", "raw", F.coalesce("target", F.lit(0.0)).alias("target"))
 
 
 def ratio_weights(counts: DataFrame, p: QualityParams) -> np.ndarray:
     """Log ratio of the trusted to the raw multinomial, both with add-one smoothing; zeros if nothing is trusted. At most 2^bits numbers come to the driver."""
     raw, target = np.zeros(1 << p.bits), np.zeros(1 << p.bits)
-    for row in counts.collect():
-        raw[row["class"]], target[row["class"]] = row["raw"], row["target"]
+    found = counts.toArrow()
+    at = found.column("class").to_numpy()
+    raw[at], target[at] = found.column("raw").to_numpy(), found.column("target").to_numpy()
     if not target.sum():
         return np.zeros(1 << p.bits)
     return np.log((target + 1) / (target.sum() + len(target))) - np.log((raw + 1) / (raw.sum() + len(raw)))
 
 
-def repeated_words(words: list[bytes], width: int) -> int:
-    """How many words lie in windows of `width` words that the text has twice or more, the first ones included."""
-    n = len(words) - width + 1
-    if n < 2:
+def repeated_words(h: np.ndarray, width: int) -> int:
+    """How many words lie in windows of `width` words that the text has twice or more, the first ones included; `h`: hashes of its words in order."""
+    windows = window_hashes(h, width)
+    if len(windows) < 2:
         return 0
-    grams = list(zip(*(words[k:] for k in range(width))))
-    if len(set(grams)) == n:
+    order = np.argsort(windows, kind="stable")
+    same = windows[order[1:]] == windows[order[:-1]]
+    if not same.any():
         return 0
-    seen: dict[tuple, int] = {}
-    edge = np.zeros(len(words) + 1, np.int64)
-    for i, g in enumerate(grams):
-        first = seen.setdefault(g, i)
-        if first != i:
-            for at in (first, i):
-                edge[at] += 1
-                edge[at + width] -= 1
+    for k in range(width):  # windows with the same hash are the same words
+        same &= h[order[1:] + k] == h[order[:-1] + k]
+    again = np.append(False, same) | np.append(same, False)
+    edge = np.zeros(len(h) + 1, np.int64)
+    edge[order[again]] += 1
+    edge[order[again] + width] -= 1
     return int((np.cumsum(edge) > 0).sum())
 
 
-def base_counts(raw: bytes, p: QualityParams) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    words = raw.split()
-    chars = len(raw.translate(None, BLANKS).decode("utf-8", "replace"))
-    lines = [x for x in raw.split(b"\n") if x.strip(BLANKS)]
-    return len(words), chars, len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words, p.repeat)
+def base_counts(raw: bytes, p: QualityParams, memo: HashMemo) -> tuple[int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words. What is kept of a long text at once are numbers: a hash for each word and line."""
+    words = memo.of_text(raw)
+    chars = symbols = 0
+    for part in stretches(raw):
+        chars += len(part.translate(None, BLANKS).decode("utf-8", "replace"))
+        symbols += len(part) - len(part.translate(None, SYMBOLS))
+    lines = np.fromiter((xxhash.xxh64_intdigest(x) for x in _lines(raw) if x.strip(BLANKS)), np.uint64)
+    return len(words), chars, symbols, len(lines) - len(np.unique(lines)), repeated_words(words, p.repeat)
+
+
+def _lines(raw: bytes):
+    low = 0
+    while low <= len(raw):
+        high = raw.find(b"\n", low)
+        high = len(raw) if high < 0 else high
+        yield raw[low:high]
+        low = high + 1
 
 
 def quality_rules(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: QualityParams = QualityParams(), lang_col: str | None = None) -> DataFrame:
@@ -142,19 +204,20 @@ def quality_rules(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches):
-        w = shared.value
+        w, memo = shared.value, HashMemo()
         for batch in batches:
             base, ratios = [], []
             for text in batch.column(1):
                 raw = text.as_py()
-                base.append(base_counts(raw, p))
-                total = sum(float(w[hashed_grams(part, p.gram, p.bits)].sum()) for part in stretches(raw, p.gram))
+                base.append(base_counts(raw, p, memo))
+                memo.trim()
+                total = sum(float(w[hashed_grams(part, p.gram, p.bits)].sum()) for part in gram_stretches(raw, p.gram))
                 ratios.append(round(total / max(1, len(raw) - p.gram + 1), 6))
             columns = [pa.array(x, pa.int64()) for x in zip(*base)] if base else [pa.array([], pa.int64())] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(ratios, pa.float64())], names=["id", *names, "ratio"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("id"), bytes_of(text_col).alias("text")).mapInArrow(run, f"id {kind}, {', '.join(f'{x} long' for x in names)}, ratio double")
+    rows = map_texts(df.select(F.col(id_col).alias("id"), bytes_of(text_col).alias("text")), run, f"id {kind}, {', '.join(f'{x} long' for x in names)}, ratio double")
     failed = (F.col("n_words") < p.least_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * p.most_repeat_percent)
     return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("ratio") >= p.least_ratio)).withColumnRenamed("id", id_col)
 
