@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HashMemo, bytes_of, documents, mix, write_table
+from .common import HashMemo, bytes_of, documents, map_texts, mix, stretches, write_table
 
 #: Words of a repeat at least, and of a seed. Every repeat holds the same seeds wherever it stands.
 MIN_WORDS, SEED_WORDS = 50, 12
@@ -77,7 +77,7 @@ def _seed_rows(rows: DataFrame, min_words: int, seed_words: int) -> DataFrame:
                 row = pa.array(row)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(seed), pa.array(context), pa.array(first), pa.array(last)], names=["id", "version", "seed", "context", "first", "last"])
 
-    return rows.where("id IS NOT NULL").mapInArrow(run, "id long, version int, seed long, context long, first int, last int")
+    return map_texts(rows.where("id IS NOT NULL"), run, "id long, version long, seed long, context long, first int, last int")
 
 
 def _extended(rows: DataFrame, asked: DataFrame, min_words: int) -> DataFrame:
@@ -110,7 +110,7 @@ def _extended(rows: DataFrame, asked: DataFrame, min_words: int) -> DataFrame:
             if out:
                 yield rows_of(out)
 
-    return joined.mapInArrow(run, "id long, seed long, context long, at int, window long")
+    return map_texts(joined, run, "id long, seed long, context long, at int, window long")
 
 
 def repeated_spans(rows: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS) -> DataFrame:
@@ -147,7 +147,40 @@ def repeated_spans(rows: DataFrame, min_words: int = MIN_WORDS, seed_words: int
 
 
 def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias("id"), F.hash(text_col).alias("version"), bytes_of(text_col).alias("text"))
+    return df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("version"), bytes_of(text_col).alias("text"))
+
+
+def cut_words(raw: bytes, start: np.ndarray | None, end: np.ndarray | None, with_text: bool) -> tuple[int, int, str]:
+    """How many words a text has and loses, and the kept ones joined by one space, or their SHA-256. The text is split a stretch at a time."""
+    merged = []  # spans as (start, end) in order, none touching another
+    if start is not None:
+        order = np.argsort(start)
+        start, end = start[order], np.maximum.accumulate(end[order])
+        fresh = np.flatnonzero(np.append(True, start[1:] > end[:-1]))
+        merged = list(zip(start[fresh].tolist(), end[np.append(fresh[1:], len(start)) - 1].tolist()))
+    total, left, out, digest, at = 0, 0, [], hashlib.sha256(), 0
+    for part in stretches(raw):
+        words = part.split()
+        low, stay = total, []
+        total += len(words)
+        while low < total:
+            while at < len(merged) and merged[at][1] <= low:
+                at += 1
+            begin, stop = merged[at] if at < len(merged) else (total, total)
+            if begin > low:
+                high = min(begin, total)
+                stay += words[low - total + len(words) : high - total + len(words)]
+                low = high
+            else:
+                low = min(stop, total)
+        if stay:
+            said = b" ".join(stay)
+            if with_text:
+                out.append(said)
+            else:
+                digest.update(b" " * (left > 0) + said)
+            left += len(stay)
+    return total, total - left, b" ".join(out).decode("utf-8", "replace") if with_text else digest.hexdigest()
 
 
 def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS, with_text: bool = True) -> DataFrame:
@@ -165,22 +198,13 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches):
         for batch in batches:
-            total, gone, kept = [], [], []
+            rows = []
             for raw, start, end in zip(batch.column(1), batch.column(2), batch.column(3)):
-                words = raw.as_py().split()
-                total.append(len(words))
-                if start.is_valid:
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, np.array(start.as_py()), 1)
-                    np.add.at(edge, np.array(end.as_py()), -1)
-                    stay = np.cumsum(edge)[:-1] == 0
-                    words = [words[i] for i in np.flatnonzero(stay).tolist()]
-                gone.append(total[-1] - len(words))
-                text = b" ".join(words)
-                kept.append(text.decode("utf-8", "replace") if with_text else hashlib.sha256(text).hexdigest())
+                rows.append(cut_words(raw.as_py(), *(None if x.as_py() is None else np.array(x.as_py(), np.int64) for x in (start, end)), with_text))
+            total, gone, kept = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", "kept"])
 
-    return joined.mapInArrow(run, "id long, n_words long, n_removed long, kept string").withColumnRenamed("id", id_col)
+    return map_texts(joined, run, "id long, n_words long, n_removed long, kept string").withColumnRenamed("id", id_col)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
