@@ -7,10 +7,11 @@ import base64
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import STRETCH, bytes_of, documents, sha256_hex, write_table
+from .common import STRETCH, bytes_of, documents, map_texts, sha256_hex, write_table
 
 WINDOW = 64  # bytes of a feature, and features of a neighbourhood in which ranks are compared
 POPULAR = 16  # neighbourhoods a feature must win
@@ -147,8 +148,9 @@ def _batch(ids, rows, **more):
 
 
 def _in_order(batches):
-    """Results of all rows but the last of a partition, whose follower is elsewhere; its first and last text come along."""
+    """Results of all rows but the last of a partition, whose follower is elsewhere; its first and last text come along, with the partition's number."""
     last_id, last, first = None, None, True
+    part = TaskContext.get().partitionId()
     edge_ids, edge_texts, edge_kinds = [], [], []
     for batch in batches:
         ids, rows = [], []
@@ -161,12 +163,12 @@ def _in_order(batches):
                 rows.append(last.row(now))
             last_id, last = id_, now
         if rows:
-            yield _batch(ids, rows, kind=pa.array([0] * len(ids), pa.int32()), text=pa.nulls(len(ids), pa.binary()))
+            yield _batch(ids, rows, kind=pa.array([0] * len(ids), pa.int32()), part=pa.array([part] * len(ids), pa.int32()), text=pa.nulls(len(ids), pa.binary()))
     if last is not None:
         edge_ids.append(last_id)
         edge_texts.append(last.raw)
         edge_kinds.append(2)
-        yield _batch(edge_ids, [(None,) * len(_NAMES)] * 2, kind=pa.array(edge_kinds, pa.int32()), text=pa.array(edge_texts, pa.binary()))
+        yield _batch(edge_ids, [(None,) * len(_NAMES)] * 2, kind=pa.array(edge_kinds, pa.int32()), part=pa.array([part] * 2, pa.int32()), text=pa.array(edge_texts, pa.binary()))
 
 
 def _pairs(batches):
@@ -184,16 +186,17 @@ def fingerprint_chain(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty text and not (0) to others. A lone row follows itself. Other columns are left out, whatever their names.
 
     Texts are shuffled once, by ranges of ids; each task streams its range in order. Only the first and the last
-    text of each range meet their neighbours in a second, small step: two rows for each task of the first one.
+    text of each range meet their neighbours in a second, small step, by a join on the ranges' numbers.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), bytes_of(text_col).alias("text"))
     ranges = rows.repartitionByRange(F.col("id").desc_nulls_last()).sortWithinPartitions(F.col("id").desc_nulls_last(), "text")
-    done = write_table(ranges.mapInArrow(_in_order, f"id long, {_ROW}, kind int, text binary"), "fingerprints")
-    edges = done.where("kind > 0").select("id", "kind", "text")
-    order = Window.partitionBy(F.lit(0)).orderBy(F.col("id").desc_nulls_last(), "kind")
-    begin = F.first("text").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    open_ends = edges.withColumn("following", F.coalesce(F.lead("text").over(order), begin)).where("kind = 2").select("id", "text", "following")
-    closed = open_ends.mapInArrow(_pairs, f"id long, {_ROW}")
+    done = write_table(map_texts(ranges, _in_order, f"id long, {_ROW}, kind int, part int, text binary"), "fingerprints")
+    # the number of each range that has rows: one for each task, and nothing of the documents
+    parts = sorted(r["part"] for r in done.where("kind = 1").select("part").collect())
+    follows = df.sparkSession.createDataFrame(list(zip(parts, parts[1:] + parts[:1])), "part int, next int")
+    last = done.where("kind = 2").select("id", "part", "text").join(follows, "part")
+    first = done.where("kind = 1").select(F.col("part").alias("next"), F.col("text").alias("following"))
+    closed = map_texts(last.join(first, "next").select("id", "text", "following"), _pairs, f"id long, {_ROW}")
     return done.where("kind = 0").select("id", *_NAMES).unionByName(closed).withColumnRenamed("id", id_col)
 
 
