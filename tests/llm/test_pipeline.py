@@ -8,6 +8,7 @@ import sentencepiece
 
 import corpus_pipeline
 from plotgauge.llm import mixing, queries
+from plotgauge.llm.common import write_table
 from test_llm import SCHEMA, WORD, corpus, lines_expected, near_expected  # noqa: F401
 
 
@@ -60,7 +61,7 @@ def test_encode_stage(staged):
     texts = {r["doc_id"]: r["text"] for r in before.collect()}
     assert after.count() == before.count()
     for r in after.collect():
-        assert r["ids_text"] == ",".join(map(str, sp.encode(texts[r["doc_id"]]))) and r["decoded"] == sp.decode(sp.encode(texts[r["doc_id"]]))
+        assert r["ids"] == sp.encode(texts[r["doc_id"]]) and r["decoded"] == sp.decode(sp.encode(texts[r["doc_id"]]))
 
 
 def test_repeated_and_null_ids(spark):
@@ -78,3 +79,27 @@ def test_empty_table(spark):
 
 def test_every_operator_has_its_query():
     assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+
+
+def test_clashing_columns(spark):
+    """Helper names as input columns: values are the same at the end of every stage."""
+    names = "row place new _row _id _version _text _starts _first _n_lines _n_removed n_lines n_removed _kept_text kept_text _score score _lang_pred lang_pred _found id n rep value hub kept component_id n_shingles domain lang_ source_ _copies _copy copies tokens epochs cut_range _l _at".split()
+    texts = ["alpha beta gamma delta", "one two three\nfour five\nsix seven\nlast line", "x y z\none two three\nfour five\nsix seven\nother end", "alpha beta gamma delta"]
+    rows = [(i, t, "en", "s1", len(t), *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", *names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, None)
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            assert [r[n] for n in names] == [f"{n}{r['doc_id']}" for n in names], name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, None).count() == 4
+
+
+def test_query(spark, sf_dir):
+    """The registered query runs the stages one after another."""
+    expected = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        expected = write_table(stage(spark, expected, sf_dir), name)
+    got = corpus_pipeline.run(spark, sf_dir)
+    key = lambda df: sorted((r["doc_id"], r["n_tokens"], tuple(r["ids"]), r["decoded"]) for r in df.collect())
+    assert key(got) == key(expected) and got.count() > 0
