@@ -7,7 +7,7 @@ read again as the next one's docs. All but the last return the columns they were
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plotgauge.llm import language_id, line_dedup, mixing, near_dedup, piece_codec
@@ -22,17 +22,17 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = language_id.train(docs)
     if not model.labels:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    found = language_id.predict(docs, model).where((F.col("_lang_pred") != language_id.UNKNOWN) & (F.col("_score") >= model.p.least_score))
-    return found.withColumn("lang", F.coalesce("lang", "_lang_pred")).select(*_quoted(docs))
+    found = language_id.predict(docs, model).where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= model.p.least_score))
+    return _unpacked(found, docs, lang=F.coalesce("row.lang", "lang_pred"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut repeated lines out of the texts; drop documents of which no word is left."""
-    done = line_dedup.dedup_lines(docs)
-    done = done.where((F.col("_n_removed") == 0) | F.col("_kept_text").rlike(WORD)).withColumn("text", F.col("_kept_text"))
+    done = line_dedup.dedup_lines(docs).where((F.col("n_removed") == 0) | F.col("kept_text").rlike(WORD))
+    new = {"text": F.col("kept_text")}
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return done.select(*_quoted(docs))
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return _unpacked(done, docs, **new)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,11 +40,12 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = write_table(near_dedup.near_components(docs).select("doc_id", "kept"), "near")
     # written by itself, so that Spark knows its size: while it is small it goes to the texts, not the texts through a shuffle
     gone = write_table(found.where("NOT kept").select("doc_id").distinct(), "near-gone")
-    left = docs.join(gone, "doc_id", "left_anti").select(*_quoted(docs))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id")
+    left = rows.join(gone, "doc_id", "left_anti")
     if found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count() == 0:
-        return left
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return left.withColumn("_first", first).where("doc_id IS NULL OR _first = 1").select(*_quoted(docs))
+        return _unpacked(left, docs)
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("row.text"))
+    return _unpacked(left.withColumn("place", first).where("doc_id IS NULL OR place = 1"), docs)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,8 +70,9 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def _quoted(docs: DataFrame):
-    return [F.col(f"`{c}`") for c in docs.columns]
+def _unpacked(rows: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of `docs` from the struct `row`, some of them replaced. Helper columns stand beside the struct, so that no name of `docs` clashes with theirs."""
+    return rows.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
