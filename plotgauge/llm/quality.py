@@ -68,7 +68,11 @@ def id_filter(ids: DataFrame) -> np.ndarray:
 
 
 def trusted_texts(rows: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(lang, text) of the rows (_id, lang, text) whose id is trusted. A filter of the ids lets few others into the join, so only those texts are shuffled."""
+    """(lang, text) of the rows (_id, lang, text) whose id is trusted, without a shuffle of texts.
+
+    A filter of the ids lets through the trusted ones and few others. Which others it lets through is found on ids alone; they are a
+    table of known size, which Spark sends to the texts while it is small, and only beyond that do the filtered texts travel.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(id_filter(trusted))
 
     @F.arrow_udf("boolean")
@@ -77,8 +81,9 @@ def trusted_texts(rows: DataFrame, trusted: DataFrame) -> DataFrame:
         return pa.array((hit[0] & hit[1]).astype(bool))
 
     one, two = _places("_id")
-    some = rows.where("_id IS NOT NULL").where(maybe(one["word"], one["bit"], two["word"], two["bit"]))
-    return write_table(some.join(trusted, "_id", "left_semi").select("lang", "text"), "trusted-texts")
+    let_through = lambda df: df.where("_id IS NOT NULL").where(maybe(one["word"], one["bit"], two["word"], two["bit"]))
+    wrong = write_table(let_through(rows.select("_id")).join(trusted, "_id", "left_anti").distinct(), "not-trusted")
+    return let_through(rows).join(wrong, "_id", "left_anti").select("lang", "text")
 
 
 def _n_grams(p: QualityParams):
@@ -125,7 +130,7 @@ def gram_counts(df: DataFrame, labels: DataFrame, p: QualityParams, id_col: str,
     """(class, raw, target): n-gram counts of all texts, and of the trusted ones, those labelled quality 1.
 
     With `lang_col`, a text's raw counts are weighted by the trusted part of its language, so that each language weighs the
-    same in both. The raw counts come from a scan of the texts; only trusted texts are shuffled.
+    same in both. All counts come from scans of the texts, which are not shuffled.
     """
     trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
     lang = F.lit(None).cast("string") if lang_col is None else F.col(lang_col)

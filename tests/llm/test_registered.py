@@ -14,6 +14,7 @@ import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 import xxhash
+from pyspark.sql import functions as F
 
 from plotgauge.llm import fingerprint, quality
 from plotgauge.llm.queries import ORACLE_SQL, QUERIES
@@ -190,3 +191,12 @@ def test_op1_common_shingle(spark):
     for p in (near_dedup.NearParams(block=32), near_dedup.NearParams(exact=True, block=32)):
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_components(df, p=p).collect()}
         assert got == near_expected(texts)
+
+
+def test_op2_crowded_filter(spark, monkeypatch):
+    """A filter that lets nearly every id through changes no count."""
+    monkeypatch.setattr(quality, "FILTER_BITS", 8)
+    rows = spark.range(500).select(F.col("id").alias("_id"), F.lit("en").alias("lang"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    rows = rows.unionByName(spark.sql("SELECT CAST(NULL AS LONG) AS _id, 'en' AS lang, 'no id' AS text"))
+    trusted = spark.range(0, 700, 7).withColumnRenamed("id", "_id")
+    assert sorted(r["text"] for r in quality.trusted_texts(rows, trusted).collect()) == sorted(f"text {i}" for i in range(0, 500, 7))
