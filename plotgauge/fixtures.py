@@ -75,15 +75,17 @@ COLOR_DICT = "SELECT image AS idx, CONCAT('c', LPAD(CAST(image AS VARCHAR(10)),
 SIMILAR = """
 SELECT a.name, b.name AS similar_name FROM (@@color_dict) a JOIN (@@color_dict) b ON b.idx = (a.idx + 1) % 32 OR b.idx = (a.idx + 7) % 32"""
 
-DETECTIONS = """
-SELECT doc_id AS image, CAST(p.pos AS BIGINT) AS pos, SPLIT_PART(text, ' ', p.pos) AS ref_text,
-       CASE WHEN (p.pos + doc_id) % 4 = 0 THEN NULL
-            WHEN (p.pos + doc_id) % 6 = 1 THEN CONCAT(SPLIT_PART(text, ' ', p.pos), 'x')
-            ELSE SPLIT_PART(text, ' ', p.pos) END AS gen_text,
-       ((doc_id * 37 + p.pos * 11) % 100) / 1e2 AS score,
-       CAST(p.pos * 10 AS BIGINT) AS x1, CAST((p.pos % 3) * 20 AS BIGINT) AS y1,
-       CAST(p.pos * 10 + 6 * LENGTH(SPLIT_PART(text, ' ', p.pos)) AS BIGINT) AS x2, CAST((p.pos % 3) * 20 + 18 AS BIGINT) AS y2
-FROM @documents CROSS JOIN (VALUES (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12)) AS p(pos)"""
+# every word of every text; twelve words in a row are one image
+_DETECTIONS = """
+SELECT doc_id * 10000 + {chunk} AS image, pos, word AS ref_text,
+       CASE WHEN (pos + doc_id) % 4 = 0 THEN NULL WHEN (pos + doc_id) % 6 = 1 THEN CONCAT(word, 'x') ELSE word END AS gen_text,
+       ((doc_id * 37 + pos * 11) % 100) / 1e2 AS score,
+       pos * 10 AS x1, (pos % 3) * 20 AS y1, CAST(pos * 10 + 6 * LENGTH(word) AS BIGINT) AS x2, (pos % 3) * 20 + 18 AS y2
+FROM (SELECT doc_id, k, CAST(k % 12 + 1 AS BIGINT) AS pos, word FROM ({words}) w) v"""
+DETECTIONS = {
+    "spark": _DETECTIONS.format(chunk="k DIV 12", words="SELECT doc_id, CAST(k AS BIGINT) AS k, word FROM @documents LATERAL VIEW POSEXPLODE(SPLIT(text, ' ')) t AS k, word"),
+    "duckdb": _DETECTIONS.format(chunk="k // 12", words="SELECT doc_id, UNNEST(RANGE(LEN(ws))) AS k, UNNEST(ws) AS word FROM (SELECT doc_id, STRING_SPLIT(text, ' ') AS ws FROM @documents) s"),
+}
 
 FEATURE_POSITIONS = """
 SELECT p_partkey AS image, CAST(f.i AS BIGINT) AS i, ((p_partkey * 97 + f.i * 31) % 1000) / 1e3 AS position

@@ -16,15 +16,25 @@ JUDGE_SCHEMA = T.StructType(
 )
 
 
+#: The characters that stripping takes off both ends.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(text: Column) -> Column:
+    """Without Unicode white space at either end."""
+    return F.trim(text, F.lit(BLANKS))
+
+
 def normalize_text(text: Column) -> Column:
     """Null as empty, runs of Unicode white space as one space, trimmed, lower case."""
     return F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " ")))
 
 
 def strip_code_fences(text: Column) -> Column:
-    """Without a leading and a trailing fence."""
-    head = F.regexp_replace(F.trim(text), r"^```[a-zA-Z]*\s*", "")
-    return F.trim(F.regexp_replace(head, r"\s*```$", ""))
+    """Stripped, then without a leading fence (of html, json or no language) and without a trailing one. Of any other language's fence the name stays."""
+    head = F.regexp_replace(strip(text), r"^```(?:html|json)?", "")
+    tail = F.regexp_replace(strip(head), r"```\z", "")
+    return strip(tail)
 
 
 def extract_html(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +26,11 @@ def active_count(step: Column) -> Column:
     return F.least(step, F.lit(len(FIELDS))).cast("long")
 
 
+def _value(v) -> Column:
+    """A position, which may be a number or a word: a variant."""
+    return F.lit(None).cast("variant") if v is None else F.parse_json(F.lit(json.dumps(v)))
+
+
 def base_options(charts: DataFrame, id_col: str = "chart_id") -> DataFrame:
     """(chart_id, option): one of five base charts by the id's remainder. A field that a chart doesn't set is null."""
 
@@ -40,9 +46,9 @@ def base_options(charts: DataFrame, id_col: str = "chart_id") -> DataFrame:
     chosen = reduce(lambda rest, k: F.when(F.col(id_col) % len(VARIANTS) == k, F.array(*[series(*s) for s in VARIANTS[k]])).otherwise(rest), range(len(VARIANTS)), F.lit(None))
     none = lambda kind: F.lit(None).cast(kind)
     option = F.struct(
-        F.struct(F.concat(F.lit("Base Chart "), (F.col(id_col) + 1).cast("string")).alias("text"), F.lit("center").alias("left"), F.lit("8").alias("top"), none("struct<color:string>").alias("textStyle")).alias("title"),
+        F.struct(F.concat(F.lit("Base Chart "), (F.col(id_col) + 1).cast("string")).alias("text"), _value("center").alias("left"), _value(8).alias("top"), none("struct<color:string>").alias("textStyle")).alias("title"),
         F.struct(F.lit("axis").alias("trigger")).alias("tooltip"),
-        F.struct(F.lit("8").alias("top"), F.lit("center").alias("left"), none("int").alias("bottom"), none("int").alias("right"), none("string").alias("orient")).alias("legend"),
+        F.struct(_value(8).alias("top"), _value("center").alias("left"), none("int").alias("bottom"), none("int").alias("right"), none("string").alias("orient")).alias("legend"),
         F.struct(F.lit(50).alias("left"), F.lit(30).alias("right"), F.lit(55).alias("top"), F.lit(40).alias("bottom")).alias("grid"),
         F.struct(F.lit("category").alias("type"), F.array(*map(F.lit, MONTHS)).alias("data")).alias("xAxis"),
         F.struct(F.lit("value").alias("type"), F.struct(F.lit(False).alias("show"), none("struct<type:string,color:string>").alias("lineStyle")).alias("splitLine")).alias("yAxis"),
@@ -59,22 +65,23 @@ def _each(option: Column, change) -> Column:
 
 # What each of the ten edits sets (None: takes away).
 EDITS = {
-    1: {"title.text": "Quarterly Review Dashboard", "title.left": "center", "title.top": "10"},
+    1: {"title.text": "Quarterly Review Dashboard", "title.left": "center", "title.top": 10},
     2: {"legend.bottom": 10, "legend.left": "center", "legend.orient": "horizontal", "legend.right": None, "legend.top": None},
     3: {"backgroundColor": "#f7f7fb"},
     5: {"color": ["#2456A6", "#2F8F6B", "#D9822B"]},
     6: {"yAxis.splitLine.show": True},
     7: {"grid.left": 70, "grid.right": 50, "grid.top": 80, "grid.bottom": 70},
-    9: {"title.left": "30", "title.top": "10"},
+    9: {"title.left": 30, "title.top": 10},
     10: {"legend.left": None, "legend.bottom": None, "legend.right": 12, "legend.top": "middle", "legend.orient": "vertical"},
 }
-_KINDS = {"legend.right": "int", "legend.top": "string", "legend.left": "string", "legend.bottom": "int"}
+#: Fields that hold numbers or words.
+_VARIANTS = ("title.left", "title.top", "legend.left", "legend.top")
 
 
 def apply_edit_step(option: Column, step: int) -> Column:
     """The option after one of the ten edits."""
     for path, value in EDITS.get(step, {}).items():
-        new = F.array(*map(F.lit, value)) if isinstance(value, list) else F.lit(value).cast(_KINDS[path]) if value is None else F.lit(value)
+        new = _value(value) if path in _VARIANTS else F.array(*map(F.lit, value)) if isinstance(value, list) else F.lit(value).cast("int") if value is None else F.lit(value)
         option = option.withField(path, new)
     if step == 4:
         option = _each(option, lambda s: s.withField("label", F.struct(F.lit(True).alias("show"), F.lit("top").alias("position"))))

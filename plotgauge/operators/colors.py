@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 ACHROMATIC = 14
 MERGE_DISTANCE = 14
@@ -14,14 +17,14 @@ MERGE_DISTANCE = 14
 def nearest_color(colors: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Add `name` and the dictionary's l0, l1, l2 to rows (c0, c1, c2): the nearest entry, the first of equals.
 
-    Each distinct colour is looked up once, against the dictionary as one array, so no rows multiply.
+    The dictionary stands as one array beside each row, so nothing is joined on a colour, of which one may fill most of all images, and
+    no rows multiply. Count colours by image first where pixels aren't wanted one by one.
     """
     entries = dictionary.agg(F.array_sort(F.collect_list(F.struct("idx", "name", "l0", "l1", "l2"))).alias("_d"))
-    distinct = colors.select("c0", "c1", "c2").distinct().crossJoin(F.broadcast(entries))
     square = lambda a, b: (a - b) * (a - b)
     ranked = F.transform("_d", lambda e: F.struct((square(F.col("c0"), e["l0"]) + square(F.col("c1"), e["l1"]) + square(F.col("c2"), e["l2"])).alias("dist"), e["idx"].alias("idx"), e["name"].alias("name"), e["l0"].alias("l0"), e["l1"].alias("l1"), e["l2"].alias("l2")))
-    named = distinct.withColumn("_n", F.array_min(ranked)).select("c0", "c1", "c2", "_n.name", "_n.l0", "_n.l1", "_n.l2")
-    return colors.join(named, ["c0", "c1", "c2"])
+    named = colors.crossJoin(F.broadcast(entries)).withColumn("_nearest", F.array_min(ranked))  # one row
+    return named.select(*[F.col(f"`{c}`") for c in colors.columns], "_nearest.name", "_nearest.l0", "_nearest.l1", "_nearest.l2")
 
 
 def color_profile(pixels: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -148,30 +151,45 @@ def _merge_lightness(names: list[str], labs: np.ndarray, t: float) -> dict[str,
     return root
 
 
-def semantic_merge(profile: DataFrame, similarity: DataFrame) -> DataFrame:
-    """(image, name, merged) for the chromatic colours of each image. The similarity table is a dictionary of names, put beside each image's rows by a join."""
-    pairs = similar_pairs(profile, similarity).groupBy("image", "name").agg(F.collect_set("absorbs").alias("may"))
-    rows = profile.select("image", "name", "n").join(pairs, ["image", "name"], "left")
+def _by_image(profile: DataFrame, columns: list[str], work, kind: str) -> DataFrame:
+    """(image, ...): `work` on each image's named colours, a list of dicts that gives a list of dicts of the fields of `kind`. An image's
+    colours are one value, a dictionary's entries at most, and a batch of images goes through one Arrow UDF."""
+    fields = T.ArrayType(T.StructType.fromDDL(kind))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "name"], ascending=[False, True])
-        may = {n: set(m) for n, m in zip(pdf["name"], pdf["may"]) if m is not None}
-        merged = _merge_similar(pdf["name"].tolist(), pdf["n"].tolist(), may)
-        return pd.DataFrame({"image": pdf["image"], "name": pdf["name"], "merged": pdf["name"].map(merged)})
+    @F.arrow_udf(fields)
+    def run(images: pa.Array) -> pa.Array:
+        return pa.array([work(x) for x in images.to_pylist()], to_arrow_type(fields))
 
-    return rows.groupBy("image").applyInPandas(run, f"image {profile.schema['image'].dataType.simpleString()}, name string, merged string")
+    lists = profile.groupBy("image").agg(F.collect_list(F.struct(*columns)).alias("_c"))
+    return lists.select("image", F.explode(run("_c")).alias("_r")).select("image", "_r.*")
 
 
-def lightness_merge(profile: DataFrame, t: float = MERGE_DISTANCE) -> DataFrame:
-    """(image, name, merged) by closeness of neighbours in lightness."""
+def _absorbing(profile: DataFrame, similarity: DataFrame) -> DataFrame:
+    """(image, name, may): the names that a colour may take in. Similar names are one list for each dictionary entry, a table as small as the dictionary."""
+    lists = similarity.groupBy("name").agg(F.collect_set("similar_name").alias("may"))
+    return profile.join(lists, "name", "left")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["l0", "name"], ascending=[False, True])
-        merged = _merge_lightness(pdf["name"].tolist(), pdf[["l0", "l1", "l2"]].to_numpy(float), t)
-        return pd.DataFrame({"image": pdf["image"], "name": pdf["name"], "merged": pdf["name"].map(merged)})
 
-    rows = profile.select("image", "name", "l0", "l1", "l2")
-    return rows.groupBy("image").applyInPandas(run, f"image {profile.schema['image'].dataType.simpleString()}, name string, merged string")
+def _merged_similar(colors: list[dict]) -> dict[str, str]:
+    colors = sorted(colors, key=lambda c: (-c["n"], c["name"]))
+    return _merge_similar([c["name"] for c in colors], [c["n"] for c in colors], {c["name"]: set(c["may"] or ()) for c in colors})
+
+
+def _merged_lightness(colors: list[dict], t: float) -> dict[str, str]:
+    colors = sorted(colors, key=lambda c: (-c["l0"], c["name"]))
+    return _merge_lightness([c["name"] for c in colors], np.array([[c["l0"], c["l1"], c["l2"]] for c in colors], float), t)
+
+
+def semantic_merge(profile: DataFrame, similarity: DataFrame) -> DataFrame:
+    """(image, name, merged) for the chromatic colours of each image."""
+    work = lambda colors: [{"name": n, "merged": m} for n, m in _merged_similar(colors).items()]
+    return _by_image(_absorbing(profile, similarity), ["name", "n", "may"], work, "name string, merged string")
+
+
+def lightness_merge(profile: DataFrame, t: float = MERGE_DISTANCE) -> DataFrame:
+    """(image, name, merged) by closeness of neighbours in lightness."""
+    work = lambda colors: [{"name": n, "merged": m} for n, m in _merged_lightness(colors, t).items()]
+    return _by_image(profile, ["name", "l0", "l1", "l2"], work, "name string, merged string")
 
 
 def count_named_colors(profile: DataFrame, similarity: DataFrame, t: float = MERGE_DISTANCE, background: list[str] | None = None, bw: bool = False) -> DataFrame:
@@ -181,23 +199,19 @@ def count_named_colors(profile: DataFrame, similarity: DataFrame, t: float = MER
     colours into the second. Background colours, if given, are left out before and added to the names at the end.
     """
     rows = foreground(profile, background) if background else profile
-    rows = achromatic_split(rows)
-    if bw:
-        first = rows.withColumn("merged", F.col("name"))
-        close = rows
-    else:
-        merged = semantic_merge(rows.where("NOT achromatic"), similarity)
-        first = rows.join(merged, ["image", "name"], "left").withColumn("merged", F.coalesce("merged", "name"))
-        roots = first.where("name = merged")
-        has = F.bool_or("achromatic").over(Window.partitionBy("image"))
-        close = roots.withColumn("_has", has).where("achromatic OR NOT _has")
-    second = lightness_merge(close.select("image", "name", "l0", "l1", "l2"), t).select("image", F.col("merged").alias("_final"), F.col("name").alias("_from"))
-    second = second.withColumnRenamed("_from", "merged")
-    final = first.select("image", "merged").distinct().join(second, ["image", "merged"], "left").withColumn("_final", F.coalesce("_final", "merged"))
-    names = F.collect_set("_final")
-    if background:
-        names = F.array_union(names, F.array(*map(F.lit, background)))
-    return final.groupBy("image").agg(F.sort_array(names).alias("names")).withColumn("n_colors", F.size("names").cast("long"))
+    rows = rows.withColumn("achromatic", achromatic(F.col("l1"), F.col("l2")))
+
+    def work(colors: list[dict]) -> list[dict]:
+        chromatic = [] if bw else [c for c in colors if not c["achromatic"]]
+        merged = {c["name"]: c["name"] for c in colors} | (_merged_similar(chromatic) if chromatic else {})
+        roots = [c for c in colors if merged[c["name"]] == c["name"]]
+        close = colors if bw else [c for c in roots if c["achromatic"]] or roots
+        last = _merged_lightness(close, t)
+        return [{"names": sorted({last.get(m, m) for m in merged.values()})}]
+
+    found = _by_image(_absorbing(rows, similarity), ["name", "n", "l0", "l1", "l2", "achromatic", "may"], work, "names array<string>")
+    names = F.array_sort(F.array_union("names", F.array(*map(F.lit, background)))) if background else F.col("names")
+    return found.select("image", names.alias("names")).withColumn("n_colors", F.size("names").cast("long"))
 
 
 def leader_groups(profile: DataFrame, t: float = 25) -> DataFrame:

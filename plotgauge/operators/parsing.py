@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import JUDGE_SCHEMA, json_payload, valid_json
+from ..functions.text import JUDGE_SCHEMA, json_payload, strip, valid_json
 
 # The keys that a generation task's JSON must have.
 REQUIRED_KEYS = {
@@ -46,8 +46,8 @@ def reject_report(df: DataFrame, cause: str = "reject") -> DataFrame:
 
 
 def clean_detections(df: DataFrame, min_score: float = 0.5, text: str = "text") -> DataFrame:
-    """Confident texts, trimmed and in lower case; empty ones go, equal ones stay."""
-    cleaned = df.where(F.col("score") > min_score).withColumn(text, F.lower(F.trim(F.col(text))))
+    """Confident texts, stripped of white space of any kind and in lower case; empty ones go, equal ones stay."""
+    cleaned = df.where(F.col("score") > min_score).withColumn(text, F.lower(strip(F.col(text))))
     return cleaned.where(F.col(text) != "")
 
 

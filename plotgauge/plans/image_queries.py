@@ -212,10 +212,11 @@ def a18(spark, d):
     return g.select("image", *[F.round(c, 6).alias(c) for c in ("contrast", "dissimilarity", "heterogeneity", "energy", "correlation")])
 
 
-@query("a19_text_ink_ratio", "SELECT doc_id AS image, round_even(coalesce(a, 0) / (1200 * 800), 2) AS ratio FROM documents LEFT JOIN (SELECT image, sum((x2 - x1) * (y2 - y1)) AS a FROM detections GROUP BY image) ON image = doc_id", ("detections",))
+@query("a19_text_ink_ratio", "SELECT image, round_even(sum((x2 - x1) * (y2 - y1)) / (300 * 200), 2) AS ratio FROM detections GROUP BY image", ("detections",))
 def a19(spark, d):
-    sizes = table(spark, d, "documents").select(F.col("doc_id").alias("image"), F.lit(1200).alias("width"), F.lit(800).alias("height"))
-    return M.text_ink_ratio(adapter(spark, d, "detections"), sizes)
+    boxes = adapter(spark, d, "detections")
+    sizes = boxes.select("image", F.lit(300).alias("width"), F.lit(200).alias("height")).distinct()
+    return M.text_ink_ratio(boxes, sizes)
 
 
 MODEL_SQL = ", model(i, feature, coefficient, low, high) AS (VALUES " + ", ".join(f"({i}, '{f}', {c!r}::DOUBLE, {lo!r}::DOUBLE, {hi!r}::DOUBLE)" for i, (f, c, lo, hi) in enumerate(M.MODEL)) + "), feat AS (SELECT image, feature, low + position * (high - low) AS value FROM feature_positions p JOIN model m ON m.i = p.i)\n"
@@ -281,6 +282,16 @@ def a21(spark, d):
     return K.count_named_colors(profile(spark, d), adapter(spark, d, "color_similarity"))
 
 
+@query("a21_with_background")
+def a21b(spark, d):
+    return K.count_named_colors(profile(spark, d), adapter(spark, d, "color_similarity"), background=["c01", "c02"])
+
+
+@query("a21_black_and_white")
+def a21c(spark, d):
+    return K.count_named_colors(profile(spark, d), adapter(spark, d, "color_similarity"), bw=True)
+
+
 @query("h4_text_similarity")
 def h4(spark, d):
     s = adapter(spark, d, "states").select("sample", "data_index", "tooltip", F.lead("tooltip").over(Window.partitionBy("sample").orderBy("data_index")).alias("following"))
@@ -301,7 +312,7 @@ def h6(spark, d):
 
 @query("h7_radius_components")
 def h7(spark, d):
-    return K.radius_components(profile(spark, d), eps=30)
+    return K.radius_components(profile(spark, d))
 
 
 @query("h8_weighted_kmeans")

@@ -26,9 +26,7 @@ def evaluation(samples: DataFrame, detections: DataFrame, profiles: DataFrame, s
     key = F.struct(*keys)
     clean = parsing.clean_detections(detections).withColumn("key", key)
     text = text_match.text_f1(parsing.pair_ref_gen(clean.where("side = 'ref'"), clean.where("side = 'gen'"), key="key"), key="key").select("key.*", "ocr_f1")
-    named = colors.count_named_colors(profiles.withColumn("image", F.concat_ws("\u0001", *keys, "side")), similarity)
-    parts = F.split("image", "\u0001")
-    named = named.select(*[parts[k].alias(c) for k, c in enumerate([*keys, "side"])], "names")
+    named = colors.count_named_colors(profiles.withColumn("image", F.struct(*keys, "side")), similarity).select("image.*", "names")
     side = lambda s: F.coalesce(F.max(F.when(F.col("side") == s, F.col("names"))), F.array().cast("array<string>"))
     color = named.groupBy(*keys).agg(side("ref").alias("_r"), side("gen").alias("_g")).select(*keys, scoring.color_iou(F.col("_r"), F.col("_g")).alias("color_iou"))
     judge = parsing.flatten_judge(parsing.parse_judge(judged)).select(*keys, "visual_logic", "data_fidelity", F.col("style_consistency").alias("style"), F.lit(0.0).alias("judge_overall"))

@@ -85,9 +85,20 @@ def p08(spark, d):
     return _answers(spark, d).select("sample", F.md5(X.extract_html(F.col("answer"))).alias("html_md5"))
 
 
-@query("p11_strip_code_fences", f"SELECT sample, md5(trim(regexp_replace(regexp_replace(trim(a), '^```[a-zA-Z]*\\s*', ''), '\\s*```$', ''))) AS text_md5 FROM (SELECT sample, {_ANSWER} AS a FROM source_samples)", SAMPLES)
+#: white space that stripping takes off
+_BLANKS = "concat(chr(9), chr(10), chr(11), chr(12), chr(13), chr(28), chr(29), chr(30), chr(31), ' ', chr(133), chr(160), chr(5760), chr(8192), chr(8193), chr(8194), chr(8195), chr(8196), chr(8197), chr(8198), chr(8199), chr(8200), chr(8201), chr(8202), chr(8232), chr(8233), chr(8239), chr(8287), chr(12288))"
+_FENCED = "CASE sample % 5 WHEN 0 THEN concat(chr(10), '```html', chr(10), html, chr(10), '```', chr(10)) WHEN 1 THEN concat('```json ', html, chr(12288), '```') WHEN 2 THEN concat(chr(9), '```', html, '```', chr(160)) WHEN 3 THEN concat('```javascript', chr(10), html, chr(10), '```') ELSE concat(html, ' ') END"
+
+
+@query("p11_strip_code_fences", f"""
+, a AS (SELECT sample, trim({_FENCED}, {_BLANKS}) AS t FROM source_samples),
+b AS (SELECT sample, trim(CASE WHEN starts_with(t, '```html') OR starts_with(t, '```json') THEN substr(t, 8) WHEN starts_with(t, '```') THEN substr(t, 4) ELSE t END, {_BLANKS}) AS t FROM a)
+SELECT sample, md5(trim(CASE WHEN suffix(t, '```') THEN substr(t, 1, length(t) - 3) ELSE t END, {_BLANKS})) AS text_md5 FROM b""", SAMPLES)
 def p11(spark, d):
-    return _answers(spark, d).select("sample", F.md5(X.strip_code_fences(F.col("answer"))).alias("text_md5"))
+    html, nl, fence = F.col("html"), F.lit("\n"), F.lit("```")
+    kinds = [F.concat(F.lit("\n```html\n"), html, nl, fence, nl), F.concat(F.lit("```json "), html, F.lit("\u3000"), fence), F.concat(F.lit("\t"), fence, html, fence, F.lit("\xa0")), F.concat(F.lit("```javascript\n"), html, nl, fence), F.concat(html, F.lit(" "))]
+    answer = F.get(F.array(*kinds), (F.col("sample") % 5).cast("int"))
+    return adapter(spark, d, "source_samples").select("sample", F.md5(X.strip_code_fences(answer)).alias("text_md5"))
 
 
 @query("p13_wrap_html", "SELECT sample, length(CASE WHEN contains(lower(t), '<html') THEN t ELSE concat('<html><body>', t, '</body></html>') END) AS n FROM (SELECT sample, CASE WHEN sample % 2 = 0 THEN html ELSE replace(replace(html, '<html', '<div'), '<HTML', '<div') END AS t FROM source_samples)", SAMPLES)
@@ -165,7 +176,7 @@ def p17(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(X.normalize_text(F.col("text"))).alias("text_md5"))
 
 
-_CLEAN = "SELECT image, pos, lower(trim({t})) AS text FROM detections WHERE score > 0.5 AND trim({t}) <> ''"
+_CLEAN = "SELECT image, pos, lower(trim({t}, " + _BLANKS + ")) AS text FROM detections WHERE score > 0.5 AND trim({t}, " + _BLANKS + ") <> ''"
 
 
 def detections(spark, d, side):
@@ -187,8 +198,12 @@ def j02(spark, d):
 @query("j08_transfer_pairs", """
 WITH h AS (SELECT page_id AS sample, md5(concat('11:', page_id)) AS h FROM pages),
 placed AS (SELECT sample, row_number() OVER (ORDER BY h, sample) - 1 AS pos, count(*) OVER () AS n FROM h),
-asked AS (SELECT sample, (pos + CAST(concat('0x', substr(md5(concat('11:', sample, ':', i)), 1, 8)) AS BIGINT)) % n AS t FROM placed, (VALUES (1), (2), (3)) v(i))
-SELECT DISTINCT a.sample, p.sample AS to_sample FROM asked a JOIN placed p ON p.pos = a.t WHERE a.sample <> p.sample""")
+drawn AS (SELECT sample, pos, n, i, CAST(concat('0x', substr(md5(concat('11:', sample, ':', i)), 1, 8)) AS BIGINT) % (n + 1 - i) AS u FROM placed, (VALUES (1), (2), (3)) v(i) WHERE n >= 3),
+wide AS (SELECT sample, any_value(pos) AS pos, any_value(n) AS n, max(u) FILTER (WHERE i = 1) AS a, max(u) FILTER (WHERE i = 2) AS u2, max(u) FILTER (WHERE i = 3) AS u3 FROM drawn GROUP BY sample),
+two AS (SELECT *, CASE WHEN u2 >= a THEN u2 + 1 ELSE u2 END AS b FROM wide),
+three AS (SELECT *, CASE WHEN u3 < least(a, b) THEN u3 WHEN u3 + 1 < greatest(a, b) THEN u3 + 1 ELSE u3 + 2 END AS c FROM two),
+asked AS (SELECT sample, (pos + unnest([a, b, c])) % n AS t FROM three)
+SELECT a.sample, p.sample AS to_sample FROM asked a JOIN placed p ON p.pos = a.t WHERE a.sample <> p.sample""")
 def j08(spark, d):
     return Y.sample_transfer_pairs(table(spark, d, "pages").select(F.col("page_id").alias("sample")))
 

@@ -142,26 +142,26 @@ tau AS (SELECT p.amplitude, p.idx, p.task, sum(x * sign(p.score - q.score)) / nu
         GROUP BY p.amplitude, p.idx, p.task)"""
 
 
-@query("j10_cross_weights", MEANS + "," + WEIGHTS.format(n=50) + " SELECT amplitude, idx, task, model, round(score, 6) AS score FROM pert", USES)
+@query("j10_cross_weights", MEANS + "," + WEIGHTS.format(n=1000) + " SELECT amplitude, idx, task, model, round(score, 6) AS score FROM pert", USES)
 def j10(spark, d):
-    return R.cross_weights(S.metric_means(records(spark, d)), R.perturbed_weights(spark, 50)).withColumn("score", F.round("score", 6))
+    return R.cross_weights(S.metric_means(records(spark, d)), R.perturbed_weights(spark)).withColumn("score", F.round("score", 6))
 
 
-def _correlations(spark, d, samples):
+def _correlations(spark, d):
     means = S.metric_means(records(spark, d))
     base = S.composite_score(means)
-    scores = R.cross_weights(means, R.perturbed_weights(spark, samples))
+    scores = R.cross_weights(means, R.perturbed_weights(spark))
     return base, scores
 
 
-@query("a11_spearman", MEANS + "," + WEIGHTS.format(n=100) + "," + RHO + " SELECT amplitude, idx, task, round(spearman, 6) AS spearman FROM rho", USES)
+@query("a11_spearman", MEANS + "," + WEIGHTS.format(n=1000) + "," + RHO + " SELECT amplitude, idx, task, round(spearman, 6) AS spearman FROM rho", USES)
 def a11(spark, d):
-    return R.spearman(*_correlations(spark, d, 100)).withColumn("spearman", F.round("spearman", 6))
+    return R.spearman(*_correlations(spark, d)).withColumn("spearman", F.round("spearman", 6))
 
 
-@query("a12_kendall_tau_b", MEANS + "," + WEIGHTS.format(n=100) + "," + TAU + " SELECT amplitude, idx, task, round(kendall, 6) AS kendall FROM tau", USES)
+@query("a12_kendall_tau_b", MEANS + "," + WEIGHTS.format(n=1000) + "," + TAU + " SELECT amplitude, idx, task, round(kendall, 6) AS kendall FROM tau", USES)
 def a12(spark, d):
-    return R.kendall_tau_b(*_correlations(spark, d, 100)).withColumn("kendall", F.round("kendall", 6))
+    return R.kendall_tau_b(*_correlations(spark, d)).withColumn("kendall", F.round("kendall", 6))
 
 
 def _summary_sql(value: str, source: str) -> str:
@@ -175,18 +175,18 @@ def _rounded(df):
 
 @query("a10_robustness_spearman", MEANS + "," + WEIGHTS.format(n=1000) + "," + RHO + _summary_sql("spearman", "rho"), USES)
 def a10(spark, d):
-    return _rounded(R.robustness_summary(R.spearman(*_correlations(spark, d, 1000)), "spearman"))
+    return _rounded(R.robustness_summary(R.spearman(*_correlations(spark, d)), "spearman"))
 
 
 @query("a10_robustness_kendall", MEANS + "," + WEIGHTS.format(n=1000) + "," + TAU + _summary_sql("kendall", "tau"), USES)
 def a10b(spark, d):
-    return _rounded(R.robustness_summary(R.kendall_tau_b(*_correlations(spark, d, 1000)), "kendall"))
+    return _rounded(R.robustness_summary(R.kendall_tau_b(*_correlations(spark, d)), "kendall"))
 
 
-@query("a13_worst_perturbation", MEANS + "," + WEIGHTS.format(n=200) + "," + RHO + "," + TAU + """
+@query("a13_worst_perturbation", MEANS + "," + WEIGHTS.format(n=1000) + "," + RHO + "," + TAU + """
 SELECT amplitude, idx, mean_spearman, mean_kendall FROM (
   SELECT *, row_number() OVER (PARTITION BY amplitude ORDER BY mean_spearman, idx) AS r FROM (
     SELECT amplitude, idx, round(avg(spearman), 9) AS mean_spearman, round(avg(kendall), 9) AS mean_kendall FROM rho JOIN tau USING (amplitude, idx, task) GROUP BY amplitude, idx)) WHERE r = 1""", USES)
 def a13(spark, d):
-    base, scores = _correlations(spark, d, 200)
+    base, scores = _correlations(spark, d)
     return R.worst_perturbation(R.spearman(base, scores), R.kendall_tau_b(base, scores))
