@@ -184,11 +184,14 @@ def p26(spark, d):
     return page.select("chart_id", (html_gate(F.col("page")) & F.col("page").contains('"series":[')).alias("whole"))
 
 
-@query("j11_field_fidelity", """
+_FIDELITY = """
 WITH s AS (SELECT c_custkey AS chart_id, step, least(step, 9) AS n, CASE WHEN c_custkey % 3 = 0 THEN greatest(step - 1, 0) ELSE step END AS g FROM customer, range(1, 11) r(step)),
 m AS (SELECT chart_id, step, n, 1 + CASE WHEN n < 2 THEN 0 WHEN (step >= 10) = (g >= 10) AND (g >= 2) THEN 1 ELSE 0 END + CASE WHEN n >= 3 AND g >= 3 THEN 1 ELSE 0 END + CASE WHEN n >= 4 AND g >= 4 THEN 1 ELSE 0 END
         + CASE WHEN n >= 5 AND g >= 5 THEN 1 ELSE 0 END + CASE WHEN n >= 6 AND g >= 6 THEN 1 ELSE 0 END + CASE WHEN n >= 7 AND g >= 7 THEN 1 ELSE 0 END + CASE WHEN n >= 8 AND g >= 8 THEN 1 ELSE 0 END + CASE WHEN n >= 9 AND g >= 9 THEN 1 ELSE 0 END
-        - CASE WHEN g = 0 THEN 1 ELSE 0 END AS same FROM s)
+        - CASE WHEN g = 0 THEN 1 ELSE 0 END AS same FROM s)"""
+
+
+@query("j11_field_fidelity", _FIDELITY + """
 SELECT chart_id, step, round(same / n, 4) AS field_fidelity, same = n AS exact_match FROM m""")
 def j11(spark, d):
     ref = C.semantic_signature(C.chain_options(_charts(spark, d)))

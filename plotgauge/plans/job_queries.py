@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..fixtures import adapter, table
+from ..operators.chains import base_options, chain_options
 from ..operators.colors import color_profile
+from ..sources.readers import read_model_coefficients, read_prompts
+from ..sources.writers import write_results
+from ..streaming.results import scratch
 from . import jobs
+from .behaviour_queries import _FAIL, _FIDELITY, ANCHORS
 from .registry import query
 from .scoring_queries import MEANS, RHO, TAU, USES, WEIGHTS, _summary_sql
 
@@ -46,3 +51,62 @@ def job_synthesis(spark, d):
     s = adapter(spark, d, "source_samples")
     out = jobs.synthesis_prompts(s, s.where("sample % 5 = 0"), "Make: {}", {"{}": "html"}, text="html_lines", max_lines=45)
     return out.select("sample", F.md5("prompt").alias("prompt_md5"))
+
+
+def _state_sides(spark, d):
+    """Every fourth state is absent on the generated side, every third has the same tooltip in capitals, the others a longer one."""
+    ref = adapter(spark, d, "states").select("sample", "data_index", "data_len", "tooltip")
+    text = F.when(F.col("data_index") % 3 == 0, F.upper("tooltip")).otherwise(F.concat("tooltip", F.lit("  ZZ ")))
+    return ref, ref.where("data_index % 4 <> 3").withColumn("tooltip", text)
+
+
+# the ratio of a text and itself with three more characters is 2 n / (2 n + 3)
+_SIM = ANCHORS + """,
+flags AS (SELECT a.sample, a.position, t.threshold, s.sim >= t.threshold AS passed FROM (
+  SELECT a.sample, a.position, CASE WHEN a.data_index % 4 = 3 THEN 0.0 WHEN a.data_index % 3 = 0 THEN 1.0 ELSE round(2.0 * length(tooltip) / (2 * length(tooltip) + 3), 4) END::DOUBLE AS sim
+  FROM anch a JOIN states s ON s.sample = a.sample AND s.data_index = a.data_index) s JOIN anch a ON a.sample = s.sample AND a.position = s.position, (VALUES (CAST(0.85 AS DOUBLE)), (CAST(0.90 AS DOUBLE))) t(threshold))
+"""
+
+
+@query("job_behaviour", _SIM + _FAIL + "SELECT threshold, CAST(k AS BIGINT) AS k, fail_at, round(fail_at - lag(fail_at) OVER (PARTITION BY threshold ORDER BY k), 4) AS delta FROM fk", ("states",))
+def job_behaviour(spark, d):
+    return jobs.multi_state(*_state_sides(spark, d))["fail_at"]
+
+
+@query("job_edit_chains", _FIDELITY + """,
+raw AS (SELECT chart_id, step, NOT (chart_id % 7 = 1 AND step = 6) AND NOT (chart_id % 11 = 2 AND step = 4) AS ok, round(same / n, 4) AS f, same = n AS em FROM m),
+dead AS (SELECT chart_id, min(step) FILTER (WHERE NOT ok) AS c FROM raw GROUP BY chart_id)
+SELECT r.chart_id, r.step, coalesce(r.step < c, true) AS render_ok, em AND coalesce(r.step < c, true) AS exact_match, CASE WHEN r.step >= c THEN 0.0 ELSE f END AS field_fidelity FROM raw r JOIN dead d ON d.chart_id = r.chart_id""")
+def job_edit_chains(spark, d):
+    """Every third chart's model is one edit behind; some answers hold no JSON, some pages don't render."""
+    ref = chain_options(base_options(table(spark, d, "customer").select(F.col("c_custkey").alias("chart_id"))))
+    late = ref.where("chart_id % 3 = 0 AND step < 10").withColumn("step", F.col("step") + 1)
+    gen = late.unionByName(ref.where("chart_id % 3 <> 0 AND step > 0"))
+    raw = F.when((F.col("chart_id") % 7 == 1) & (F.col("step") == 6), "no answer").otherwise(F.concat(F.lit("Here:\n```json\n"), "option", F.lit("\n```")))
+    answers = gen.select("chart_id", "step", raw.alias("raw"), (~((F.col("chart_id") % 11 == 2) & (F.col("step") == 4))).alias("rendered"))
+    return jobs.edit_chains(ref, answers)["chain"].select("chart_id", "step", "render_ok", "exact_match", "field_fidelity")
+
+
+@query("s4_write_results", "SELECT model, task, count(*) AS n, round(sum(CASE WHEN task = 'data_edit' THEN ocr_f1 / 2 ELSE ocr_f1 END), 4) AS ocr_f1 FROM eval_records GROUP BY model, task", ("eval_records",))
+def s4(spark, d):
+    """Records written by model and task; then one task is written again, which replaces its part only."""
+    at, records = scratch(spark, "records"), adapter(spark, d, "eval_records").select("model", "task", "sample", "ocr_f1")
+    write_results(records, at)
+    write_results(records.where("task = 'data_edit'").withColumn("ocr_f1", F.col("ocr_f1") / 2), at)
+    return spark.read.parquet(at).groupBy("model", "task").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("ocr_f1"), 4).alias("ocr_f1"))
+
+
+@query("s5_model_coefficients", "SELECT concat('O.', p_partkey) AS feature, p_retailprice / 1000 AS coefficient FROM part")
+def s5(spark, d):
+    at = scratch(spark, "coefficients")
+    rows = table(spark, d, "part").select(F.concat(F.lit("O."), F.col("p_partkey").cast("string")).alias("Feature"), (F.col("p_retailprice") / 1000).alias("coefficient"), F.col("p_size").alias("p-value"))
+    rows.write.csv(at, header=True)
+    return read_model_coefficients(spark, at)
+
+
+@query("s8_prompts", "SELECT concat('Draw {} for ', n_name, '.', chr(10)) AS template FROM nation")
+def s8(spark, d):
+    """One template a file, each read as a whole."""
+    at = scratch(spark, "prompts")
+    table(spark, d, "nation").select("n_nationkey", F.concat(F.lit("Draw {} for "), "n_name", F.lit(".")).alias("value")).write.partitionBy("n_nationkey").text(at)
+    return read_prompts(spark, at).select("template")

@@ -1,4 +1,4 @@
-"""The four end-to-end jobs, put together from operators."""
+"""The end-to-end jobs, put together from operators."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import html_gate
+from ..functions.text import html_gate, json_block
 from ..operators import chains, colors, complexity, parsing, pixels, robustness, scoring, states, synthesis, text_match
 
 KEYS = ["model", "task", "sample"]
@@ -63,19 +63,28 @@ def visual_complexity(spark: SparkSession, pixel_rows: DataFrame, gray: DataFram
     return complexity.complexity_score(features, complexity.model_table(spark))
 
 
-def behaviour(state_rows: DataFrame, step_rows: DataFrame) -> dict[str, DataFrame]:
-    """Summaries of multi-state samples (sample, data_index, data_len, sim) and of edit chains (chart_id, step, render_ok, matched, n_active)."""
-    wanted = states.state_anchors(state_rows.groupBy("sample").agg(F.max("data_len").alias("data_len")))
-    flags = states.pass_flags(wanted.join(state_rows.select("sample", "data_index", "sim"), ["sample", "data_index"]))
-    steps = chains.carry_hard_collapse(chains.scored_steps(step_rows))
-    return {
-        "fail_at": states.fail_at_k(flags),
-        "core": states.core_predicts_later(flags),
-        "selection": states.balanced_selection(flags),
-        "steps": chains.step_summary(steps),
-        "collapse": chains.collapse_distribution(steps),
-        "drift": chains.drift_distribution(steps),
-    }
+def multi_state(ref: DataFrame, gen: DataFrame) -> dict[str, DataFrame]:
+    """Multi-state charts from both sides' states (sample, data_index, data_len, tooltip): anchors, alignment, similarity of
+    tooltips in four decimals, and only then thresholds. An absent state has an empty tooltip."""
+    wanted = states.state_anchors(ref.groupBy("sample").agg(F.max("data_len").alias("data_len")))
+    compared = text_match.text_similarity(states.align_states(wanted, ref, gen), "ref_text", "gen_text", "sim")
+    flags = states.pass_flags(compared.select("sample", "position", "sim"))
+    return {"states": compared, "fail_at": states.fail_at_k(flags), "core": states.core_predicts_later(flags), "selection": states.balanced_selection(flags)}
+
+
+def edit_chains(reference: DataFrame, answers: DataFrame) -> dict[str, DataFrame]:
+    """Edit chains from reference options (chart_id, step, option) and a model's raw answers (chart_id, step, raw, rendered).
+
+    An answer without a JSON block, or that didn't render, ends its chain: this step and all later ones count as failed.
+    """
+    keys = ["chart_id", "step"]
+    read = answers.select(*keys, json_block(F.col("raw")).alias("option"), "rendered")
+    ok = F.coalesce(F.col("rendered"), F.lit(False)) & F.col("option").isNotNull()
+    fidelity = chains.field_fidelity(chains.semantic_signature(reference), chains.semantic_signature(read.where(ok)))
+    rows = reference.where("step > 0").select(*keys).join(read.select(*keys, ok.alias("render_ok")), keys, "left").join(fidelity, keys, "left")
+    rows = rows.na.fill({"render_ok": False, "exact_match": False, "field_fidelity": 0.0})
+    steps = chains.carry_hard_collapse(rows)
+    return {"chain": steps, "steps": chains.step_summary(steps), "collapse": chains.collapse_distribution(steps), "drift": chains.drift_distribution(steps)}
 
 
 def synthesis_prompts(samples: DataFrame, done: DataFrame, template: str, slots: dict[str, str], text: str = "html", max_lines: int = 200, first: int = 0) -> DataFrame:

@@ -16,52 +16,62 @@ def read_stream(spark: SparkSession, path: str, schema: StructType, kind: str =
     return spark.readStream.schema(schema).format(kind).load(path)
 
 
-def stream_new_results(stream: DataFrame, out: str, checkpoint: str, keys: tuple[str, ...] = KEYS, order: str | None = None):
-    """Append the records whose key isn't stored yet, and wait until what is there now is done.
+def stream_new_results(stream: DataFrame, out: str, checkpoint: str, keys: tuple[str, ...] = KEYS, order: str | None = None, replace: bool = False, buckets: int = 64):
+    """Store the records of samples that have no result yet, and wait until what is there now is done.
 
-    A batch is first reduced to one record for each key (the last by `order`, if given). A batch that is run again after a
-    failure replaces its own part of the table, so it adds nothing twice.
+    A batch is first reduced to one record for each key, the last by `order` if it is given. A key whose stored record has an error
+    count is done, and what comes later for it is left out; without one, as the gate leaves it, the sample is evaluated anew and the later
+    record counts. With `replace` every later record counts. Keys are stored in `buckets` by their hash, so that a batch reads the
+    buckets that it has keys of, not all keys ever stored. A batch that is run again after a failure replaces its own part.
     """
 
     def store(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch
-        if order:
-            fresh = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), order).alias("_r")).select("_r.*")
-        else:
-            fresh = batch.dropDuplicates(list(keys))
-        stored = spark.read.format("parquet").schema(fresh.schema.add("batch", "long")).load(f"{out}/batch=*") if _exists(spark, out) else None
-        if stored is not None:
-            fresh = fresh.join(stored.where(F.col("batch") < number).select(*keys), list(keys), "left_anti")
-        fresh.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        record = F.struct(*batch.columns)
+        fresh = batch.groupBy(*keys).agg((F.max_by(record, order) if order else F.first(record)).alias("_r")).select("_r.*")
+        fresh = fresh.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        if not replace and _exists(spark, out):
+            own = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # `buckets` numbers at most
+            done = _stored(spark, out, batch.schema).where(F.col("bucket").isin(own) & (F.col("batch") < number) & F.col("error_count").isNotNull())
+            fresh = fresh.join(done.select(*keys), list(keys), "left_anti")
+        fresh.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(out)
 
     query = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
+def _stored(spark: SparkSession, out: str, schema: StructType) -> DataFrame:
+    whole = StructType(list(schema.fields)).add("bucket", "integer").add("batch", "long")
+    return spark.read.schema(whole).parquet(out)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-def stored_results(spark: SparkSession, out: str, schema: StructType) -> DataFrame:
-    return spark.read.schema(schema.add("batch", "long") if "batch" not in schema.names else schema).parquet(f"{out}/batch=*").drop("batch")
-
+def stored_results(spark: SparkSession, out: str, schema: StructType, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """The record that counts for each key: of several, that of the last batch. Nothing stored gives no rows."""
+    if not _exists(spark, out):
+        return spark.createDataFrame([], schema)
+    rows = _stored(spark, out, schema).groupBy("bucket", *keys).agg(F.max_by(F.struct(*schema.names), "batch").alias("_r"))
+    return rows.select("_r.*")
 
-def running_leaderboard(stream: DataFrame, name: str, checkpoint: str, distinct: tuple[str, ...] = KEYS) -> DataFrame:
-    """(model, task, n, executable): counts over everything evaluated so far, each key once, kept up to date in the table `name`.
 
-    The state holds the keys seen and one row for each model and task; it ends with the number of samples.
-    """
+def running_leaderboard(stream: DataFrame, out: str, checkpoint: str, keys: tuple[str, ...] = KEYS, order: str | None = None) -> DataFrame:
+    """(model, task, n, executable): counts over everything evaluated so far. Each key counts once, by its last record, which replaces what was stored of it."""
+    stream_new_results(stream, out, checkpoint, keys, order, replace=True)
+    last = stored_results(stream.sparkSession, out, stream.schema, keys)
     ok = F.coalesce(F.col("error_count") <= F.when(F.col("task") == "data_update", 1).otherwise(0), F.lit(False))
-    counts = stream.dropDuplicates(list(distinct)).groupBy("model", "task").agg(F.count(F.lit(1)).alias("n"), F.sum(ok.cast("long")).alias("executable"))
-    query = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return last.groupBy("model", "task").agg(F.count(F.lit(1)).alias("n"), F.sum(ok.cast("long")).alias("executable"))
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder where driver and executors can both write."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/plotgauge-shared"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "/tmp/plotgauge-shared"
     return f"{root.rstrip('/')}/plotgauge-stream/{uuid.uuid4().hex}-{name}"

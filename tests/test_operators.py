@@ -1,5 +1,6 @@
 """Operators and helpers against hand-made cases and plain versions."""
 
+import collections
 import itertools
 import json
 import math
@@ -350,8 +351,15 @@ def test_stream_in_two_drops(spark, tmp_path):
         results.stream_new_results(results.read_stream(spark, drop, schema), out, ck, order="at")
         got = results.stored_results(spark, out, schema)
         assert sorted(values(got, "sample", "at")) == [(str(k), 1 if k < 6 else 2) for k in range(9)]
-    board = results.running_leaderboard(results.read_stream(spark, drop, schema), "board", str(tmp_path / "ck2"))
-    assert values(board, "n") == [9]
+    board = results.running_leaderboard(results.read_stream(spark, drop, schema), str(tmp_path / "board"), str(tmp_path / "ck2"), order="at")
+    assert values(board, "n", "executable") == [(9, 8)]  # of sample 5 the record without errors replaces the one with an error
+    # a record without an error count is evaluated anew
+    spark.createDataFrame([("m", "data_edit", "9", None, 3)], schema).coalesce(1).write.mode("append").json(drop)
+    results.stream_new_results(results.read_stream(spark, drop, schema), out, ck, order="at")
+    spark.createDataFrame([("m", "data_edit", "9", 1, 4), ("m", "data_edit", "0", 5, 4)], schema).coalesce(1).write.mode("append").json(drop)
+    results.stream_new_results(results.read_stream(spark, drop, schema), out, ck, order="at")
+    got = {k: (n, at) for k, n, at in values(results.stored_results(spark, out, schema), "sample", "error_count", "at")}
+    assert got["9"] == (1, 4) and got["0"] == (0, 1) and len(got) == 10
 
 
 def test_transfer_pairs(spark):
@@ -359,4 +367,23 @@ def test_transfer_pairs(spark):
     a = sorted(values(synthesis.sample_transfer_pairs(df), "sample", "to_sample"))
     b = sorted(values(synthesis.sample_transfer_pairs(df.repartition(7)), "sample", "to_sample"))
     assert a == b and all(x != y for x, y in a) and len(a) > 120
-    assert synthesis.sample_transfer_pairs(df.limit(0)).count() == 0
+    per = collections.Counter(x for x, _ in a)
+    assert len(set(a)) == len(a) and set(per.values()) <= {2, 3} and len(per) == 50
+    assert synthesis.sample_transfer_pairs(df.limit(0)).count() == 0 == synthesis.sample_transfer_pairs(df.limit(2)).count()
+    assert synthesis.sample_transfer_pairs(df.limit(3)).count() == 6  # each draws all three, itself among them
+
+
+def test_fences_and_option_values(spark):
+    """As upstream: stripped first, only html and json fences are known, numbers in options stay numbers."""
+    import json
+
+    from plotgauge.functions.text import strip_code_fences
+    from plotgauge.operators.chains import base_options, chain_options
+
+    given = ["\n```html\n<p>x</p>\n```\n", "```javascript\nf()\n```", "\u3000```json {} ```\xa0", "```x```", "plain ", "``` ```"]
+    df = spark.createDataFrame([(x,) for x in given], "t string")
+    assert [r[0] for r in df.select(strip_code_fences(F.col("t"))).collect()] == ["<p>x</p>", "javascript\nf()", "{}", "x", "plain", ""]
+    options = {r["step"]: json.loads(r["option"]) for r in chain_options(base_options(spark.range(1).withColumnRenamed("id", "chart_id"))).collect()}
+    assert [options[k]["title"][x] for k, x in ((0, "top"), (1, "top"), (1, "left"), (9, "left"), (9, "top"))] == [8, 10, "center", 30, 10]
+    assert options[0]["legend"] == {"top": 8, "left": "center"} and options[2]["legend"] == {"left": "center", "bottom": 10, "orient": "horizontal"}
+    assert options[10]["legend"] == {"top": "middle", "right": 12, "orient": "vertical"}
