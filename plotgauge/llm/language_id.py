@@ -92,8 +92,11 @@ class Model:
     def fit(self, rows: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
         """Follow the regularised leader, row by row, with l1 and l2 penalties; then one temperature for held-back rows."""
         p, k = self.p, len(self.labels)
-        used = np.unique(np.concatenate([at for _, at, _ in rows])) if rows else np.empty(0, np.int64)
-        rows = [(y, np.searchsorted(used, at), self.values(at, counts)) for y, at, counts in rows]  # features that the sample has
+        has = np.zeros(len(self.idf), bool)
+        for _, at, _ in rows:
+            has[at] = True
+        used = np.flatnonzero(has)  # features that the sample has
+        rows = [(y, np.searchsorted(used, at).astype(np.int32), self.values(at, counts).astype(np.float32)) for y, at, counts in rows]
         z, n = np.zeros((len(used), k), np.float32), np.zeros((len(used), k), np.float32)
         zb, nb = np.zeros(k), np.zeros(k)
         own, rest = [r for i, r in enumerate(rows) if i % p.calibration], rows[:: p.calibration]
