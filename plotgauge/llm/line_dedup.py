@@ -55,14 +55,15 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     each by its own lines, ties in place being no repeat. A null text has 0 lines and stays null.
     """
     marked = repeated_windows(df, id_col, text_col, window).groupBy("_id", "_version").agg(F.collect_set("_at").alias("_starts"))
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_version"), F.col(text_col).alias("_text"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_version"))
     marked = marked.withColumnsRenamed({"_id": "_mid", "_version": "_mversion"})
     both = rows.join(marked, F.col("_id").eqNullSafe(F.col("_mid")) & (F.col("_version") == F.col("_mversion")), "left")
-    lines = _lines(F.col("_text"))
-    n = F.when(F.col("_text").isNull(), 0).otherwise(F.coalesce(F.size(lines), F.lit(0)))
+    text = F.col("row")[text_col]  # shuffled once, inside its row
+    lines = _lines(text)
+    n = F.when(text.isNull(), 0).otherwise(F.coalesce(F.size(lines), F.lit(0)))
     kept, gone = _without(lines, F.col("_starts"), n, window)
     whole = F.col("_starts").isNull()
-    return both.select("row", n.cast("long").alias("n_lines"), F.when(whole, 0).otherwise(gone).cast("long").alias("n_removed"), F.when(whole, F.col("_text")).otherwise(kept).alias("kept_text"))
+    return both.select("row", n.cast("long").alias("n_lines"), F.when(whole, 0).otherwise(gone).cast("long").alias("n_removed"), F.when(whole, text).otherwise(kept).alias("kept_text"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
