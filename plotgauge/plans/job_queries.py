@@ -87,13 +87,13 @@ def job_edit_chains(spark, d):
     return jobs.edit_chains(ref, answers)["chain"].select("chart_id", "step", "render_ok", "exact_match", "field_fidelity")
 
 
-@query("s4_write_results", "SELECT model, task, count(*) AS n, round(sum(CASE WHEN task = 'data_edit' THEN ocr_f1 / 2 ELSE ocr_f1 END), 4) AS ocr_f1 FROM eval_records GROUP BY model, task", ("eval_records",))
+@query("s4_write_results", "SELECT model, task, count(*) AS n, CAST(sum(CAST(round(CASE WHEN task = 'data_edit' THEN ocr_f1 * 2 ELSE ocr_f1 END * 1e6) AS BIGINT)) AS BIGINT) AS ocr_f1 FROM eval_records GROUP BY model, task", ("eval_records",))
 def s4(spark, d):
     """Records written by model and task; then one task is written again, which replaces its part only."""
     at, records = scratch(spark, "records"), adapter(spark, d, "eval_records").select("model", "task", "sample", "ocr_f1")
     write_results(records, at)
-    write_results(records.where("task = 'data_edit'").withColumn("ocr_f1", F.col("ocr_f1") / 2), at)
-    return spark.read.parquet(at).groupBy("model", "task").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("ocr_f1"), 4).alias("ocr_f1"))
+    write_results(records.where("task = 'data_edit'").withColumn("ocr_f1", F.col("ocr_f1") * 2), at)
+    return spark.read.parquet(at).groupBy("model", "task").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("ocr_f1") * 1e6).cast("long")).alias("ocr_f1"))
 
 
 @query("s5_model_coefficients", "SELECT concat('O.', p_partkey) AS feature, p_retailprice / 1000 AS coefficient FROM part")
