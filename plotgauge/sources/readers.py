@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .writers import scratch
+
 RECORD = T.StructType(
     [
         T.StructField("error_count", T.LongType()),
@@ -134,11 +136,21 @@ def read_prompts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sample_order(samples: DataFrame, name: str = "sample") -> DataFrame:
-    """(sample, position): folders in the order of their numbers. Names that are no number come last, by name."""
-    number = F.expr(f"try_cast({name} AS BIGINT)")
-    # one row for each sample folder: a list that a job's driver program also walks
-    order = Window.partitionBy(F.lit(0)).orderBy(number.asc_nulls_last(), name)
-    return samples.select(name).distinct().select(name, (F.row_number().over(order) - 1).cast("long").alias("position"))
+    """(sample, position): folders in the order of their numbers. Names that are no number come last, by name.
+
+    Names are dealt by ranges of that order; a position is the place inside its range plus the sizes of the ranges before. The ranges are
+    written, so that both see the same ones.
+    """
+    order = [F.expr(f"try_cast(`{name}` AS BIGINT)").asc_nulls_last(), F.col(name).asc()]
+    dealt = samples.select(name).distinct().repartitionByRange(*order).select(name, F.spark_partition_id().alias("_range"))
+    at = scratch(samples.sparkSession, "sample-ranges")
+    dealt.write.parquet(at)
+    rows = samples.sparkSession.read.schema(dealt.schema).parquet(at)
+    sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
+    ahead = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("_range", F.coalesce(ahead, F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return rows.join(sizes, "_range").select(name, (F.col("_before") + place - 1).cast("long").alias("position"))
 
 
 def read_sample_order(spark: SparkSession, path: str) -> DataFrame:

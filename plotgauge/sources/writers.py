@@ -1,8 +1,10 @@
-"""Writers of evaluation records."""
+"""Writers of evaluation records, and folders for intermediate tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def write_results(df: DataFrame, path: str, kind: str = "parquet") -> None:
@@ -13,3 +15,13 @@ def write_results(df: DataFrame, path: str, kind: str = "parquet") -> None:
 def write_summary(df: DataFrame, path: str) -> None:
     """A summary as JSON lines."""
     df.write.mode("overwrite").json(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder where driver and executors can both write."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "/tmp/plotgauge-shared"
+    return f"{root.rstrip('/')}/plotgauge-tables/{uuid.uuid4().hex}-{name}"

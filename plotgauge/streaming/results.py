@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.writers import scratch  # noqa: F401
+
 KEYS = ("model", "task", "sample")
 
 
@@ -65,13 +65,3 @@ def running_leaderboard(stream: DataFrame, out: str, checkpoint: str, keys: tupl
     last = stored_results(stream.sparkSession, out, stream.schema, keys)
     ok = F.coalesce(F.col("error_count") <= F.when(F.col("task") == "data_update", 1).otherwise(0), F.lit(False))
     return last.groupBy("model", "task").agg(F.count(F.lit(1)).alias("n"), F.sum(ok.cast("long")).alias("executable"))
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder where driver and executors can both write."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "/tmp/plotgauge-shared"
-    return f"{root.rstrip('/')}/plotgauge-stream/{uuid.uuid4().hex}-{name}"

@@ -387,3 +387,11 @@ def test_fences_and_option_values(spark):
     assert [options[k]["title"][x] for k, x in ((0, "top"), (1, "top"), (1, "left"), (9, "left"), (9, "top"))] == [8, 10, "center", 30, 10]
     assert options[0]["legend"] == {"top": 8, "left": "center"} and options[2]["legend"] == {"left": "center", "bottom": 10, "orient": "horizontal"}
     assert options[10]["legend"] == {"top": "middle", "right": 12, "orient": "vertical"}
+
+
+def test_sample_order_over_ranges(spark):
+    names = [str(k * 7919 % 1000) for k in range(400)] + [f"s{k * 31 % 500}" for k in range(200)] + ["7", "7", "007"]
+    key = lambda n: (0, int(n), n) if n.isdigit() else (1, 0, n)
+    got = readers.sample_order(spark.createDataFrame([(n,) for n in names], "sample string"))
+    assert sorted(values(got, "position", "sample")) == list(enumerate(sorted(set(names), key=key)))
+    assert readers.sample_order(spark.createDataFrame([], "sample string")).count() == 0
