@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,17 @@ def shared_dir(spark: SparkSession) -> str:
     return LOCAL_SHARED
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which ``drop_tables`` deletes."""
+    path = f"{shared_dir(spark)}/plotgauge/{uuid.uuid4().hex}-{name}"
+    app = spark.sparkContext.applicationId
+    if app not in _MADE:
+        _MADE[app] = []
+        atexit.register(drop_tables, spark)
+    _MADE[app].append(path)
+    return path
+
+
 def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Cut the lineage: write `df` as Parquet in the shared folder and read it back.
 
@@ -45,12 +57,7 @@ def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None)
     it broadcasts a join side only below its own threshold. ``drop_tables`` deletes what a session has written.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/plotgauge/{uuid.uuid4().hex}-{name}"
-    app = spark.sparkContext.applicationId
-    if app not in _MADE:
-        _MADE[app] = []
-        atexit.register(drop_tables, spark)
-    _MADE[app].append(path)
+    path = shared_path(spark, name)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -114,6 +121,22 @@ def map_texts(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
     return rows.mapInArrow(task, schema)
 
 
+#: Bytes of texts whose results are handed on together.
+PORTION = 4 << 20
+
+
+def portions(batches, size: int = PORTION):
+    """Record batches cut, without copying, so that their last column holds about `size` bytes each, or one value."""
+    for batch in batches:
+        begin, held = 0, 0
+        for at, length in enumerate(pc.binary_length(batch.column(batch.num_columns - 1)).to_pylist()):
+            if held and held + (length or 0) > size:
+                yield batch.slice(begin, at - begin)
+                begin, held = at, 0
+            held += length or 0
+        yield batch.slice(begin)
+
+
 class HashMemo(dict):
     """64-bit hash of a bytes key, remembered; ``trim`` keeps it bounded between texts."""
 

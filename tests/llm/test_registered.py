@@ -39,7 +39,7 @@ def by_id(df):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql(spark, sf_dir, name):
     duck = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "pages"):
         path = f"{sf_dir}/{t}.parquet"
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path + '/*.parquet' if os.path.isdir(path) else path}'")
     df = QUERIES[name](spark, sf_dir)
