@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,82 +68,94 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def trusted_texts(rows: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(lang, text) of the rows (_id, lang, text) whose id is trusted, without a shuffle of texts.
+#: Counts of so many languages are held by a task at a time; they are handed on beyond it.
+HELD_LANGUAGES = 32
 
-    A filter of the ids lets through the trusted ones and few others. Which others it lets through is found on ids alone; they are a
-    table of known size, which Spark sends to the texts while it is small, and only beyond that do the filtered texts travel.
-    """
-    shared = rows.sparkSession.sparkContext.broadcast(id_filter(trusted))
 
-    @F.arrow_udf("boolean")
-    def maybe(word1: pa.Array, bit1: pa.Array, word2: pa.Array, bit2: pa.Array) -> pa.Array:
-        hit = [(shared.value[w.to_numpy()] >> b.to_numpy()) & 1 for w, b in ((word1, bit1), (word2, bit2))]
-        return pa.array((hit[0] & hit[1]).astype(bool))
+def _filtered(word1, bit1, word2, bit2, words: np.ndarray) -> np.ndarray:
+    """Whether the filter lets ids through, from the places where they stand in it; a null id never."""
+    hit = [(words[pc.fill_null(w, 0).to_numpy(zero_copy_only=False)] >> pc.fill_null(b, 0).to_numpy(zero_copy_only=False)) & 1 for w, b in ((word1, bit1), (word2, bit2))]
+    return (hit[0] & hit[1]).astype(bool) & pc.is_valid(word1).to_numpy(zero_copy_only=False)
 
-    one, two = _places("_id")
-    let_through = lambda df: df.where("_id IS NOT NULL").where(maybe(one["word"], one["bit"], two["word"], two["bit"]))
-    wrong = write_table(let_through(rows.select("_id")).join(trusted, "_id", "left_anti").distinct(), "not-trusted")
-    return let_through(rows).join(wrong, "_id", "left_anti").select("lang", "text")
 
+def _with_places(rows: DataFrame, *columns: str) -> DataFrame:
+    spots = [F.when(F.col("_id").isNotNull(), s[part]) for s in _places("_id") for part in ("word", "bit")]
+    return rows.select(*columns, *[x.alias(f"_p{k}") for k, x in enumerate(spots)])
 
-def _n_grams(p: QualityParams):
-    return F.greatest(F.octet_length("text") - (p.gram - 1), F.lit(0)).cast("long")
 
+def let_through(rows: DataFrame, shared, *columns: str) -> DataFrame:
+    """The rows (_id and others) whose id the filter lets through."""
 
-def language_shares(rows: DataFrame, good: DataFrame, p: QualityParams) -> DataFrame:
-    """(of, share): the trusted part of each language's n-grams; a null language is one of its own. Only lengths are added up."""
-    sums = rows.groupBy("lang").agg(F.sum(_n_grams(p)).alias("raw"))
-    found = good.groupBy(F.col("lang").alias("of")).agg(F.sum(_n_grams(p)).alias("target"))
-    both = sums.join(found, F.col("lang").eqNullSafe(F.col("of")), "left")
-    return write_table(both.select(F.col("lang").alias("of"), (F.coalesce("target", F.lit(0)) / F.greatest("raw", F.lit(1))).alias("share")), "language-shares")
+    @F.arrow_udf("boolean")
+    def maybe(word1: pa.Array, bit1: pa.Array, word2: pa.Array, bit2: pa.Array) -> pa.Array:
+        return pa.array(_filtered(word1, bit1, word2, bit2, shared.value))
 
+    return _with_places(rows.where("_id IS NOT NULL"), *columns).where(maybe("_p0", "_p1", "_p2", "_p3")).select(*columns)
 
-def _added_up(rows: DataFrame, p: QualityParams) -> DataFrame:
-    """(class, n): counts of the n-grams of rows (text, share), weighted by share. Every task adds up its own counts first, so what is shuffled is at most 2^bits rows a task."""
 
-    def run(batches):
-        total, held, size = np.zeros(1 << p.bits), {}, 0
+def counted_grams(rows: DataFrame, p: QualityParams, shared=None) -> DataFrame:
+    """(lang, good, class, n): how often each n-gram class occurs in the rows (_id, lang, text), by language and by what the filter of ids says.
 
-        def add_up():
-            for share, classes in held.items():
-                total[:] += np.bincount(np.concatenate(classes), minlength=1 << p.bits) * share
-            held.clear()
+    Whole numbers, so the sums are the same however rows are dealt. Each task adds up its own counts before they are
+    shuffled, and holds those of `HELD_LANGUAGES` languages.
+    """
+
+    def batch_of(held):
+        for (lang, good), total in held.items():
+            at = np.flatnonzero(total)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array([good] * len(at), pa.bool_()), pa.array(at.astype(np.int32)), pa.array(total[at])], names=["lang", "good", "class", "n"])
 
+    def run(batches):
+        held: dict = {}
         for batch in batches:
-            for text, share in zip(batch.column(0), batch.column(1)):
+            good = np.zeros(batch.num_rows, bool) if shared is None else _filtered(*batch.columns[2:6], shared.value)
+            for lang, text, flag in zip(batch.column(0).to_pylist(), batch.column(1), good.tolist()):
+                if (lang, flag) not in held:
+                    if len(held) >= 2 * HELD_LANGUAGES:
+                        yield from batch_of(held)
+                        held.clear()
+                    held[lang, flag] = np.zeros(1 << p.bits, np.int64)
                 for part in gram_stretches(text.as_py(), p.gram):
                     classes = hashed_grams(part, p.gram, p.bits)
-                    held.setdefault(share.as_py(), []).append(classes)  # a language's texts have one share
-                    size += len(classes)
-                    if size > STRETCH:
-                        add_up()
-                        size = 0
-        add_up()
-        at = np.flatnonzero(total)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["class", "n"])
+                    if len(classes) << 4 > 1 << p.bits:
+                        held[lang, flag] += np.bincount(classes, minlength=1 << p.bits)
+                    else:
+                        np.add.at(held[lang, flag], classes, 1)
+        yield from batch_of(held)
+
+    rows = _with_places(rows, "lang", "text") if shared is not None else rows.select("lang", "text")
+    return map_texts(rows, run, "lang string, good boolean, class int, n long").groupBy("lang", "good", "class").agg(F.sum("n").alias("n"))
+
 
-    return map_texts(rows.select("text", "share"), run, "class int, n double").groupBy("class").agg(F.sum("n").alias("n"))
+#: Weighted counts are added up in whole millionths, so that their sums don't depend on the order.
+SCALE = 1_000_000
 
 
 def gram_counts(df: DataFrame, labels: DataFrame, p: QualityParams, id_col: str, text_col: str, lang_col: str | None = None) -> DataFrame:
     """(class, raw, target): n-gram counts of all texts, and of the trusted ones, those labelled quality 1.
 
     With `lang_col`, a text's raw counts are weighted by the trusted part of its language, so that each language weighs the
-    same in both. All counts come from scans of the texts, which are not shuffled.
+    same in both; a null language is one of its own. All counts come from one scan of the texts, which are not shuffled: a filter of
+    the trusted ids marks them there. Which other ids it lets through is found on ids alone, and only if there are any are
+    those few texts counted once more and taken off again.
     """
     trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
-    lang = F.lit(None).cast("string") if lang_col is None else F.col(lang_col)
+    lang = F.lit(None).cast("string") if lang_col is None else F.col(lang_col).cast("string")
     rows = df.select(F.col(id_col).alias("_id"), lang.alias("lang"), bytes_of(text_col).alias("text"))
-    good = trusted_texts(rows, trusted)
-    if lang_col is None:
-        weighted = rows.withColumn("share", F.lit(1.0))
-    else:
-        weighted = rows.join(language_shares(rows, good, p), F.col("lang").eqNullSafe(F.col("of")))
-    raw = _added_up(weighted, p).withColumnRenamed("n", "raw")
-    target = _added_up(good.withColumn("share", F.lit(1.0)), p).select(F.col("class").alias("_c"), F.col("n").alias("target"))
-    return raw.join(target, F.col("class") == F.col("_c"), "left").select("class", "raw", F.coalesce("target", F.lit(0.0)).alias("target"))
+    shared = df.sparkSession.sparkContext.broadcast(id_filter(trusted))
+    counts = counted_grams(rows, p, shared).select("lang", "class", F.col("n").alias("raw"), F.when(F.col("good"), F.col("n")).otherwise(0).alias("target"))
+    wrong = write_table(let_through(rows.select("_id"), shared, "_id").join(trusted, "_id", "left_anti").distinct(), "not-trusted")
+    if wrong.limit(1).count():
+        off = counted_grams(let_through(rows, shared, "_id", "lang", "text").join(wrong, "_id", "left_semi"), p)
+        counts = counts.unionByName(off.select("lang", "class", F.lit(0).cast("long").alias("raw"), (-F.col("n")).alias("target")))
+    counts = write_table(counts.groupBy("lang", "class").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")), "gram-counts")
+    weight = F.lit(1.0)
+    if lang_col is not None:
+        sums = counts.groupBy(F.col("lang").alias("of")).agg((F.sum("target") / F.greatest(F.sum("raw"), F.lit(1))).alias("share"))
+        counts, weight = counts.join(write_table(sums, "language-shares"), F.col("lang").eqNullSafe(F.col("of"))), F.col("share")
+    raw = F.sum(F.round(F.col("raw") * weight * SCALE).cast("decimal(28,0)"))
+    return counts.groupBy("class").agg((raw.cast("double") / SCALE).alias("raw"), F.sum("target").cast("double").alias("target"))
 
 
 def ratio_weights(counts: DataFrame, p: QualityParams) -> np.ndarray:
