@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +15,6 @@ from pyspark.sql import Window
 from .common import STRETCH, documents, give_back, map_texts, short_batches, write_table
 
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass(frozen=True)
@@ -32,12 +30,18 @@ class LanguageParams:
     l2: float = 0.1
     calibration: int = 5  # each 5th sampled row calibrates instead of training
     least_score: float = 0.3  # the pipeline rejects below it
+    most_labels: int = 1000  # training needs some 20 bytes on the driver for each feature and label, and refuses more labels
 
 
 def held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a character of Unicode's letter categories; numerals such as ½ or Ⅷ aren't letters."""
+    return any(map(str.isalpha, text))
+
+
 def gram_features(text: str, p: LanguageParams) -> tuple[np.ndarray, np.ndarray]:
     """Features of a text, n-grams of its code points, and how often each occurs."""
     lower, counts = text.lower(), 0
@@ -82,7 +86,7 @@ class Model:
         return np.bincount(self.label_of[place], weights=x * self.value_of[place], minlength=len(self.labels)) + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.labels or not text or not LETTER.search(text):
+        if not self.labels or not text or not has_letter(text):
             return UNKNOWN, 0.0
         z = self.logits(*gram_features(text, self.p)) / self.temperature
         q = np.exp(z - z.max())
@@ -140,11 +144,13 @@ class Model:
 def draw_sample(rows: DataFrame, p: LanguageParams) -> tuple[list[str], DataFrame]:
     """The labels, and a sample (_draw, _lang, _text) of rows (_id, _text, _lang): of each label the rows of lowest hash of id and text, rows that are equal in both counting once.
 
-    No label is left out. Labels meet the rows as a table that Spark broadcasts while it is small; the sample holds at most
+    No label is left out; more than `most_labels` of them raise. Labels meet the rows as a table that Spark broadcasts while it is small; the sample holds at most
     `sample_rows` rows, or `least_rows` of each label if that is more.
     """
     drawn = rows.withColumn("_draw", F.xxhash64("_id", "_text"))
     sizes = write_table(drawn.groupBy("_lang").agg(F.approx_count_distinct("_draw").alias("_rows")), "label-sizes")
+    if sizes.count() > p.most_labels:
+        raise ValueError(f"over {p.most_labels} different labels; clean them, or set most_labels and give the driver the memory that they need")
     labels = sorted(r["_lang"] for r in sizes.select("_lang").collect())
     each = max(p.least_rows, p.sample_rows // max(1, len(labels)))
     # a label's lowest hashes lie below a bound that leaves some three times as many rows as are wanted

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from plotgauge.llm import language_id
@@ -118,6 +119,23 @@ def test_repeated_rows_and_null_ids(spark):
     assert [model.predict(t)[0] for t in ("one more text 7", "numero 7 del texto", "текст номер")] == ["en", "es", "ru"]
 
 
+def test_letters():
+    """Unicode's letter categories and nothing else."""
+    import unicodedata
+
+    for text, ok in (("½", False), ("²", False), ("Ⅷ", False), ("123 _ -", False), ("① ٣", False), ("", False), ("ª", True), ("日", True), ("ʰ", True), ("1 x", True)):
+        assert language_id.has_letter(text) == ok
+    assert all(language_id.has_letter(chr(c)) == unicodedata.category(chr(c)).startswith("L") for c in range(0x3000))
+    model = language_id.Model(["en"], np.ones(1 << 15), language_id.LanguageParams())
+    assert model.predict("½ ² Ⅷ 123 _") == ("und", 0.0)
+
+
+def test_too_many_labels(spark):
+    df = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.col("id").cast("string").alias("lang"))
+    with pytest.raises(ValueError, match="labels"):
+        language_id.train(df, p=language_id.LanguageParams(most_labels=20))
+
+
 def test_clashing_columns(spark):
     names = ["row", "_row", "lang_pred", "score", "_found", "_score", "_lang_pred", "_text", "_id", "_lang"]
     df = spark.createDataFrame([(1, "the thing", "en", *names)], ["doc_id", "text", "lang", *names])
