@@ -137,15 +137,21 @@ def portions(batches, size: int = PORTION):
         yield batch.slice(begin)
 
 
+#: Longer words aren't remembered by memos, so that a memo's bytes are bounded by the number of its entries.
+LONGEST_WORD = 64
+
+
 class HashMemo(dict):
-    """64-bit hash of a bytes key, remembered; ``trim`` keeps it bounded between texts."""
+    """64-bit hash of a bytes key, remembered if the key is short; ``trim`` keeps the number of entries bounded between stretches of a text. Some 150 bytes an entry at most."""
 
     def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 
     def __missing__(self, key: bytes) -> int:
-        value = self[key] = xxhash.xxh64_intdigest(key)
+        value = xxhash.xxh64_intdigest(key)
+        if len(key) <= LONGEST_WORD:
+            self[key] = value
         return value
 
     def trim(self) -> None:

@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, documents, map_texts
+from .common import LONGEST_WORD, bytes_of, documents, map_texts
 from .pieces import Pieces, load, stretches, words_of
 
 MODEL = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
-#: Distinct words remembered by a worker; the memo starts anew beyond it.
+#: Distinct words of at most `LONGEST_WORD` characters that a worker remembers; the memo starts anew beyond it. Some 350 bytes an entry at most.
 MEMO_WORDS = 250_000
 
 
@@ -74,7 +74,9 @@ class CountMemo(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= MEMO_WORDS:
             self.clear()
-        value = self[word] = count_word(word, self.pieces)
+        value = count_word(word, self.pieces)
+        if len(word) <= LONGEST_WORD:
+            self[word] = value
         return value
 
 
