@@ -185,11 +185,12 @@ def fingerprint_chain(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edited_fingerprint, near_edited and near_next. A null text is empty: no filters, "" as fingerprint, alike (1) to an
     empty text and not (0) to others. A lone row follows itself. Other columns are left out, whatever their names.
 
-    Texts are shuffled once, by ranges of ids; each task streams its range in order. Only the first and the last
+    Texts are shuffled once, by ranges of ids and of the first 64 bytes of texts; each task streams its range in order. Only the first and the last
     text of each range meet their neighbours in a second, small step, by a join on the ranges' numbers.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), bytes_of(text_col).alias("text"))
-    ranges = rows.repartitionByRange(F.col("id").desc_nulls_last()).sortWithinPartitions(F.col("id").desc_nulls_last(), "text")
+    # rows of equal or null id are dealt by how their texts begin; whole texts as keys would be sampled to the driver
+    ranges = rows.repartitionByRange(F.col("id").desc_nulls_last(), F.substring("text", 1, 64)).sortWithinPartitions(F.col("id").desc_nulls_last(), "text")
     done = write_table(map_texts(ranges, _in_order, f"id long, {_ROW}, kind int, part int, text binary"), "fingerprints")
     # the number of each range that has rows: one for each task, and nothing of the documents
     parts = sorted(r["part"] for r in done.where("kind = 1").select("part").collect())

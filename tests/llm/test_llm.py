@@ -13,7 +13,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from plotgauge.llm import chat_format, fingerprint, language_id, line_dedup, mixing, near_dedup, piece_codec, pieces, quality, substring_dedup, token_count
+from plotgauge.llm import chat_format, common, fingerprint, language_id, line_dedup, mixing, near_dedup, piece_codec, pieces, quality, substring_dedup, token_count
 from plotgauge.llm.components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -133,6 +133,44 @@ def test_components(spark):
     assert found == {k: 1 for k in range(2, 41)} | {101: 100, 103: 100}
 
 
+def test_hot_star(spark):
+    """A centre with a million edges: both sides of each join are tables, not aggregates, so that its edges can be split."""
+    from plotgauge.llm import components
+
+    plans = []
+    write = components.write_table
+
+    def watched(df, name, **more):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name, **more)
+
+    components.write_table = watched
+    try:
+        star = spark.range(1, 1_000_001).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))
+        path = spark.createDataFrame([(1_000_001, 5), (1_000_002, 1_000_001)], "a long, b long")
+        found = connected_components(star.unionByName(path))
+        assert found.agg(F.count("node"), F.min("component"), F.max("component")).first() == (1_000_002, 0, 0)
+    finally:
+        components.write_table = write
+    for plan in plans:
+        for part in plan.split("Join Inner")[1:]:
+            assert "Aggregate" not in part
+    assert any("Join Inner" in plan for plan in plans)
+
+
+@pytest.mark.parametrize("memo", [common.HashMemo(), token_count.CountMemo(pieces.load(MODEL))])
+def test_memos_are_bounded_by_bytes(memo):
+    """20,000 texts without spaces leave nothing behind; short words are remembered."""
+    long_words = ["".join(chr(0x4E00 + (k * 31 + j) % 5000) for j in range(300)) for k in range(20_000 if isinstance(memo, common.HashMemo) else 2_000)]
+    for w in long_words:
+        memo[w.encode() if isinstance(memo, common.HashMemo) else w]
+    assert sum(map(len, memo)) == 0
+    short = [f"w{k}" for k in range(1000)]
+    for w in short:
+        memo[w.encode() if isinstance(memo, common.HashMemo) else w]
+    assert len(memo) == 1000 and max(map(len, memo)) <= common.LONGEST_WORD
+
+
 # --- 2
 
 

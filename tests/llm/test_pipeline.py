@@ -70,6 +70,27 @@ def test_repeated_and_null_ids(spark):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in left.collect()) == [(0, "alpha beta gamma delta"), (1, "alpha beta gamma delta")]
 
 
+def test_many_null_ids_beside_a_repeated_one(spark):
+    """Rows of null id are never ranked, so they don't meet in one task."""
+    rows = [(None, f"text number {k} without an id", "en", "s", 1, "", "", "", "") for k in range(300)]
+    rows += [(5, f"one id and text {k} of several", "en", "s", 1, "", "", "", "") for k in (3, 1, 2)] + [(6, "alone here", "en", "s", 1, "", "", "", "")]
+    left = corpus_pipeline.near_stage(spark, spark.createDataFrame(rows, SCHEMA).repartition(4), None)
+    got = [(r["doc_id"], r["text"]) for r in left.collect()]
+    assert sorted(x for x in got if x[0]) == [(5, "one id and text 1 of several"), (6, "alone here")]
+    assert sorted(t for i, t in got if i is None) == sorted(r[1] for r in rows[:300])
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Window") :].split("\n")
+    assert any("LeftSemi" in line for line in below[:4])
+
+
+def test_language_stage_and_letters(spark):
+    """Numerals aren't letters, with labels or without."""
+    rows = [(k, t, lang, "s", 1, "", "", "", "") for k, (t, lang) in enumerate([("½ ² Ⅷ 123 _", None), ("the words of a text", "en"), ("die worte im text", "de"), ("ª", None), ("٣٤ ①", None)])]
+    for docs in (rows, [(*r[:2], None, *r[3:]) for r in rows]):
+        left = {r["doc_id"] for r in corpus_pipeline.language_stage(spark, spark.createDataFrame(docs, SCHEMA), None).collect()}
+        assert left >= {1, 2} and not left & {0, 4}
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
@@ -78,7 +99,7 @@ def test_empty_table(spark):
 
 
 def test_every_operator_has_its_query():
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
 
 
 def test_clashing_columns(spark):

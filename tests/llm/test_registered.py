@@ -177,6 +177,18 @@ def test_op6_ranges(spark, sf_dir, partitions):
     assert got == {i: sha(texts[i][: len(texts[i]) - len(texts[i]) // 3] + texts[order[(k + 1) % len(order)]][: len(texts[i]) // 3]) for k, i in enumerate(order)}
 
 
+def test_op6_equal_ids(spark):
+    """One id for all rows, or none: rows are dealt by their texts and still follow each other in order."""
+    texts = [f"{chr(97 + k % 26)} text {k}" for k in range(80)] + ["same"] * 5
+    for id_ in (7, None):
+        df = spark.createDataFrame([(id_, t) for t in texts], "doc_id long, text string").repartition(4)
+        got = sorted(r["edited_sha256"] for r in fingerprint.fingerprint_chain(df).collect())
+        order = sorted(texts)
+        assert got == sorted(sha(t[: len(t) - len(t) // 3] + order[(k + 1) % len(order)][: len(t) // 3]) for k, t in enumerate(order))
+    done = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartitionByRange(4, F.col("doc_id").desc_nulls_last(), F.substring(F.col("text").cast("binary"), 1, 64))
+    assert done.select(F.spark_partition_id()).distinct().count() == 4
+
+
 def test_op1_common_shingle(spark):
     """One shingle in every different text, and a template that hardly any of them is like: the same components as by brute force, and the hot list is not compared on full sets."""
     from test_llm import near_expected, words_text
@@ -195,8 +207,22 @@ def test_op1_common_shingle(spark):
 
 def test_op2_crowded_filter(spark, monkeypatch):
     """A filter that lets nearly every id through changes no count."""
+    p = quality.QualityParams()
+    rows = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("l"), F.col("id") % 3).alias("lang"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    rows = rows.unionByName(spark.sql("SELECT CAST(NULL AS LONG) AS doc_id, 'l1' AS lang, 'no id' AS text"))
+    labels = spark.range(0, 700, 7).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    count = lambda: {r["class"]: (r["raw"], r["target"]) for r in quality.gram_counts(rows, labels, p, "doc_id", "text", "lang").collect()}
+    want = count()
     monkeypatch.setattr(quality, "FILTER_BITS", 8)
-    rows = spark.range(500).select(F.col("id").alias("_id"), F.lit("en").alias("lang"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
-    rows = rows.unionByName(spark.sql("SELECT CAST(NULL AS LONG) AS _id, 'en' AS lang, 'no id' AS text"))
-    trusted = spark.range(0, 700, 7).withColumnRenamed("id", "_id")
-    assert sorted(r["text"] for r in quality.trusted_texts(rows, trusted).collect()) == sorted(f"text {i}" for i in range(0, 500, 7))
+    assert count() == want
+    target = collections.Counter(k for i in range(0, 500, 7) for k in quality.hashed_grams(f"text {i}".encode(), p.gram, p.bits).tolist())
+    assert {k: t for k, (_, t) in want.items() if t} == target
+
+
+def test_op2_weights_to_the_bit(spark, sf_dir, monkeypatch):
+    """The same weights however rows are dealt, and with one language held at a time."""
+    p, docs, labels = quality.QualityParams(), spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    weights = lambda n: quality.ratio_weights(quality.gram_counts(docs.repartition(n, "doc_id"), labels, p, "doc_id", "text", "lang"), p)
+    one, many = weights(1), weights(13)
+    monkeypatch.setattr(quality, "HELD_LANGUAGES", 1)
+    assert one.any() and np.array_equal(one, many) and np.array_equal(one, weights(5))
