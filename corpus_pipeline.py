@@ -42,10 +42,13 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = write_table(found.where("NOT kept").select("doc_id").distinct(), "near-gone")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id")
     left = rows.join(gone, "doc_id", "left_anti")
-    if found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count() == 0:
+    again = write_table(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "near-again")
+    if again.limit(1).count() == 0:
         return _unpacked(left, docs)
+    # only rows whose id repeats are ranked; those of null id aren't among them
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("row.text"))
-    return _unpacked(left.withColumn("place", first).where("doc_id IS NULL OR place = 1"), docs)
+    ranked = left.join(again, "doc_id", "left_semi").withColumn("place", first).where("place = 1").drop("place")
+    return _unpacked(left.join(again, "doc_id", "left_anti").unionByName(ranked), docs)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
