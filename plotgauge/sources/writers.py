@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_MADE: dict[str, list[str]] = {}
+
 
 def write_results(df: DataFrame, path: str, kind: str = "parquet") -> None:
     """Persist records by model and task. Only the partitions that `df` has are replaced."""
@@ -18,10 +21,36 @@ def write_summary(df: DataFrame, path: str) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder where driver and executors can both write."""
+    """A new folder where driver and executors can both write. ``drop_scratch`` deletes it, at the session's end at the latest."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "/tmp/plotgauge-shared"
-    return f"{root.rstrip('/')}/plotgauge-tables/{uuid.uuid4().hex}-{name}"
+    path = f"{root.rstrip('/')}/plotgauge-tables/{uuid.uuid4().hex}-{name}"
+    app = spark.sparkContext.applicationId
+    if app not in _MADE:
+        _MADE[app] = []
+        atexit.register(drop_scratch, spark)
+    _MADE[app].append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the folders of ``scratch`` that this session has made; call it when no result that reads them is still wanted."""
+    sc = spark.sparkContext
+    if sc._jsc is None:
+        return
+    for path in _MADE.pop(sc.applicationId, []):
+        try:
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the gateway may already be gone when the interpreter ends
+            return
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write `df` as Parquet into a scratch folder and read it back, so that Spark knows its size and a lost executor costs running tasks only."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

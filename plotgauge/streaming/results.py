@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from ..sources.writers import scratch  # noqa: F401
@@ -11,15 +12,18 @@ from ..sources.writers import scratch  # noqa: F401
 KEYS = ("model", "task", "sample")
 
 
-def read_stream(spark: SparkSession, path: str, schema: StructType, kind: str = "json") -> DataFrame:
-    """Result files as they arrive in a folder."""
-    return spark.readStream.schema(schema).format(kind).load(path)
+def read_stream(spark: SparkSession, path: str, schema: StructType, kind: str = "json", files_per_batch: int | None = None) -> DataFrame:
+    """Result files as they arrive in a folder, all that are new as one batch unless `files_per_batch` is given."""
+    reader = spark.readStream.schema(schema).format(kind)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.load(path)
 
 
 def stream_new_results(stream: DataFrame, out: str, checkpoint: str, keys: tuple[str, ...] = KEYS, order: str | None = None, replace: bool = False, buckets: int = 64):
     """Store the records of samples that have no result yet, and wait until what is there now is done.
 
-    A batch is first reduced to one record for each key, the last by `order` if it is given. A key whose stored record has an error
+    A batch is first reduced to one record for each key, the last by `order` if it is given; a null `order` is the lowest. A key whose stored record has an error
     count is done, and what comes later for it is left out; without one, as the gate leaves it, the sample is evaluated anew and the later
     record counts. With `replace` every later record counts. Keys are stored in `buckets` by their hash, so that a batch reads the
     buckets that it has keys of, not all keys ever stored. A batch that is run again after a failure replaces its own part.
@@ -28,7 +32,7 @@ def stream_new_results(stream: DataFrame, out: str, checkpoint: str, keys: tuple
     def store(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         record = F.struct(*batch.columns)
-        fresh = batch.groupBy(*keys).agg((F.max_by(record, order) if order else F.first(record)).alias("_r")).select("_r.*")
+        fresh = batch.groupBy(*keys).agg((F.max_by(record, _rank(order)) if order else F.first(record)).alias("_r")).select("_r.*")
         fresh = fresh.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
         if not replace and _exists(spark, out):
             own = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # `buckets` numbers at most
@@ -41,6 +45,11 @@ def stream_new_results(stream: DataFrame, out: str, checkpoint: str, keys: tuple
     return query
 
 
+def _rank(order: str) -> Column:
+    """`order` as a value that is never null, so that no record is passed over: null first, then by value."""
+    return F.struct(F.col(order).isNotNull(), F.col(order))
+
+
 def _stored(spark: SparkSession, out: str, schema: StructType) -> DataFrame:
     whole = StructType(list(schema.fields)).add("bucket", "integer").add("batch", "long")
     return spark.read.schema(whole).parquet(out)
@@ -59,9 +68,73 @@ def stored_results(spark: SparkSession, out: str, schema: StructType, keys: tupl
     return rows.select("_r.*")
 
 
+BOARD = "model string, task string, n long, executable long"
+
+
+class LastRecord(StatefulProcessor):
+    """What counts of each key, and what a new record changes about the counts of its model and task."""
+
+    def __init__(self, order: StructType):
+        self.kept = StructType(list(order.fields)).add("_errors", "long").add("_executable", "boolean")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", self.kept)
+
+    @staticmethod
+    def _place(values: tuple) -> tuple:
+        """Order of records: by `order`, null lowest, then by error count."""
+        return tuple((v is not None, v) for v in values)
+
+    def handleInputRows(self, key, rows, timerValues):
+        last = max((tuple(r[n] for n in self.kept.names) for r in rows), key=lambda v: self._place(v[:-1]))
+        old = self.last.get() if self.last.exists() else None
+        if old is not None:
+            old = tuple(old)
+            if len(old) > 2 and self._place(last[:-1]) < self._place(old[:-1]):
+                return
+        if last != old:
+            self.last.update(last)
+        new, gone = int(last[-1]), 0 if old is None else int(old[-1])
+        if old is None or new != gone:
+            yield Row(model=key[0], task=key[1], n=int(old is None), executable=new - gone)
+
+
 def running_leaderboard(stream: DataFrame, out: str, checkpoint: str, keys: tuple[str, ...] = KEYS, order: str | None = None) -> DataFrame:
-    """(model, task, n, executable): counts over everything evaluated so far. Each key counts once, by its last record, which replaces what was stored of it."""
-    stream_new_results(stream, out, checkpoint, keys, order, replace=True)
-    last = stored_results(stream.sparkSession, out, stream.schema, keys)
+    """(model, task, n, executable): counts over everything evaluated so far, kept up to date by each batch; see ``boards`` for all of them.
+
+    Each key counts once, by its last record: the one of greatest `order` (a column, or a struct of plain columns; null is the lowest),
+    ties by error count, whatever batch it came in; without `order` that of the last batch. What counts of a key is Spark's state of
+    that key: a later record takes the old one's part back and adds its own, and nothing that was stored is read
+    again. A batch writes the whole board, at most a row for each model and task, from the board before it; run again after a failure
+    it writes the same. The first two of `keys` are model and task.
+    """
+    spark = stream.sparkSession
+    fields = [] if order is None else [F.col(f"{order}.{f.name}") for f in stream.schema[order].dataType.fields] if isinstance(stream.schema[order].dataType, StructType) else [F.col(order)]
     ok = F.coalesce(F.col("error_count") <= F.when(F.col("task") == "data_update", 1).otherwise(0), F.lit(False))
-    return last.groupBy("model", "task").agg(F.count(F.lit(1)).alias("n"), F.sum(ok.cast("long")).alias("executable"))
+    rows = stream.select(*keys, *[c.alias(f"_o{k}") for k, c in enumerate(fields)], F.col("error_count").cast("long").alias("_errors"), ok.alias("_executable"))
+    changes = rows.groupBy(*keys).transformWithState(LastRecord(StructType(rows.schema.fields[len(keys) : -2])), BOARD, "Update", "None")
+
+    def store(batch: DataFrame, number: int) -> None:
+        # foreachBatch numbers batches one by one, so the board before this one is that of the number before
+        before = batch.sparkSession.read.schema(BOARD).parquet(f"{out}/batch={number - 1}") if number and _exists(batch.sparkSession, f"{out}/batch={number - 1}") else None
+        both = batch if before is None else batch.unionByName(before)
+        both.groupBy("model", "task").agg(F.sum("n").alias("n"), F.sum("executable").alias("executable")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    name = "spark.sql.streaming.stateStore.providerClass"
+    given = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = changes.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(name, given) if given else spark.conf.unset(name)
+    every = boards(spark, out)
+    last = every.agg(F.max("batch").alias("_last"))
+    return every.join(last, F.col("batch") == F.col("_last")).select("model", "task", "n", "executable")
+
+
+def boards(spark: SparkSession, out: str) -> DataFrame:
+    """(model, task, n, executable, batch): the leaderboard after each batch."""
+    if not _exists(spark, out):
+        return spark.createDataFrame([], BOARD + ", batch long")
+    return spark.read.schema(BOARD + ", batch long").parquet(out)
