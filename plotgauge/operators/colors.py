@@ -29,8 +29,12 @@ def nearest_color(colors: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 def color_profile(pixels: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(image, name, n, share, l0, l1, l2): pixels of each named colour, their percentage, and the mean of its dictionary colours, cut to whole numbers."""
-    counts = pixels.groupBy("image", "c0", "c1", "c2").agg(F.count(F.lit(1)).alias("_n"))
-    named = nearest_color(counts, dictionary)
+    return profile_of_counts(pixels.groupBy("image", "c0", "c1", "c2").agg(F.count(F.lit(1)).alias("n")), dictionary)
+
+
+def profile_of_counts(counts: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """``color_profile`` of rows (image, c0, c1, c2, n): how many pixels of an image have a colour."""
+    named = nearest_color(counts.withColumnRenamed("n", "_n"), dictionary)
     profile = named.groupBy("image", "name").agg(F.sum("_n").alias("n"), *[F.floor(F.avg(c)).cast("long").alias(c) for c in ("l0", "l1", "l2")])
     return with_shares(profile)
 

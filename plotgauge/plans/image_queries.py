@@ -12,6 +12,8 @@ from ..operators import complexity as M
 from ..operators import pixels as X
 from ..operators import text_match as T
 from ..operators.scoring import color_iou
+from ..sources.readers import color_counts, read_images
+from ..sources.writers import bitmaps, scratch, write_tree
 from .registry import query
 from .sample_queries import detections
 
@@ -44,6 +46,15 @@ def a01(spark, d):
     return profile(spark, d).select("image", "name", "n", F.round("share", 6).alias("share"), "l0", "l1", "l2")
 
 
+@query("s7_color_profile_of_files", NAMED + "SELECT image, name, n, round(share, 6) AS share, l0, l1, l2 FROM profile", DICT)
+def s7(spark, d):
+    """Pictures written as files, found again, decoded in the scan and counted by colour there; only counts are shuffled."""
+    root = scratch(spark, "pictures")
+    write_tree(bitmaps(pixels(spark, d)), root, ("image",))
+    counts = color_counts(read_images(spark, root)).withColumn("image", F.regexp_extract("image", r"/image=(\d+)/", 1).cast("long"))
+    return K.profile_of_counts(counts, adapter(spark, d, "color_dict")).select("image", "name", "n", F.round("share", 6).alias("share"), "l0", "l1", "l2")
+
+
 @query("w08_sorted_profile", NAMED + "SELECT image, name, row_number() OVER (PARTITION BY image ORDER BY n DESC, name) AS place FROM profile", DICT)
 def w08(spark, d):
     return K.sorted_profile(profile(spark, d)).select("image", "name", "place")

@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import parsing as P
 from ..operators import synthesis as Y
 from ..sources import readers as IO
+from ..sources.writers import scratch, write_tree
 from .registry import query
 
 SAMPLES = ("source_samples",)
@@ -52,6 +53,36 @@ def s1(spark, d):
     return IO.listing(rows)
 
 
+#: Names that a path can hold only with escapes.
+_MODEL, _TASK, _SAMPLE = "concat('m %2B+', sample % 3)", "concat('täsk=', sample % 5)", "concat(sample, ' a:b?c#d')"
+
+
+@query("s1_eval_tree", f"SELECT {_MODEL} AS model, {_TASK} AS task, {_SAMPLE} AS sample, has_html AS has_gen_html, has_orig AS has_orig_png, has_eval AS has_eval_png, has_gen AS has_gen_png FROM source_samples WHERE has_html OR has_orig OR has_eval OR has_gen", SAMPLES)
+def s1_tree(spark, d):
+    """Folders of samples written as files and found again by their paths; no file is opened."""
+    root = scratch(spark, "eval-tree")
+    names = {"gen.html": "has_html", "orig.png": "has_orig", "eval.png": "has_eval", "gen.png": "has_gen"}
+    kinds = F.filter(F.array(*[F.when(F.col(flag), F.lit(f)) for f, flag in names.items()]), lambda x: x.isNotNull())
+    files = adapter(spark, d, "source_samples").select(F.expr(_MODEL).alias("model"), F.expr(_TASK).alias("task"), F.expr(_SAMPLE).alias("sample"), F.explode(kinds).alias("file"), F.coalesce("html", F.lit("")).alias("value"))
+    write_tree(files, root, ("model", "task", "sample", "file"))
+    return IO.read_eval_tree(spark, root, partitioned=True)
+
+
+@query("s2_sample_tree", f"SELECT {_SAMPLE} AS sample, CASE WHEN has_html THEN coalesce(html, '') || chr(10) END AS html, CASE WHEN has_gen THEN concat('// ', sample, chr(10), 'draw();', chr(10)) END AS js FROM source_samples", SAMPLES)
+def s2(spark, d):
+    """Source samples written as files and read back: two kinds of files with their texts, pictures by name only."""
+    root = scratch(spark, "sample-tree")
+    s = adapter(spark, d, "source_samples")
+    kinds = F.array(
+        F.when(F.col("has_html"), F.struct(F.lit("chart.html").alias("file"), F.coalesce("html", F.lit("")).alias("value"))),
+        F.when(F.col("has_gen"), F.struct(F.lit("code.js").alias("file"), F.concat(F.lit("// "), F.col("sample").cast("string"), F.lit("\ndraw();")).alias("value"))),
+        F.struct(F.lit("chart.png").alias("file"), F.lit("a picture").alias("value")),
+    )
+    files = s.select(F.expr(_SAMPLE).alias("sample"), F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("f")).select("sample", "f.*")
+    write_tree(files, root, ("sample", "file"))
+    return IO.read_sample_tree(spark, root, partitioned=True)
+
+
 @query("p06_line_count_filter", r"""
 SELECT sample, CAST(n AS BIGINT) AS lines FROM (
   SELECT sample, CASE WHEN html_lines = '' THEN 0 ELSE length(html_lines) - length(replace(html_lines, chr(10), '')) + CASE WHEN suffix(html_lines, chr(10)) THEN 0 ELSE 1 END END AS n FROM source_samples) WHERE n <= 45""", SAMPLES)

@@ -28,11 +28,27 @@ def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.decode("content", "UTF-8").alias("value"))
 
 
-def read_eval_tree(spark: SparkSession, root: str) -> DataFrame:
+#: Columns of Spark's binary files.
+_BINARY = "path string, modificationTime timestamp, length long, content binary"
+
+
+def tree_paths(spark: SparkSession, root: str, names: tuple[str, ...], partitioned: bool = False) -> DataFrame:
+    """(names..., content) of the files of a tree with one folder level for each name, the last one being the file itself.
+
+    A tree that Spark has written by these names as partition columns is read by its partitions: a filter on a name then leaves out
+    folders before any of their files is opened. Otherwise names come out of the paths. A file is opened only if its content is selected.
+    """
+    reader = spark.read.format("binaryFile")
+    if partitioned:
+        return reader.schema(_BINARY + "".join(f", `{n}` string" for n in names)).load(root).select(*names, "content")
+    # Spark gives the paths of binary files as they are, without escapes
+    parts = F.slice(F.split("path", "/"), -len(names), len(names))
+    return reader.option("recursiveFileLookup", "true").load(root).select(*[parts[k].alias(n) for k, n in enumerate(names)], "content")
+
+
+def read_eval_tree(spark: SparkSession, root: str, partitioned: bool = False) -> DataFrame:
     """(model, task, sample, has_<file>...) of a tree root/model/task/sample/file. Only paths are read, not contents."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    parts = F.slice(F.split(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), "/"), -4, 4)
-    return listing(files.select(parts[0].alias("model"), parts[1].alias("task"), parts[2].alias("sample"), parts[3].alias("file")))
+    return listing(tree_paths(spark, root, ("model", "task", "sample", "file"), partitioned).drop("content"))
 
 
 def listing(files: DataFrame) -> DataFrame:
@@ -48,10 +64,17 @@ def pick_reference_image(samples: DataFrame) -> DataFrame:
     return samples.withColumn("reference", reference).withColumn("reject", reject)
 
 
-def read_sample_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(sample, html, js) of a tree root/sample/{chart.html, code.js}; null for an absent file."""
-    parts = F.slice(F.split("path", "/"), -2, 2)
-    rows = whole_texts(spark, root).select(parts[0].alias("sample"), parts[1].alias("file"), "value")
+def read_sample_tree(spark: SparkSession, root: str, partitioned: bool = False) -> DataFrame:
+    """(sample, html, js) of a tree root/sample/{chart.html, code.js, ...}; null for an absent file. Of other files, such as pictures, nothing but the path is read."""
+    files = tree_paths(spark, root, ("sample", "file"), partitioned)
+    text = F.col("file").isin("chart.html", "code.js")
+    if partitioned:
+        rows = files.where(text)
+    else:  # the same folder twice: names from paths, contents from the two kinds of files only
+        wanted = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{chart.html,code.js}").load(root)
+        parts = F.slice(F.split("path", "/"), -2, 2)
+        rows = wanted.select(parts[0].alias("sample"), parts[1].alias("file"), "content")
+    rows = rows.select("sample", "file", F.decode("content", "UTF-8").alias("value")).unionByName(files.where(~text).select("sample", "file", F.lit(None).cast("string").alias("value")))
     return rows.groupBy("sample").agg(F.max(F.when(F.col("file") == "chart.html", F.col("value"))).alias("html"), F.max(F.when(F.col("file") == "code.js", F.col("value"))).alias("js"))
 
 
@@ -98,8 +121,8 @@ def read_color_similarity(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """(image, height, width, channels, data): decoded images; three channels are blue, green, red by row."""
-    return spark.read.format("image").load(path).select(F.col("image.origin").alias("image"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
+    """(image, height, width, channels, data): decoded images of a folder and those below it; three channels are blue, green, red by row."""
+    return spark.read.format("image").option("recursiveFileLookup", "true").load(path).select(F.col("image.origin").alias("image"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
 
 
 def pixels(images: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _MADE: dict[str, list[str]] = {}
 
@@ -49,6 +50,25 @@ def drop_scratch(spark: SparkSession) -> None:
             return
 
 
+def write_tree(files: DataFrame, root: str, names: tuple[str, ...]) -> None:
+    """Write rows (names..., value) as files below a folder for each name. Spark escapes the names, and ends a value with a line feed."""
+    files.write.partitionBy(*names).text(root)
+
+
+def bitmaps(pixels: DataFrame) -> DataFrame:
+    """(image, value): rows (image, y, x, c0, c1, c2) as 24-bit BMP files, blue first, with null pixels black. The bytes stand in a string, as the text writer takes them."""
+    whole = lambda c, size: F.concat(*[F.lpad(F.hex(F.shiftright(c, 8 * k).bitwiseAND(255)), 2, "0") for k in range(size)])  # noqa: E731  lowest byte first
+    pixel = F.concat(*[whole(F.coalesce(F.col(c), F.lit(0)).cast("int"), 1) for c in ("c0", "c1", "c2")])
+    # lines go from bottom to top, each filled up to a multiple of four bytes
+    line = pixels.groupBy("image", "y").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", pixel.alias("p")))), lambda t: t["p"]), "").alias("line"), F.count(F.lit(1)).cast("int").alias("w"))
+    size = lambda n: F.ceil(n / 4).cast("int") * 4
+    line = line.select("image", "y", "w", F.rpad("line", size(F.col("w") * 3) * 2, "0").alias("line"))
+    body = line.groupBy("image").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("y"), "line"))), lambda t: t["line"]), "").alias("body"), F.max("w").alias("w"), F.count(F.lit(1)).cast("int").alias("h"))
+    length = (F.length("body") / 2).cast("int")
+    head = F.concat(F.lit("424D"), whole(length + 54, 4), F.lit("00000000" "36000000" "28000000"), whole(F.col("w"), 4), whole(F.col("h"), 4), F.lit("0100" "1800" "00000000"), whole(length, 4), F.lit("00000000" * 4))
+    return body.select("image", F.unhex(F.concat(head, F.col("body"))).cast("string").alias("value"))
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write `df` as Parquet into a scratch folder and read it back, so that Spark knows its size and a lost executor costs running tasks only."""
     path = scratch(df.sparkSession, name)
