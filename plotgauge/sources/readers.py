@@ -37,6 +37,7 @@ def tree_paths(spark: SparkSession, root: str, names: tuple[str, ...], partition
 
     A tree that Spark has written by these names as partition columns is read by its partitions: a filter on a name then leaves out
     folders before any of their files is opened. Otherwise names come out of the paths. A file is opened only if its content is selected.
+    Spark leaves out files of no bytes, so an empty file counts as absent.
     """
     reader = spark.read.format("binaryFile")
     if partitioned:

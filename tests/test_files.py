@@ -19,12 +19,12 @@ def test_plain_trees(spark, tmp_path):
     tree = readers.read_eval_tree(spark, str(tmp_path / "eval"))
     assert sorted(tuple(r) for r in tree.collect()) == [("m 1", "t+%2F", "s#?é", True, False, False, True), ("m2", "t", "a=b", False, True, False, False)]
     assert "content" not in plan_of(tree)
-    for sample, file, text in [("s 1", "chart.html", "<html>\n"), ("s 1", "code.js", "é"), ("s%2", "chart.png", "p"), ("s%2", "code.js", ""), ("s3", "chart.png", "p")]:
+    for sample, file, text in [("s 1", "chart.html", "<html>\n"), ("s 1", "code.js", "é"), ("s%2", "chart.png", "p"), ("s%2", "code.js", ";"), ("s3", "chart.png", "p"), ("s3", "code.js", "")]:
         at = tmp_path / "src" / sample
         at.mkdir(parents=True, exist_ok=True)
         (at / file).write_text(text)
     got = readers.read_sample_tree(spark, str(tmp_path / "src"))
-    assert sorted(tuple(r) for r in got.collect()) == [("s 1", "<html>\n", "é"), ("s%2", None, ""), ("s3", None, None)]
+    assert sorted(tuple(r) for r in got.collect()) == [("s 1", "<html>\n", "é"), ("s%2", None, ";"), ("s3", None, None)]
 
 
 def test_partitioned_trees(spark, tmp_path):
