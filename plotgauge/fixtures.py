@@ -132,4 +132,4 @@ def with_ctes(names: list[str], sql: str) -> str:
     """DuckDB SQL over adapters as common table expressions; `sql` may go on with CTEs of its own after a leading comma."""
     ctes = ",\n".join(f"{n} AS ({text_of(n, 'duckdb').replace('@', '')})" for n in names)
     own, body = ("", sql) if not sql.lstrip().startswith(",") else (sql, "")
-    return f"WITH {ctes}\n{own or body}"
+    return f"WITH RECURSIVE {ctes}\n{own or body}"

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..sources.writers import settle
+
 ACHROMATIC = 14
 MERGE_DISTANCE = 14
 
@@ -218,63 +220,93 @@ def count_named_colors(profile: DataFrame, similarity: DataFrame, t: float = MER
     return found.select("image", names.alias("names")).withColumn("n_colors", F.size("names").cast("long"))
 
 
+def _image_colors(profile: DataFrame, *parts: Column) -> DataFrame:
+    """(image, colors): the named colours of each image as an array of structs, sorted by its parts; an image has no more of them than the dictionary."""
+    return profile.groupBy("image").agg(F.array_sort(F.collect_list(F.struct(*parts))).alias("colors"))
+
+
 def leader_groups(profile: DataFrame, t: float = 25) -> DataFrame:
     """(image, name, leader): from dark to light, each unclaimed colour leads the later unclaimed ones less than t lighter."""
+    rows = _image_colors(profile, F.col("l0").cast("double").alias("l0"), F.col("name"))
+    start = F.struct(F.lit(None).cast("double").alias("l0"), F.lit(None).cast("string").alias("name"), F.array().cast("array<struct<name:string,leader:string>>").alias("out"))
+
+    def step(s, c):  # sorted, so those that a leader claims follow it without a gap
+        new = s["l0"].isNull() | (c["l0"] - s["l0"] >= t)
+        leader = F.when(new, c["name"]).otherwise(s["name"])
+        return F.struct(F.when(new, c["l0"]).otherwise(s["l0"]).alias("l0"), leader.alias("name"), F.concat(s["out"], F.array(F.struct(c["name"].alias("name"), leader.alias("leader")))).alias("out"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["l0", "name"])
-        light, names = pdf["l0"].tolist(), pdf["name"].tolist()
-        leader, out = None, []
-        for k, n in enumerate(names):  # sorted, so those a leader claims follow it without a gap
-            if leader is None or light[k] - light[leader] >= t:
-                leader = k
-            out.append(names[leader])
-        return pd.DataFrame({"image": pdf["image"], "name": names, "leader": out})
+    return rows.select("image", F.inline(F.aggregate("colors", start, step, lambda s: s["out"])))
 
-    return profile.select("image", "name", "l0").groupBy("image").applyInPandas(run, f"image {profile.schema['image'].dataType.simpleString()}, name string, leader string")
 
+#: The cells that a point of a three-dimensional grid has to meet: its own and one of each pair of opposite neighbours.
+_HALF = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if (x, y, z) >= (0, 0, 0)]
 
-def radius_components(profile: DataFrame, eps: float = 14) -> DataFrame:
-    """(image, name, component): colours joined by steps of at most eps; a component bears its first name."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("name")
-        labs = pdf[["l0", "l1", "l2"]].to_numpy(float)
-        near = ((labs[:, None] - labs[None]) ** 2).sum(axis=2) <= eps * eps
-        label = np.arange(len(labs))
-        while True:
-            new = np.where(near, label[None], len(labs)).min(axis=1)
-            if (new == label).all():
-                break
-            label = new
-        names = pdf["name"].to_numpy()
-        return pd.DataFrame({"image": pdf["image"], "name": names, "component": names[label]})
+def radius_edges(points: DataFrame, eps: float) -> DataFrame:
+    """(image, a, b): pairs of names of an image that are at most `eps` apart, each once. Points meet those of their own cell of a grid of side eps and of half of its neighbours."""
+    axes = ("l0", "l1", "l2")
+    cell = lambda c: F.floor(F.col(c) / eps)
+    left = points.select("image", F.col("name").alias("a"), *[F.col(c).alias(f"a{c}") for c in axes], *[cell(c).alias(f"x{c}") for c in axes])
+    steps = F.explode(F.array(*[F.struct(*[F.lit(v).cast("long").alias(c) for v, c in zip(step, axes)]) for step in _HALF]))
+    right = points.select("image", F.col("name").alias("b"), *axes, steps.alias("_s")).select("image", "b", *axes, *[(cell(c) - F.col(f"_s.{c}")).alias(f"x{c}") for c in axes], F.expr("_s.l0 = 0 AND _s.l1 = 0 AND _s.l2 = 0").alias("_own"))
+    square = sum((F.col(f"a{c}") - F.col(c)) * (F.col(f"a{c}") - F.col(c)) for c in axes)
+    met = left.join(right, ["image", *[f"x{c}" for c in axes]])
+    return met.where((square <= eps * eps) & (~F.col("_own") | (F.col("a") < F.col("b")))).select("image", "a", "b")
 
-    rows = profile.select("image", "name", "l0", "l1", "l2")
-    return rows.groupBy("image").applyInPandas(run, f"image {profile.schema['image'].dataType.simpleString()}, name string, component string")
+
+def radius_components(profile: DataFrame, eps: float = 14, most_rounds: int = 100) -> DataFrame:
+    """(image, name, component): colours joined by steps of at most eps; a component bears its first name.
+
+    Every round takes the smallest label among neighbours, then that label's own label, so labels travel twice as far each
+    time; rounds are written, and end when no label has changed.
+    """
+    points = settle(profile.select("image", "name", *[F.col(c).cast("double").alias(c) for c in ("l0", "l1", "l2")]), "points")
+    edges = radius_edges(points, eps)
+    both = settle(edges.unionByName(edges.select("image", F.col("b").alias("a"), F.col("a").alias("b"))), "near-points")
+    labels = points.select("image", "name", F.col("name").alias("component"))
+    for _ in range(most_rounds):
+        seen = both.join(labels.select("image", F.col("name").alias("b"), F.col("component").alias("c")), ["image", "b"]).groupBy("image", F.col("a").alias("name")).agg(F.min("c").alias("c"))
+        near = labels.join(seen, ["image", "name"], "left").select("image", "name", F.least("component", "c").alias("component"), F.col("component").alias("was"))
+        far = near.select("image", F.col("name").alias("component"), F.col("component").alias("further"))
+        labels = settle(near.join(far, ["image", "component"]).select("image", "name", F.least("component", "further").alias("component"), "was"), "labels")
+        if labels.where("component <> was").limit(1).count() == 0:
+            return labels.drop("was")
+        labels = labels.drop("was")
+    raise RuntimeError("components did not settle")
 
 
 def weighted_kmeans(profile: DataFrame, k: int = 5, rounds: int = 50) -> DataFrame:
     """(image, cluster, name, share): colours clustered by LAB, weighted by log(1 + pixels); `share` is the cluster's percentage of weight, two decimals.
 
-    Centres start at the heaviest colour and then the farthest ones, so runs agree.
+    Centres start at the heaviest colour and then the farthest ones, so runs agree; of equally far colours the heavier, then the
+    first by name. The centres of an image are an array beside its colours, and rounds are folds over both.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "name"], ascending=[False, True])
-        x, w = pdf[["l0", "l1", "l2"]].to_numpy(float), np.log1p(pdf["n"].to_numpy(float))
-        centres = x[:1]
-        while len(centres) < min(k, len(x)):
-            far = ((x[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1)
-            centres = np.vstack([centres, x[far.argmax()]])
-        for _ in range(rounds):
-            own = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
-            new = np.array([np.average(x[own == c], axis=0, weights=w[own == c]) if (own == c).any() else centres[c] for c in range(len(centres))])
-            if np.allclose(new, centres):
-                break
-            centres = new
-        weight = np.bincount(own, weights=w, minlength=len(centres))
-        return pd.DataFrame({"image": pdf["image"], "cluster": own.astype("int64"), "name": pdf["name"], "share": np.round(100 * weight / weight.sum(), 2)[own]})
-
-    rows = profile.select("image", "name", "n", "l0", "l1", "l2")
-    return rows.groupBy("image").applyInPandas(run, f"image {profile.schema['image'].dataType.simpleString()}, cluster long, name string, share double")
+    axes = ("l0", "l1", "l2")
+    rows = _image_colors(profile, (-F.col("n")).alias("less"), F.col("name"), F.log1p(F.col("n").cast("double")).alias("w"), *[F.col(c).cast("double").alias(c) for c in axes])
+    point = lambda c: F.struct(*[c[x].alias(x) for x in axes])
+    away = lambda a, b: sum((a[x] - b[x]) * (a[x] - b[x]) for x in axes)
+    nearest = lambda c, centres: F.array_min(F.transform(centres, lambda z, i: F.struct(away(c, z).alias("d"), i.alias("i"))))
+
+    def add_farthest(centres, _):
+        far = F.array_min(F.transform("colors", lambda c, i: F.struct((-nearest(c, centres)["d"]).alias("d"), i.alias("i"))))
+        return F.concat(centres, F.array(point(F.get("colors", far["i"]))))
+
+    first = F.transform(F.slice("colors", 1, 1), point)
+    more = F.slice(F.sequence(F.lit(1), F.lit(k)), 1, F.least(F.lit(k), F.size("colors")) - 1)
+    rows = rows.select("image", "colors", F.aggregate(more, first, add_farthest).alias("centres"))
+
+    def round_(centres, _):
+        def moved(own):
+            def centre(z, i):
+                total = F.aggregate(own, F.array(*[F.lit(0.0)] * 4), lambda s, c: F.when(c["i"] == i, F.zip_with(s, F.array(c["w"], *[c["w"] * c[x] for x in axes]), lambda a, b: a + b)).otherwise(s))
+                return F.when(total[0] > 0, F.struct(*[(total[j + 1] / total[0]).alias(x) for j, x in enumerate(axes)])).otherwise(z)
+
+            return F.transform(centres, centre)
+
+        own = F.transform("colors", lambda c: F.struct(nearest(c, centres)["i"].alias("i"), c["w"].alias("w"), *[c[x].alias(x) for x in axes]))
+        return F.flatten(F.transform(F.array(own), moved))  # bound once, not for every centre
+
+    rows = rows.select("image", "colors", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), "centres", round_).alias("centres"))
+    each = rows.select("image", F.explode(F.transform("colors", lambda c: F.struct(nearest(c, F.col("centres"))["i"].cast("long").alias("cluster"), c["name"].alias("name"), c["w"].alias("w")))).alias("c")).select("image", "c.*")
+    weight = F.sum("w").over(Window.partitionBy("image", "cluster")) / F.sum("w").over(Window.partitionBy("image"))
+    return each.select("image", "cluster", "name", F.round(weight * 100, 2).alias("share"))

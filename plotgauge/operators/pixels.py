@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.writers import settle
+
 LEVELS = 32
 #: Neighbour directions (dy, dx) with their weights: eight angles at distance 1 fall onto these four.
 DIRECTIONS = ((0, 1, 3), (1, 1, 1), (1, 0, 3), (1, -1, 1))
@@ -57,11 +61,24 @@ def transition_complexity(pixels: DataFrame, levels: int = LEVELS) -> DataFrame:
 
 
 def glcm_features(gray: DataFrame) -> DataFrame:
-    """(image, contrast, dissimilarity, heterogeneity, energy, correlation) of symmetric, normed co-occurrence, averaged over eight angles."""
-    ways = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(w).alias("w")) for k, (dy, dx, w) in enumerate(DIRECTIONS)]))
-    asked = gray.select("image", "y", "x", F.col("c").alias("i"), ways.alias("_w")).select("image", (F.col("y") + F.col("_w.dy")).alias("y"), (F.col("x") + F.col("_w.dx")).alias("x"), "i", "_w.k", "_w.w")
-    pairs = asked.join(gray.withColumnRenamed("c", "j"), ["image", "y", "x"]).groupBy("image", "k", "w", "i", "j").agg(F.count(F.lit(1)).alias("n"))
-    both = pairs.unionByName(pairs.select("image", "k", "w", F.col("j").alias("i"), F.col("i").alias("j"), "n")).groupBy("image", "k", "w", "i", "j").agg(F.sum("n").alias("n"))
+    """(image, contrast, dissimilarity, heterogeneity, energy, correlation) of symmetric, normed co-occurrence, averaged over eight angles. Images are whole rectangles, an image's line is one array."""
+    # all that follows is counted by image, so pixels are shuffled once; each line of an image meets the next one as an array
+    lines = gray.select("image", "y", "x", "c").repartition("image").groupBy("image", "y").agg(F.array_sort(F.collect_list(F.struct("x", "c"))).alias("line"))
+    by_line = Window.partitionBy("image").orderBy("y")
+    lines = lines.select("image", "line", F.when(F.lead("y").over(by_line) == F.col("y") + 1, F.lead("line").over(by_line)).alias("next"))
+    n = F.size("line")
+
+    def neighbours(k: int, dy: int, dx: int, w: int):
+        here = F.col("line") if dx >= 0 else F.slice("line", 2, F.greatest(n - 1, F.lit(0)))
+        other = F.col("next") if dy else F.col("line")
+        other = F.slice(other, 2, F.greatest(n - 1, F.lit(0))) if dx > 0 else other
+        met = F.zip_with(here, other, lambda a, b: F.when(b["x"] == a["x"] + dx, F.struct(F.lit(k).alias("k"), F.lit(w).alias("w"), a["c"].alias("i"), b["c"].alias("j"))))
+        return F.coalesce(F.filter(met, lambda p: p.isNotNull()), F.array())
+
+    met = lines.select("image", F.inline(F.concat(*[neighbours(k, *way) for k, way in enumerate(DIRECTIONS)])))
+    pairs = met.groupBy("image", "k", "w", "i", "j").agg(F.count(F.lit(1)).alias("n"))
+    turned = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
+    both = pairs.select("image", "k", "w", "n", F.inline(turned)).groupBy("image", "k", "w", "i", "j").agg(F.sum("n").alias("n"))
     both = both.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("image", "k")))
     d = F.col("i") - F.col("j")
     one = both.groupBy("image", "k", "w").agg(
@@ -109,20 +126,45 @@ def image_ssim(pairs: DataFrame, a: str = "a", b: str = "b", width: str = "width
     return pairs.withColumn("ssim", score(a, b, width))
 
 
+def _around(cx: str, cy: str):
+    """A cell and the eight around it."""
+    return F.explode(F.array(*[F.struct((F.col(cx) + i).alias("cx"), (F.col(cy) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+
+
+def kept_points(points: DataFrame, r: int = 10, most_rounds: int = 10_000) -> DataFrame:
+    """(image, x, y, response) of the points that stay when the strongest goes first and drops all others within r of it in both axes.
+
+    Points are stronger by response, then by smaller x, then by smaller y; equal points count once, points without a place or an
+    image are left out, and a null response is the weakest. They lie in cells of side r, so that only points of nine
+    cells can drop each other. In every round the strongest of its nine cells is kept and drops its neighbours, until no point is open: nothing
+    that is stronger and near can be open then, so the points kept are those of the one-by-one rule. A cell is a group, an image or
+    a part of the plane isn't; what a round sends around is a row for each cell and the points kept. Rounds are written.
+    """
+    rank = F.struct(F.coalesce(F.col("response").cast("double"), F.lit(float("-inf"))).alias("response"), (-F.col("x")).alias("x"), (-F.col("y")).alias("y"))
+    cell = lambda c: F.floor(F.col(c) / max(r, 1)).cast("long")
+    points = points.where("image IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL")
+    given = points.groupBy("image", "x", "y").agg(F.max(F.coalesce(F.col("response").cast("double"), F.lit(float("-inf")))).alias("response"))
+    left = settle(given.select("image", "x", "y", "response", rank.alias("rank"), cell("x").alias("cx"), cell("y").alias("cy")), "open-points")
+    done = []
+    for _ in range(most_rounds):
+        strongest = left.groupBy("image", "cx", "cy").agg(F.max("rank").alias("rank"))
+        best = strongest.select("image", "rank", _around("cx", "cy").alias("_c")).groupBy("image", "_c.cx", "_c.cy").agg(F.max("rank").alias("best"))
+        keep = settle(left.join(best, ["image", "cx", "cy"]).where("rank = best").drop("best"), "kept-points")
+        if keep.limit(1).count() == 0:
+            break
+        done.append(keep.select("image", "x", "y", "response"))
+        near = keep.select("image", F.col("x").alias("kx"), F.col("y").alias("ky"), _around("cx", "cy").alias("_c")).select("image", "kx", "ky", "_c.cx", "_c.cy")
+        hit = (F.abs(F.col("x") - F.col("kx")) <= r) & (F.abs(F.col("y") - F.col("ky")) <= r)
+        gone = left.join(near, ["image", "cx", "cy"]).where(hit).select("image", "x", "y").distinct()
+        left = settle(left.join(gone, ["image", "x", "y"], "left_anti"), "open-points")
+    else:
+        raise RuntimeError("points did not settle")
+    return reduce(DataFrame.unionByName, done) if done else left.select("image", "x", "y", "response")
+
+
 def suppress_points(points: DataFrame, r: int = 10) -> DataFrame:
     """(image, n_points): strongest first, points within r of a kept one in both axes are dropped."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["response", "x", "y"], ascending=[False, True, True])
-        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
-        left, kept = np.ones(len(x), bool), 0
-        for i in range(len(x)):
-            if left[i]:
-                kept += 1
-                left &= (np.abs(x - x[i]) > r) | (np.abs(y - y[i]) > r)
-        return pd.DataFrame({"image": [pdf["image"].iloc[0]], "n_points": [kept]})
-
-    return points.groupBy("image").applyInPandas(run, f"image {points.schema['image'].dataType.simpleString()}, n_points long")
+    return kept_points(points, r).groupBy("image").agg(F.count(F.lit(1)).alias("n_points"))
 
 
 def compressed_size(df: DataFrame, data: str, out: str = "size") -> DataFrame:

@@ -321,7 +321,13 @@ def h6(spark, d):
     return K.leader_groups(profile(spark, d))
 
 
-@query("h7_radius_components")
+_COMPONENTS = """, edge AS (SELECT a.image, a.name AS a, b.name AS b FROM profile a JOIN profile b ON a.image = b.image
+  AND (a.l0 - b.l0) * (a.l0 - b.l0) + (a.l1 - b.l1) * (a.l1 - b.l1) + (a.l2 - b.l2) * (a.l2 - b.l2) <= 14 * 14),
+reach AS (SELECT image, name, name AS other FROM profile UNION SELECT r.image, r.name, e.b FROM reach r JOIN edge e ON e.image = r.image AND e.a = r.other)
+SELECT image, name, min(other) AS component FROM reach GROUP BY image, name"""
+
+
+@query("h7_radius_components", NAMED + _COMPONENTS, DICT)
 def h7(spark, d):
     return K.radius_components(profile(spark, d))
 
