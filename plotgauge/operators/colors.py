@@ -295,7 +295,9 @@ def weighted_kmeans(profile: DataFrame, k: int = 5, rounds: int = 50) -> DataFra
     more = F.slice(F.sequence(F.lit(1), F.lit(k)), 1, F.least(F.lit(k), F.size("colors")) - 1)
     rows = rows.select("image", "colors", F.aggregate(more, first, add_farthest).alias("centres"))
 
-    def round_(centres, _):
+    def round_(state, _):
+        centres = state["centres"]
+
         def moved(own):
             def centre(z, i):
                 total = F.aggregate(own, F.array(*[F.lit(0.0)] * 4), lambda s, c: F.when(c["i"] == i, F.zip_with(s, F.array(c["w"], *[c["w"] * c[x] for x in axes]), lambda a, b: a + b)).otherwise(s))
@@ -304,9 +306,12 @@ def weighted_kmeans(profile: DataFrame, k: int = 5, rounds: int = 50) -> DataFra
             return F.transform(centres, centre)
 
         own = F.transform("colors", lambda c: F.struct(nearest(c, centres)["i"].alias("i"), c["w"].alias("w"), *[c[x].alias(x) for x in axes]))
-        return F.flatten(F.transform(F.array(own), moved))  # bound once, not for every centre
+        once = F.transform(F.array(own), moved)  # bound once, not for every centre
+        after = F.get(F.transform(once, lambda m: F.struct(m.alias("centres"), (m == centres).alias("settled"))), 0)
+        return F.when(state["settled"], state).otherwise(after)
 
-    rows = rows.select("image", "colors", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), "centres", round_).alias("centres"))
+    begin = F.struct("centres", F.lit(False).alias("settled"))
+    rows = rows.select("image", "colors", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), begin, round_, lambda s: s["centres"]).alias("centres"))
     each = rows.select("image", F.explode(F.transform("colors", lambda c: F.struct(nearest(c, F.col("centres"))["i"].cast("long").alias("cluster"), c["name"].alias("name"), c["w"].alias("w")))).alias("c")).select("image", "c.*")
     weight = F.sum("w").over(Window.partitionBy("image", "cluster")) / F.sum("w").over(Window.partitionBy("image"))
     return each.select("image", "cluster", "name", F.round(weight * 100, 2).alias("share"))

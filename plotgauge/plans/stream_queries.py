@@ -48,8 +48,8 @@ def r2(spark, d):
     """Samples that are evaluated again and again, arriving in several batches; the last record by ship date counts."""
     dealt = R.scratch(spark, "arriving")
     lines = table(spark, d, "lineitem")
-    lines.repartition(6, "l_partkey").write.parquet(dealt)
-    rows = R.read_stream(spark, dealt, lines.schema, "parquet", files_per_batch=2).select(
+    lines.repartition(24, "l_partkey").write.parquet(dealt)
+    rows = R.read_stream(spark, dealt, lines.schema, "parquet", files_per_batch=8).select(
         F.concat(F.lit("m"), F.lpad((F.col("l_suppkey") % 17).cast("string"), 2, "0")).alias("model"),
         F.expr(_TASK).alias("task"),
         (F.col("l_orderkey") % 50).cast("string").alias("sample"),

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+import pickle
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from ..sources.writers import scratch  # noqa: F401
@@ -71,32 +76,50 @@ def stored_results(spark: SparkSession, out: str, schema: StructType, keys: tupl
 BOARD = "model string, task string, n long, executable long"
 
 
-class LastRecord(StatefulProcessor):
-    """What counts of each key, and what a new record changes about the counts of its model and task."""
+#: Keys whose last record a task holds before it hands them on.
+HELD_KEYS = 50_000
+
+
+def _place(values: tuple) -> tuple:
+    """Order of records: by `order`, null lowest, then by error count."""
+    return tuple((v is not None, v) for v in values)
+
 
-    def __init__(self, order: StructType):
-        self.kept = StructType(list(order.fields)).add("_errors", "long").add("_executable", "boolean")
+def _last_in_task(rows: DataFrame, n_keys: int) -> DataFrame:
+    """(keys..., _value): of the rows of each task the last one for each key, as a pickled tuple, before anything is shuffled. A key that most rows bear stays small."""
+    keys = rows.schema.fields[:n_keys]
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", self.kept)
+    def run(batches):
+        last: dict[tuple, tuple] = {}
 
-    @staticmethod
-    def _place(values: tuple) -> tuple:
-        """Order of records: by `order`, null lowest, then by error count."""
-        return tuple((v is not None, v) for v in values)
+        def handed_on(like):
+            columns = [pa.array(values, kind) for values, kind in zip(zip(*last), like.types)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(map(pickle.dumps, last.values()), pa.binary())], names=[*like.names[:n_keys], "_value"])
 
-    def handleInputRows(self, key, rows, timerValues):
-        last = max((tuple(r[n] for n in self.kept.names) for r in rows), key=lambda v: self._place(v[:-1]))
-        old = self.last.get() if self.last.exists() else None
-        if old is not None:
-            old = tuple(old)
-            if len(old) > 2 and self._place(last[:-1]) < self._place(old[:-1]):
-                return
-        if last != old:
-            self.last.update(last)
-        new, gone = int(last[-1]), 0 if old is None else int(old[-1])
-        if old is None or new != gone:
-            yield Row(model=key[0], task=key[1], n=int(old is None), executable=new - gone)
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                key, value = row[:n_keys], row[n_keys:]
+                if key not in last or _place(value[:-1]) > _place(last[key][:-1]):
+                    last[key] = value
+            if len(last) > HELD_KEYS:
+                yield from handed_on(batch.schema)
+                last.clear()
+        if last:
+            yield from handed_on(batch.schema)
+
+    return rows.mapInArrow(run, StructType(keys).add("_value", "binary"))
+
+
+def _follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Keep the last record of a key as its state, and tell what it changes about the counts of its model and task."""
+    last = max((pickle.loads(v) for f in frames for v in f["_value"]), key=lambda v: _place(v[:-1]))
+    old = tuple(state.get) if state.exists else None
+    if old is not None and len(old) > 2 and _place(last[:-1]) < _place(old[:-1]):
+        return
+    state.update(last)
+    new, gone = int(last[-1]), 0 if old is None else int(old[-1])
+    if old is None or new != gone:
+        yield pd.DataFrame({"model": [key[0]], "task": [key[1]], "n": [int(old is None)], "executable": [new - gone]})
 
 
 def running_leaderboard(stream: DataFrame, out: str, checkpoint: str, keys: tuple[str, ...] = KEYS, order: str | None = None) -> DataFrame:
@@ -112,7 +135,8 @@ def running_leaderboard(stream: DataFrame, out: str, checkpoint: str, keys: tupl
     fields = [] if order is None else [F.col(f"{order}.{f.name}") for f in stream.schema[order].dataType.fields] if isinstance(stream.schema[order].dataType, StructType) else [F.col(order)]
     ok = F.coalesce(F.col("error_count") <= F.when(F.col("task") == "data_update", 1).otherwise(0), F.lit(False))
     rows = stream.select(*keys, *[c.alias(f"_o{k}") for k, c in enumerate(fields)], F.col("error_count").cast("long").alias("_errors"), ok.alias("_executable"))
-    changes = rows.groupBy(*keys).transformWithState(LastRecord(StructType(rows.schema.fields[len(keys) : -2])), BOARD, "Update", "None")
+    kept = StructType(rows.schema.fields[len(keys) :])
+    changes = _last_in_task(rows, len(keys)).groupBy(*keys).applyInPandasWithState(_follow, BOARD, kept, "update", GroupStateTimeout.NoTimeout)
 
     def store(batch: DataFrame, number: int) -> None:
         # foreachBatch numbers batches one by one, so the board before this one is that of the number before
@@ -120,14 +144,8 @@ def running_leaderboard(stream: DataFrame, out: str, checkpoint: str, keys: tupl
         both = batch if before is None else batch.unionByName(before)
         both.groupBy("model", "task").agg(F.sum("n").alias("n"), F.sum("executable").alias("executable")).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    name = "spark.sql.streaming.stateStore.providerClass"
-    given = spark.conf.get(name, None)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        query = changes.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        query.awaitTermination()
-    finally:
-        spark.conf.set(name, given) if given else spark.conf.unset(name)
+    query = changes.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
     every = boards(spark, out)
     last = every.agg(F.max("batch").alias("_last"))
     return every.join(last, F.col("batch") == F.col("_last")).select("model", "task", "n", "executable")
