@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -25,11 +26,20 @@ def text_similarity(df: DataFrame, ref: str, gen: str, out: str = "similarity")
 
 
 def assign(cost: np.ndarray) -> np.ndarray:
-    """Column of each row in an assignment of least total cost, for no more rows than columns: shortest augmenting paths over row and column prices."""
+    """Column of each row in an assignment of least total cost, for no more rows than columns: shortest augmenting paths over row and column prices.
+
+    Rows begin with the price of their cheapest column and take it if it is free, so only rows in conflict need a path.
+    """
     n, m = cost.shape
-    u, v = np.zeros(n + 1), np.zeros(m + 1)
+    u, v = np.append(0.0, cost.min(axis=1)), np.zeros(m + 1)
     owner, way = np.zeros(m + 1, int), np.zeros(m + 1, int)  # column 0 stands for none
-    for i in range(1, n + 1):
+    waiting = []
+    for i, j in enumerate((cost.argmin(axis=1) + 1).tolist(), start=1):
+        if owner[j]:
+            waiting.append(i)
+        else:
+            owner[j] = i
+    for i in waiting:
         owner[0], j = i, 0
         best, used = np.full(m + 1, np.inf), np.zeros(m + 1, bool)
         while owner[j]:
@@ -54,20 +64,110 @@ def assign(cost: np.ndarray) -> np.ndarray:
     return out
 
 
-def fuzzy_f1(ref: list[str], gen: list[str], threshold: float = MATCH) -> float:
-    """F1 of two lists of texts: pairs matched one to one for the greatest summed similarity, of which those reaching the threshold count."""
+#: Bytes of remembered similarities in a worker, by estimate; they are forgotten beyond it.
+MEMO_BYTES = 48 << 20
+_ENTRY_BYTES = 160
+
+
+#: Texts up to this length are compared by searching stretches of one in the other, which is faster than a matcher's tables.
+SHORT = 24
+
+
+def short_ratio(a: str, b: str) -> float:
+    """The sequence matcher's ratio of two short texts: the longest common stretch, the first one in `a` and then in `b`, and the same again on both of its sides."""
+    if a == b:
+        return 1.0
+    matched, open_ = 0, [(0, len(a), 0, len(b))]
+    while open_:
+        alo, ahi, blo, bhi = open_.pop()
+        for size in range(min(ahi - alo, bhi - blo), 0, -1):
+            for i in range(alo, ahi - size + 1):
+                j = b.find(a[i : i + size], blo, bhi)
+                if j >= 0:
+                    break
+            else:
+                continue
+            matched += size
+            if i > alo and j > blo:
+                open_.append((alo, i, blo, j))
+            if i + size < ahi and j + size < bhi:
+                open_.append((i + size, ahi, j + size, bhi))
+            break
+    return 2.0 * matched / (len(a) + len(b)) if a or b else 1.0
+
+
+class Similarities:
+    """Sequence-matcher ratios of pairs of texts, remembered from one sample to the next."""
+
+    def __init__(self, limit: int = MEMO_BYTES):
+        self.limit, self.held = limit, 0
+        self.known: dict[str, dict[str, float]] = {}  # by the second text, of which a matcher is made once
+
+    def matrix(self, ref: list[str], gen: list[str]) -> np.ndarray:
+        if self.held > self.limit:
+            self.known.clear()
+            self.held = 0
+        first, columns = set(ref), {}
+        for b in set(gen):
+            row = self.known.get(b)
+            if row is None:
+                row = self.known[b] = {}
+                self.held += len(b) + _ENTRY_BYTES
+            new = first.difference(row)
+            matcher = None
+            for a in new:
+                if len(a) <= SHORT and len(b) <= SHORT:
+                    row[a] = short_ratio(a, b)
+                else:
+                    matcher = matcher or SequenceMatcher(None, "", b)
+                    matcher.set_seq1(a)
+                    row[a] = matcher.ratio()
+                self.held += len(a) + _ENTRY_BYTES
+            columns[b] = row
+        return np.array([[columns[b][a] for b in gen] for a in ref])
+
+
+@functools.cache
+def _worker_similarities() -> Similarities:
+    return Similarities()
+
+
+def alike_parts(sim: np.ndarray):
+    """(rows, columns) of each part of a similarity matrix that is linked by values above 0; rows and columns without any are left out."""
+    some = sim > 0
+    if some.all():
+        yield np.arange(sim.shape[0]), np.arange(sim.shape[1])
+        return
+    left = some.any(axis=1)
+    while left.any():
+        rows = np.zeros(len(left), bool)
+        rows[left.argmax()] = True
+        while True:
+            columns = some[rows].any(axis=0)
+            more = some[:, columns].any(axis=1)
+            if (more == rows).all():
+                break
+            rows = more
+        yield np.flatnonzero(rows), np.flatnonzero(columns)
+        left &= ~rows
+
+
+def fuzzy_f1(ref: list[str], gen: list[str], threshold: float = MATCH, memo: Similarities | None = None) -> float:
+    """F1 of two lists of texts: pairs matched one to one for the greatest summed similarity, of which those reaching the threshold count.
+
+    Parts of the lists that have nothing in common are matched by themselves: pairs of similarity 0 add nothing to the sum.
+    """
     if not ref and not gen:
         return 1.0
     if not ref or not gen:
         return 0.0
-    known: dict[tuple[str, str], float] = {}
-    for a in set(ref):
-        for b in set(gen):
-            known[a, b] = SequenceMatcher(None, a, b).ratio()
-    sim = np.array([[known[a, b] for b in gen] for a in ref])
-    wide = sim if sim.shape[0] <= sim.shape[1] else sim.T
-    chosen = assign(1 - wide)
-    hits = int((wide[np.arange(len(wide)), chosen] >= threshold).sum())
+    sim = (memo or Similarities()).matrix(ref, gen)
+    hits = 0
+    for rows, columns in alike_parts(sim):
+        part = sim[np.ix_(rows, columns)]
+        wide = part if part.shape[0] <= part.shape[1] else part.T
+        chosen = assign(1 - wide)
+        hits += int((wide[np.arange(len(wide)), chosen] >= threshold).sum())
     return 2 * hits / (len(ref) + len(gen))
 
 
@@ -76,7 +176,7 @@ def text_f1(pairs: DataFrame, key: str = "image", ref: str = "ref", gen: str = "
 
     @F.pandas_udf("double")
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        lists = lambda x: [] if x is None else list(x)
-        return pd.Series([fuzzy_f1(lists(x), lists(y), threshold) for x, y in zip(a, b)], dtype=float)
+        lists, memo = lambda x: [] if x is None else list(x), _worker_similarities()
+        return pd.Series([fuzzy_f1(lists(x), lists(y), threshold, memo) for x, y in zip(a, b)], dtype=float)
 
     return pairs.select(key, score(ref, gen).alias("ocr_f1"))

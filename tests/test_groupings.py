@@ -109,3 +109,42 @@ def test_cooccurrence_is_shuffled_once(spark):
     gray = spark.range(2).select(F.col("id").alias("image"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p")).select("image", (F.col("p") / 8).cast("long").alias("y"), (F.col("p") % 8).cast("long").alias("x"), (F.col("p") * 7 % 11).cast("long").alias("c"))
     plan = pixels.glcm_features(gray)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and "Join" not in plan
+
+
+def test_text_f1_of_parts_and_a_small_memo():
+    """Lists in several scripts, with repeats: the greatest sum of similarities, found part by part, with a memo that is forgotten all the time."""
+    import itertools
+    from difflib import SequenceMatcher
+
+    from plotgauge.operators import text_match
+
+    rng, memo = random.Random(4), text_match.Similarities(limit=500)
+    alphabets = ["abc", "xyz", "日本語", "0123"]
+    for _ in range(300):
+        ref, gen = ([("".join(rng.choice(rng.choice(alphabets[: rng.randrange(1, 5)])) for _ in range(rng.randrange(5)))) for _ in range(rng.randrange(6))] for _ in range(2))
+        got = text_match.fuzzy_f1(ref, gen, memo=memo)
+        if not ref or not gen:
+            assert got == float(not ref and not gen)
+            continue
+        sim = memo.matrix(ref, gen)
+        assert np.allclose(sim, [[SequenceMatcher(None, a, b).ratio() for b in gen] for a in ref])
+        wide = sim if len(ref) <= len(gen) else sim.T
+        best = {}
+        for chosen in itertools.permutations(range(wide.shape[1]), len(wide)):
+            values = [wide[i, j] for i, j in enumerate(chosen)]
+            best.setdefault(round(sum(values), 9), set()).add(sum(v >= 0.85 for v in values))
+        assert round(got * (len(ref) + len(gen)) / 2, 9) in best[max(best)]
+        assert memo.held < 500 + 36 * 200
+    parts = list(text_match.alike_parts(np.array([[1.0, 0, 0], [0, 0, 0.5], [0, 0, 0]])))
+    assert [(r.tolist(), c.tolist()) for r, c in parts] == [([0], [0]), ([1], [2])]
+
+
+def test_short_ratio():
+    from difflib import SequenceMatcher
+
+    from plotgauge.operators import text_match
+
+    rng = random.Random(5)
+    for _ in range(30_000):
+        a, b = ("".join(rng.choice("abcde"[: rng.randrange(1, 6)]) for _ in range(rng.randrange(text_match.SHORT + 1))) for _ in range(2))
+        assert text_match.short_ratio(a, b) == SequenceMatcher(None, a, b).ratio(), (a, b)
