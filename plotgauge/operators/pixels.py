@@ -117,7 +117,7 @@ def image_ssim(pairs: DataFrame, a: str = "a", b: str = "b", width: str = "width
     def score(left: pd.Series, right: pd.Series, w: pd.Series) -> pd.Series:
         out = []
         for x, y, n in zip(left, right, w):
-            if x is None or y is None or len(x) != len(y) or n < 7 or len(x) < 7 * n:
+            if x is None or y is None or len(x) != len(y) or not n >= 7 or len(x) < 7 * n or len(x) % n:
                 out.append(0.0)
             else:
                 out.append(round(_ssim(np.asarray(x, float).reshape(-1, n), np.asarray(y, float).reshape(-1, n)), 4))

@@ -25,6 +25,13 @@ def align_states(wanted: DataFrame, ref: DataFrame, gen: DataFrame, text: str =
     return out.withColumns({c: F.coalesce(c, F.lit("")) for c in ("ref_text", "gen_text")})
 
 
+def align_pictures(wanted: DataFrame, ref: DataFrame, gen: DataFrame) -> DataFrame:
+    """The wanted states with both sides' pictures (sample, data_index, picture, width); an absent one is null. Pictures of other states are left out before any is shuffled, where Spark can send the wanted keys around."""
+    keys = ["sample", "data_index"]
+    side = lambda df, name: df.join(wanted.select(*keys).distinct(), keys, "left_semi").select(*keys, F.col("picture").alias(name), F.col("width").alias(f"{name}_width"))
+    return wanted.join(side(ref, "ref_picture"), keys, "left").join(side(gen, "gen_picture"), keys, "left")
+
+
 def pass_flags(states: DataFrame, thresholds=THRESHOLDS, value: str = "sim") -> DataFrame:
     """Each state under each threshold: `passed`, and `all_so_far`."""
     levels = F.explode(F.array(*map(F.lit, thresholds)))

@@ -167,21 +167,31 @@ def p25(spark, d):
     return C.semantic_signature(C.chain_options(_charts(spark, d))).select("chart_id", "step", "labels_signature", "series_style")
 
 
-@query("p22_usable_series", "SELECT c_custkey AS chart_id, 0::BIGINT AS usable_series, CASE WHEN c_custkey % 9 < 6 THEN 0 ELSE -1 END::BIGINT AS for_state FROM customer")
+_LENGTHS = "[c_custkey % 7, c_nationkey % 6, c_custkey % 5]"
+
+
+@query("p22_usable_series", f"""
+SELECT c_custkey AS chart_id, CAST(list_position(n, list_max(n)) - 1 AS BIGINT) AS usable_series,
+       CAST(CASE WHEN n[1] > c_custkey % 9 THEN 0 WHEN n[2] > c_custkey % 9 THEN 1 WHEN n[3] > c_custkey % 9 THEN 2 ELSE -1 END AS BIGINT) AS for_state
+FROM (SELECT c_custkey, {_LENGTHS} AS n FROM customer)""")
 def p22(spark, d):
-    o = _charts(spark, d).select("chart_id", F.to_json("option").alias("option"))
+    """Three series whose lengths differ by customer, ties and empty ones among them."""
+    series = F.array(*[F.struct(F.array_repeat(F.lit(1), (F.col(c) % k).cast("int")).alias("data")) for c, k in (("c_custkey", 7), ("c_nationkey", 6), ("c_custkey", 5))])
+    o = table(spark, d, "customer").select(F.col("c_custkey").alias("chart_id"), F.to_json(F.struct(series.alias("series"))).alias("option"))
     first = C.usable_series(o)
     state = C.usable_series(o, state=(F.col("chart_id") % 9).cast("int")).select("chart_id", F.col("usable_series").alias("for_state"))
     return first.select("chart_id", "usable_series").join(state, "chart_id")
 
 
-@query("p26_option_page", "SELECT c_custkey AS chart_id, true AS whole FROM customer")
-def p26(spark, d):
-    from ..functions.text import html_gate
+_HEAD, _TAIL = "<!DOCTYPE html>\n<html><body><script>const option = ", ";</script></body></html>"
 
-    o = _charts(spark, d).select("chart_id", F.to_json("option").alias("option"))
-    page = C.option_page(o, "<!DOCTYPE html>\n<html><body><script>const option = ", ";</script></body></html>")
-    return page.select("chart_id", (html_gate(F.col("page")) & F.col("page").contains('"series":[')).alias("whole"))
+
+@query("p26_option_page", f"SELECT c_custkey AS chart_id, concat('{_HEAD}', json_object('title', c_name, 'series', [c_nationkey, c_custkey % 100]), '{_TAIL}') AS page FROM customer")
+def p26(spark, d):
+    """The whole page of a customer's option, every character of it."""
+    option = F.to_json(F.struct(F.col("c_name").alias("title"), F.array(F.col("c_nationkey").cast("long"), F.col("c_custkey") % 100).alias("series")))
+    pages = C.option_page(table(spark, d, "customer").select(F.col("c_custkey").alias("chart_id"), option.alias("option")), _HEAD, _TAIL)
+    return pages.select("chart_id", "page")
 
 
 _FIDELITY = """

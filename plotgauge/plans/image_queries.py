@@ -309,7 +309,11 @@ def h4(spark, d):
     return T.text_similarity(s, "tooltip", "following").select("sample", "data_index", "similarity")
 
 
-@query("h5_image_ssim")
+@query("h5_image_ssim", """,
+win AS (SELECT p.image, oy, ox, avg(p.c / 255e0) AS ma, avg(q.c / 255e0) AS mb, var_samp(p.c / 255e0) AS va, var_samp(q.c / 255e0) AS vb, covar_samp(p.c / 255e0, q.c / 255e0) AS vab
+  FROM gray p JOIN gray q ON q.image = p.image + 1 AND q.y = p.y AND q.x = p.x, range(2) t(oy), range(2) u(ox)
+  WHERE p.y BETWEEN oy AND oy + 6 AND p.x BETWEEN ox AND ox + 6 GROUP BY ALL)
+SELECT image, round(avg((2 * ma * mb + 1e-4) * (2 * vab + 9e-4) / ((ma * ma + mb * mb + 1e-4) * (va + vb + 9e-4))), 4) AS ssim FROM win GROUP BY image""", GRAY)
 def h5(spark, d):
     g = adapter(spark, d, "gray").groupBy("image").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "c"))), lambda t: t["c"] / 255.0).alias("a"))
     both = g.join(g.select((F.col("image") - 1).alias("image"), F.col("a").alias("b")), "image").withColumn("width", F.lit(8))

@@ -73,6 +73,31 @@ def job_behaviour(spark, d):
     return jobs.multi_state(*_state_sides(spark, d))["fail_at"]
 
 
+#: Structural similarity of the 8 x 8 gray images `a` and `b` of each row (sample, position, a, b): four windows of 7 x 7.
+SSIM = """
+win AS (SELECT sample, position, oy, ox, avg(p.c / 255e0) AS ma, avg(q.c / 255e0) AS mb, var_samp(p.c / 255e0) AS va, var_samp(q.c / 255e0) AS vb, covar_samp(p.c / 255e0, q.c / 255e0) AS vab
+  FROM pics JOIN gray p ON p.image = a JOIN gray q ON q.image = b AND q.y = p.y AND q.x = p.x, range(2) t(oy), range(2) u(ox)
+  WHERE p.y BETWEEN oy AND oy + 6 AND p.x BETWEEN ox AND ox + 6 GROUP BY ALL),
+ssim AS (SELECT sample, position, round(avg((2 * ma * mb + 1e-4) * (2 * vab + 9e-4) / ((ma * ma + mb * mb + 1e-4) * (va + vb + 9e-4))), 4) AS ssim FROM win GROUP BY sample, position)
+"""
+
+
+@query("job_behaviour_pictures", _SIM + """, pics AS (SELECT sample, position, (sample * 7 + data_index) % 500 AS a, (sample * 7 + data_index + CASE WHEN data_index % 3 = 0 THEN 0 ELSE 1 END) % 500 AS b FROM anch WHERE data_index % 4 <> 3),""" + SSIM + """
+SELECT a.sample, CAST(a.position AS BIGINT) AS position, CASE WHEN a.data_index % 4 = 3 THEN 0.0 WHEN a.data_index % 3 = 0 THEN 1.0 ELSE round(2.0 * length(tooltip) / (2 * length(tooltip) + 3), 4) END::DOUBLE AS sim, coalesce(ssim, 0) AS ssim
+FROM anch a JOIN states s ON s.sample = a.sample AND s.data_index = a.data_index LEFT JOIN ssim m ON m.sample = a.sample AND m.position = a.position""", ("states", "gray"))
+def job_behaviour_pictures(spark, d):
+    """Tooltips and pictures of the wanted states. A state's picture is an embedding, another one on the generated side of two states in three; every fourth is absent there."""
+    ref, gen = _state_sides(spark, d)
+    images = adapter(spark, d, "gray").groupBy("image").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "c"))), lambda t: t["c"] / 255.0).alias("picture"))
+
+    def pictures(rows, other):
+        image = (F.col("sample") * 7 + F.col("data_index") + other) % 500
+        return rows.select("sample", "data_index", image.alias("image")).join(images, "image").select("sample", "data_index", "picture", F.lit(8).alias("width"))
+
+    found = jobs.multi_state(ref, gen, pictures(ref, F.lit(0)), pictures(gen, F.when(F.col("data_index") % 3 == 0, 0).otherwise(1)))
+    return found["states"].select("sample", "position", "sim", "ssim")
+
+
 @query("job_edit_chains", _FIDELITY + """,
 raw AS (SELECT chart_id, step, NOT (chart_id % 7 = 1 AND step = 6) AND NOT (chart_id % 11 = 2 AND step = 4) AS ok, round(same / n, 4) AS f, same = n AS em FROM m),
 dead AS (SELECT chart_id, min(step) FILTER (WHERE NOT ok) AS c FROM raw GROUP BY chart_id)

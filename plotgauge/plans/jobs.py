@@ -63,12 +63,21 @@ def visual_complexity(spark: SparkSession, pixel_rows: DataFrame, gray: DataFram
     return complexity.complexity_score(features, complexity.model_table(spark))
 
 
-def multi_state(ref: DataFrame, gen: DataFrame) -> dict[str, DataFrame]:
+def multi_state(ref: DataFrame, gen: DataFrame, ref_pictures: DataFrame | None = None, gen_pictures: DataFrame | None = None) -> dict[str, DataFrame]:
     """Multi-state charts from both sides' states (sample, data_index, data_len, tooltip): anchors, alignment, similarity of
-    tooltips in four decimals, and only then thresholds. An absent state has an empty tooltip."""
+    tooltips in four decimals, and only then thresholds. An absent state has an empty tooltip.
+
+    With gray pictures of both sides (sample, data_index, picture, width), values by row in 0..1, `states` has their structural similarity `ssim` too: 0
+    where a side has no picture, or one of another size.
+    """
     wanted = states.state_anchors(ref.groupBy("sample").agg(F.max("data_len").alias("data_len")))
     compared = text_match.text_similarity(states.align_states(wanted, ref, gen), "ref_text", "gen_text", "sim")
     flags = states.pass_flags(compared.select("sample", "position", "sim"))
+    if ref_pictures is not None and gen_pictures is not None:
+        pairs = states.align_pictures(wanted.select("sample", "data_index"), ref_pictures, gen_pictures)
+        same = F.when(F.col("ref_picture_width") == F.col("gen_picture_width"), F.col("gen_picture"))
+        seen = pixels.image_ssim(pairs.withColumn("gen_picture", same), "ref_picture", "gen_picture", "ref_picture_width")
+        compared = compared.join(seen.select("sample", "data_index", "ssim"), ["sample", "data_index"])
     return {"states": compared, "fail_at": states.fail_at_k(flags), "core": states.core_predicts_later(flags), "selection": states.balanced_selection(flags)}
 
 
