@@ -12,7 +12,7 @@ from ..operators import complexity as M
 from ..operators import pixels as X
 from ..operators import text_match as T
 from ..operators.scoring import color_iou
-from ..sources.readers import color_counts, read_images
+from ..sources.readers import color_counts, read_color_dict, read_color_similarity, read_images
 from ..sources.writers import bitmaps, scratch, write_tree
 from .registry import query
 from .sample_queries import detections
@@ -78,6 +78,19 @@ def s6b(spark, d):
     return printed.select("name", F.explode(name_list(F.col("printed"))).alias("similar_name"))
 
 
+@query("s6_color_files", NAMED + "SELECT d.idx, d.name, d.l0 AS l, d.l1 AS a, d.l2 AS b, string_agg(s.similar_name, '|' ORDER BY s.similar_name) AS similar FROM color_dict d JOIN color_similarity s ON s.name = d.name GROUP BY ALL", (*DICT, "color_similarity"))
+def s6_files(spark, d):
+    """Dictionary and similarities as CSV files, read back; the dictionary's file has no numbers, so places in it count."""
+    root, other = scratch(spark, "color-dict"), scratch(spark, "color-similarity")
+    lab = F.concat(F.lit("["), F.concat_ws(" ", *[F.col(c).cast("string") for c in ("l0", "l1", "l2")]), F.lit("]"))
+    adapter(spark, d, "color_dict").select("idx", F.col("name").alias("Color_Name"), lab.alias("LAB(OpenCV)")).coalesce(1).sortWithinPartitions("idx").drop("idx").write.csv(root, header=True)  # 32 rows
+    printed = F.concat(F.lit("['"), F.array_join(F.array_sort(F.collect_set("similar_name")), "', '"), F.lit("']"))
+    adapter(spark, d, "color_similarity").groupBy(F.col("name").alias("Color_name")).agg(printed.alias("Similar_name")).write.csv(other, header=True, quote='"', escape='"')
+    names = read_color_similarity(spark, other).select("color_name", F.array_join(F.array_sort("similar"), "|").alias("similar"))
+    rows = read_color_dict(spark, root).join(names, "color_name")
+    return rows.select("idx", F.col("color_name").alias("name"), *[F.col("lab")[k].cast("long").alias(c) for k, c in enumerate("lab")], "similar")
+
+
 @query("a02_color_iou", NAMED + """, sets AS (SELECT image, list_distinct(list(name)) AS s FROM profile GROUP BY image)
 SELECT a.image, len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) AS iou FROM sets a JOIN sets b ON b.image = a.image + 1""", DICT)
 def a02(spark, d):

@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..operators import parsing as P
 from ..operators import synthesis as Y
 from ..sources import readers as IO
-from ..sources.writers import scratch, write_tree
+from ..sources.writers import scratch, write_json_parts, write_tree
 from .registry import query
 
 SAMPLES = ("source_samples",)
@@ -83,6 +83,16 @@ def s2(spark, d):
     return IO.read_sample_tree(spark, root, partitioned=True)
 
 
+@query("s9_summary_order", "SELECT concat('s', page_id) AS sample, row_number() OVER (PARTITION BY page_id % 7 ORDER BY md5(CAST(page_id AS VARCHAR))) - 1 AS position FROM pages")
+def s9_summary(spark, d):
+    """Seven summary files, lists of records in an order of their own, read back by place."""
+    root = scratch(spark, "summaries")
+    name = F.concat(F.lit("s"), F.col("page_id").cast("string"))
+    rows = table(spark, d, "pages").select((F.col("page_id") % 7).alias("part"), F.md5(F.col("page_id").cast("string").cast("binary")).alias("at"), F.to_json(F.struct(name.alias("sample"), F.lit("a, [b]").alias("content"))).alias("record"))
+    write_json_parts(rows, root, "part", ["at"], "record", F.lit("["), F.lit("]"))
+    return IO.read_sample_order(spark, root)
+
+
 @query("p06_line_count_filter", r"""
 SELECT sample, CAST(n AS BIGINT) AS lines FROM (
   SELECT sample, CASE WHEN html_lines = '' THEN 0 ELSE length(html_lines) - length(replace(html_lines, chr(10), '')) + CASE WHEN suffix(html_lines, chr(10)) THEN 0 ELSE 1 END END AS n FROM source_samples) WHERE n <= 45""", SAMPLES)

@@ -8,7 +8,8 @@ from ..fixtures import adapter
 from ..functions.stats import clip_judge
 from ..operators import robustness as R
 from ..operators import scoring as S
-from ..sources.readers import flatten_results
+from ..sources.readers import read_results_json
+from ..sources.writers import scratch, write_json_parts
 from .registry import query
 
 _ERR = "CASE WHEN task = 'data_update' THEN error_count - 1 ELSE error_count END"
@@ -37,11 +38,14 @@ def base_scores(spark, d):
 
 @query("s3_results_json", "SELECT model, task, sample, CAST(error_count AS BIGINT) AS error_count, round(ocr_f1, 6) AS ocr_f1, round(color_iou, 6) AS color_iou FROM eval_records", USES)
 def s3(spark, d):
-    r = records(spark, d)
-    one = F.map_from_entries(F.collect_list(F.struct("sample", F.struct("error_count", "ocr_f1", "color_iou"))))
-    by_task = r.groupBy("model", "task").agg(one.alias("_s"))
-    files = by_task.select(F.to_json(F.create_map("model", F.create_map("task", "_s"))).alias("value"))
-    out = flatten_results(files)
+    """Result files of a model, a task and an eighth of the samples each, written line by line and read back."""
+    root = scratch(spark, "results-json")
+    quoted = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
+    record = F.concat(quoted("sample"), F.lit(":"), F.to_json(F.struct("error_count", "ocr_f1", "color_iou")))
+    part = F.concat_ws("-", "model", "task", F.pmod(F.xxhash64("sample"), F.lit(8)).cast("string"))
+    rows = records(spark, d).select("model", "task", "sample", part.alias("part"), record.alias("record"))
+    write_json_parts(rows, root, "part", ["sample"], "record", F.concat(F.lit("{"), quoted("model"), F.lit(":{"), quoted("task"), F.lit(":{")), F.lit("}}}"))
+    out = read_results_json(spark, root)
     return out.select("model", "task", "sample", "error_count", F.round("ocr_f1", 6).alias("ocr_f1"), F.round("color_iou", 6).alias("color_iou"))
 
 

@@ -80,11 +80,19 @@ def read_sample_tree(spark: SparkSession, root: str, partitioned: bool = False)
 
 
 def flatten_results(files: DataFrame, column: str = "value") -> DataFrame:
-    """Rows of whole result files {model: {task: {sample: record}}} as flat records."""
-    kind = T.MapType(T.StringType(), T.MapType(T.StringType(), T.MapType(T.StringType(), RECORD)))
-    models = files.select(F.explode(F.from_json(column, kind)).alias("model", "_t"))
-    tasks = models.select("model", F.explode("_t").alias("task", "_s"))
-    return tasks.select("model", "task", F.explode("_s").alias("sample", "_r")).select("model", "task", "sample", "_r.*")
+    """Rows of whole result files {model: {task: {sample: record}}} as flat records; a file that is no JSON raises.
+
+    A file is parsed once and opened level by level, so that no row holds a map of a whole model beside it. Fields that a record lacks,
+    or that are of another kind, are null.
+    """
+    tvf = files.sparkSession.tvf
+    rows = files.select(F.parse_json(column).alias("_f"))
+    for level, name in (("_f", "model"), ("_t", "task"), ("_s", "sample")):
+        inner = {"model": "_t", "task": "_s", "sample": "_r"}[name]
+        opened = tvf.variant_explode(F.col(level).outer()).select(F.col("key").alias(name), F.col("value").alias(inner))
+        rows = rows.lateralJoin(opened).select(*[c for c in rows.columns if c != level], name, inner)
+    fields = [F.try_variant_get("_r", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in RECORD.fields]
+    return rows.where("sample IS NOT NULL").select("model", "task", "sample", *fields)
 
 
 def read_results_json(spark: SparkSession, path: str) -> DataFrame:
@@ -111,9 +119,12 @@ def name_list(text: Column) -> Column:
 
 
 def read_color_dict(spark: SparkSession, path: str) -> DataFrame:
-    """(idx, color_name, lab) of a CSV file; parsed once, so every use sees the same values."""
-    rows = spark.read.csv(path, header=True)
-    return rows.select(F.col("idx").cast("long").alias("idx") if "idx" in rows.columns else F.monotonically_increasing_id().alias("idx"), F.col("Color_Name").alias("color_name"), lab_array(F.col("`LAB(OpenCV)`")).alias("lab"))
+    """(idx, color_name, lab) of a CSV file; parsed once, so every use sees the same values. Without a column `idx`, the line's place in the file counts."""
+    columns = spark.read.csv(path, header=True).columns
+    lines = whole_texts(spark, path).select(F.posexplode(F.split("value", r"\r?\n")).alias("_at", "_line")).where("_at > 0 AND _line <> ''")
+    rows = lines.select("_at", F.from_csv("_line", ", ".join(f"`{c}` string" for c in columns)).alias("_r"))
+    idx = F.col("_r.idx").cast("long") if "idx" in columns else (F.col("_at") - 1).cast("long")
+    return rows.select(idx.alias("idx"), F.col("_r.Color_Name").alias("color_name"), lab_array(F.col("_r.`LAB(OpenCV)`")).alias("lab"))
 
 
 def read_color_similarity(spark: SparkSession, path: str) -> DataFrame:
@@ -179,5 +190,6 @@ def sample_order(samples: DataFrame, name: str = "sample") -> DataFrame:
 
 def read_sample_order(spark: SparkSession, path: str) -> DataFrame:
     """(sample, position) as a summary file (a JSON list of records) lists them."""
-    rows = whole_texts(spark, path).select(F.from_json("value", "array<struct<sample:string>>").alias("_l"))
-    return rows.select(F.posexplode("_l").alias("position", "_s")).select(F.col("_s.sample").alias("sample"), F.col("position").cast("long").alias("position"))
+    rows = whole_texts(spark, path).select(F.parse_json("value").alias("_l"))
+    listed = rows.lateralJoin(spark.tvf.variant_explode(F.col("_l").outer()))
+    return listed.select(F.try_variant_get("value", "$.sample", "string").alias("sample"), F.col("pos").cast("long").alias("position"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _MADE: dict[str, list[str]] = {}
@@ -55,6 +55,15 @@ def write_tree(files: DataFrame, root: str, names: tuple[str, ...]) -> None:
     files.write.partitionBy(*names).text(root)
 
 
+def write_json_parts(rows: DataFrame, root: str, part: str, order: list[str], value: str, head, tail) -> None:
+    """Write one JSON text for each `part`: `head`, the values of its rows in order with commas between, `tail` (columns that are equal in a part). Rows stay rows: a line of the file each."""
+    place = Window.partitionBy(part).orderBy(*order)
+    first, last = F.row_number().over(place) == 1, F.lead(F.lit(1)).over(place).isNull()
+    line = F.concat(F.when(first, head).otherwise(F.lit("")), F.col(value), F.when(last, tail).otherwise(F.lit(",")))
+    lines = rows.select(part, F.row_number().over(place).alias("_place"), line.alias("value"))
+    lines.sortWithinPartitions(part, "_place").select(part, "value").write.partitionBy(part).text(root)
+
+
 def bitmaps(pixels: DataFrame) -> DataFrame:
     """(image, value): rows (image, y, x, c0, c1, c2) as 24-bit BMP files, blue first, with null pixels black. The bytes stand in a string, as the text writer takes them."""
     whole = lambda c, size: F.concat(*[F.lpad(F.hex(F.shiftright(c, 8 * k).bitwiseAND(255)), 2, "0") for k in range(size)])  # noqa: E731  lowest byte first

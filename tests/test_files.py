@@ -47,3 +47,31 @@ def test_bitmaps_come_back(spark, tmp_path):
     counts = readers.color_counts(images)
     assert "Exchange" not in plan_of(counts)
     assert counts.agg(F.sum("n")).first()[0] == len(rows)
+
+
+def test_nested_results(spark, tmp_path):
+    """Files opened level by level: missing and odd fields are null, nested judgements stay, no map of a whole file is built."""
+    import json
+
+    import pytest
+
+    files = {
+        "a": {"m": {"t": {"1": {"error_count": 0, "ocr_f1": 0.5, "color_iou": 1, "gpt_evaluation": {"x": "y"}}, "2": {}}, "u": {}}, "n": {}},
+        "b": {"m": {"t": {"3": {"error_count": 2.0, "ocr_f1": "odd", "gpt_evaluation": None}}, "ü \"q\"": {"4": {"error_count": 7}}}},
+        "c": {},
+    }
+    for name, value in files.items():
+        (tmp_path / name).write_text(json.dumps(value, indent=1))
+    got = readers.read_results_json(spark, str(tmp_path))
+    assert sorted(((r["model"], r["task"], r["sample"], r["error_count"], r["ocr_f1"], r["color_iou"], r["gpt_evaluation"]) for r in got.collect()), key=repr) == [
+        ("m", "t", "1", 0, 0.5, 1.0, {"x": "y"}), ("m", "t", "2", None, None, None, None), ("m", "t", "3", 2, None, None, None), ("m", "ü \"q\"", "4", 7, None, None, None),
+    ]
+    (tmp_path / "d").write_text("{broken")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.read_results_json(spark, str(tmp_path)).collect()
+
+
+def test_dictionary_by_place(spark, tmp_path):
+    (tmp_path / "d.csv").write_text('Color_Name,LAB(OpenCV)\r\nzinc,[1 2 3]\r\n\r\n"a, b",[53  80 67]\n')
+    got = sorted(tuple(r) for r in readers.read_color_dict(spark, str(tmp_path / "d.csv")).collect())
+    assert [(n, lab) for _, n, lab in got] == [("zinc", [1, 2, 3]), ("a, b", [53, 80, 67])] and got[0][0] == 0
