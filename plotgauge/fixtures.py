@@ -77,7 +77,7 @@ SELECT a.name, b.name AS similar_name FROM (@@color_dict) a JOIN (@@color_dict)
 
 # every word of every text; twelve words in a row are one image
 _DETECTIONS = """
-SELECT doc_id * 10000 + {chunk} AS image, pos, word AS ref_text,
+SELECT doc_id * 1000000000 + {chunk} AS image, pos, word AS ref_text,
        CASE WHEN (pos + doc_id) % 4 = 0 THEN NULL WHEN (pos + doc_id) % 6 = 1 THEN CONCAT(word, 'x') ELSE word END AS gen_text,
        ((doc_id * 37 + pos * 11) % 100) / 1e2 AS score,
        pos * 10 AS x1, (pos % 3) * 20 AS y1, CAST(pos * 10 + 6 * LENGTH(word) AS BIGINT) AS x2, (pos % 3) * 20 + 18 AS y2

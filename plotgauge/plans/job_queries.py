@@ -25,7 +25,7 @@ def job_ranking(spark, d):
 @query("job_complexity")
 def job_complexity(spark, d):
     px = adapter(spark, d, "pixels")
-    boxes = adapter(spark, d, "detections").select(F.floor(F.col("image") / 10000).alias("image"), "x1", "y1", "x2", "y2")  # a document's words on one image
+    boxes = adapter(spark, d, "detections").select(F.floor(F.col("image") / 1000000000).alias("image"), "x1", "y1", "x2", "y2")  # a document's words on one image
     sizes = table(spark, d, "embeddings").select(F.col("vec_id").alias("image"), F.lit(1200).alias("width"), F.lit(800).alias("height"))
     return jobs.visual_complexity(spark, px, adapter(spark, d, "gray"), adapter(spark, d, "color_dict"), adapter(spark, d, "color_similarity"), boxes, sizes)
 
@@ -35,12 +35,12 @@ def job_evaluation(spark, d):
     """Pages as generated files of three models, each with all images of its document's words; embeddings as colours and events as judges' answers of a page's first image."""
     keys = [F.concat(F.lit("m"), (F.col("n") % 3).cast("string")).alias("model"), F.lit("data_edit").alias("task"), F.col("n").cast("string").alias("sample")]
     det = adapter(spark, d, "detections").withColumn("n", F.col("image"))
-    images = det.select("n", F.floor(F.col("n") / 10000).alias("page_id")).distinct()
+    images = det.select("n", F.floor(F.col("n") / 1000000000).alias("page_id")).distinct()
     samples = table(spark, d, "pages").join(images, "page_id").select(*keys, "html", (F.col("n") % 4).alias("error_count"))
     sides = [det.select(*keys, F.lit(s).alias("side"), "pos", F.col(f"{s}_text").alias("text"), "score") for s in ("ref", "gen")]
-    profile = color_profile(adapter(spark, d, "pixels"), adapter(spark, d, "color_dict")).withColumn("n", F.floor(F.col("image") / 2) * 10000)
+    profile = color_profile(adapter(spark, d, "pixels"), adapter(spark, d, "color_dict")).withColumn("n", F.floor(F.col("image") / 2) * 1000000000)
     named = profile.select(*keys, F.when(F.col("image") % 2 == 0, "ref").otherwise("gen").alias("side"), "name", F.col("share").alias("n"), "l0", "l1", "l2")
-    judged = adapter(spark, d, "raw_judge").select((F.col("event_id") * 10000).alias("n"), "raw").select(*keys, "raw")
+    judged = adapter(spark, d, "raw_judge").select((F.col("event_id") * 1000000000).alias("n"), "raw").select(*keys, "raw")
     return jobs.evaluation(samples, sides[0].unionByName(sides[1]), named, adapter(spark, d, "color_similarity"), judged)
 
 
