@@ -24,7 +24,6 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # both minima are written, so that the joins have plain tables on both sides and Spark can split a hot centre's edges
         least = write_table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = write_table(large, "large")
         low = write_table(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = write_table(small.unionByName(low.withColumnRenamed("m", "v")).where("u <> v").distinct(), "edges")
