@@ -93,12 +93,17 @@ def stretches(raw: bytes):
 #: Rows of a batch that goes to Python, where the session has Spark's default of 10,000: texts are long, and a worker holds a whole batch.
 BATCH_ROWS = 1000
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes after which a batch ends, where the session has Spark's default: a batch is held by the executor and by the worker.
+BATCH_BYTES = 4 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Let batches be of `BATCH_ROWS` rows in this session, unless it has a size of its own."""
+    """Let batches be of `BATCH_ROWS` rows and about `BATCH_BYTES` bytes, or one row, in this session, unless it has sizes of its own."""
     if spark.conf.get(_BATCH_ROWS) == "10000":
         spark.conf.set(_BATCH_ROWS, str(BATCH_ROWS))
+    if spark.conf.get(_BATCH_BYTES) == f"{64 << 20}b":
+        spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
 
 
 def give_back() -> None:

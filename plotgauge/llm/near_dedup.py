@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HashMemo, bytes_of, documents, map_texts, mix, window_hashes, write_table
+from .common import HashMemo, bytes_of, documents, give_back, map_texts, mix, window_hashes, write_table
 from .components import connected_components
 
 
@@ -176,6 +176,7 @@ def _block_candidates(p: NearParams):
             union = np.union1d(sx[i], sy[j])[: p.sketch]
             if len(np.intersect1d(np.intersect1d(sx[i], sy[j]), union)) >= least * len(union):
                 wanted[0][i] = wanted[1][j] = True
+        give_back()
         return pd.concat([x.loc[wanted[0], keys], y.loc[wanted[1], keys]])
 
     return run
@@ -194,6 +195,7 @@ def _block_links(p: NearParams):
         cx, cy = x["component"].to_numpy(), y["component"].to_numpy()
         i, j = np.nonzero((100 * inter >= p.percent * union) & (cx[:, None] != cy[None]))
         found = pd.DataFrame({"a": x["id"].to_numpy()[i], "b": y["id"].to_numpy()[j], "c": cy[j]})
+        give_back()
         return found.groupby(["a", "c"], as_index=False)["b"].min()[["a", "b"]] if len(found) else none
 
     return run
