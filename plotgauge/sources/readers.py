@@ -32,6 +32,15 @@ def whole_texts(spark: SparkSession, path: str) -> DataFrame:
 _BINARY = "path string, modificationTime timestamp, length long, content binary"
 
 
+#: Tasks for each core that read a tree of small files.
+_WAVES = 8
+
+
+def in_few_tasks(files: DataFrame) -> DataFrame:
+    """Files read by a few tasks for each core: Spark counts a small file as 4 MB, so that a tree of them would become a task for every few files. Rows are streamed, so a task's size doesn't matter."""
+    return files.coalesce(_WAVES * files.sparkSession.sparkContext.defaultParallelism)
+
+
 def tree_paths(spark: SparkSession, root: str, names: tuple[str, ...], partitioned: bool = False) -> DataFrame:
     """(names..., content) of the files of a tree with one folder level for each name, the last one being the file itself.
 
@@ -41,10 +50,11 @@ def tree_paths(spark: SparkSession, root: str, names: tuple[str, ...], partition
     """
     reader = spark.read.format("binaryFile")
     if partitioned:
-        return reader.schema(_BINARY + "".join(f", `{n}` string" for n in names)).load(root).select(*names, "content")
+        return in_few_tasks(reader.schema(_BINARY + "".join(f", `{n}` string" for n in names)).load(root)).select(*names, "content")
     # Spark gives the paths of binary files as they are, without escapes
     parts = F.slice(F.split("path", "/"), -len(names), len(names))
-    return reader.option("recursiveFileLookup", "true").load(root).select(*[parts[k].alias(n) for k, n in enumerate(names)], "content")
+    files = in_few_tasks(reader.option("recursiveFileLookup", "true").load(root))
+    return files.select(*[parts[k].alias(n) for k, n in enumerate(names)], "content")
 
 
 def read_eval_tree(spark: SparkSession, root: str, partitioned: bool = False) -> DataFrame:
@@ -72,7 +82,7 @@ def read_sample_tree(spark: SparkSession, root: str, partitioned: bool = False)
     if partitioned:
         rows = files.where(text)
     else:  # the same folder twice: names from paths, contents from the two kinds of files only
-        wanted = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{chart.html,code.js}").load(root)
+        wanted = in_few_tasks(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{chart.html,code.js}").load(root))
         parts = F.slice(F.split("path", "/"), -2, 2)
         rows = wanted.select(parts[0].alias("sample"), parts[1].alias("file"), "content")
     rows = rows.select("sample", "file", F.decode("content", "UTF-8").alias("value")).unionByName(files.where(~text).select("sample", "file", F.lit(None).cast("string").alias("value")))
@@ -134,7 +144,7 @@ def read_color_similarity(spark: SparkSession, path: str) -> DataFrame:
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """(image, height, width, channels, data): decoded images of a folder and those below it; three channels are blue, green, red by row."""
-    return spark.read.format("image").option("recursiveFileLookup", "true").load(path).select(F.col("image.origin").alias("image"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
+    return in_few_tasks(spark.read.format("image").option("recursiveFileLookup", "true").load(path)).select(F.col("image.origin").alias("image"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
 
 
 def pixels(images: DataFrame) -> DataFrame:

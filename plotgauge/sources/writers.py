@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
+import re
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,9 +53,50 @@ def drop_scratch(spark: SparkSession) -> None:
             return
 
 
+#: Characters that a folder named after a value holds as an escape; Spark reads them back.
+_ESCAPED = re.compile(r"""[\x00-\x1f"#%'*/:=?\\\x7f{\[\]^]""")
+
+
 def write_tree(files: DataFrame, root: str, names: tuple[str, ...]) -> None:
-    """Write rows (names..., value) as files below a folder for each name. Spark escapes the names, and ends a value with a line feed."""
-    files.write.partitionBy(*names).text(root)
+    """Write rows (names..., value) as files below a folder for each name, as Spark's text writer does: names are escaped, and a value ends with a line feed.
+
+    Where the root is a folder that all tasks see, they write the files themselves: Spark's writer starts processes for the permissions of each
+    file there, and its commit moves files one by one. On any other file system Spark's writer is used. A file appears with all of its content or not at all, and
+    a task that runs again writes the same ones. Rows of equal names are lines of one file.
+    """
+    sc = files.sparkSession.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(root)
+    uri = at.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(at).toUri()
+    if uri.getScheme() != "file":
+        files.write.partitionBy(*names).text(root)
+        return
+    folder, count = uri.getPath(), len(names)
+
+    def write(batches):
+        written = set()
+        for batch in batches:
+            for *values, content in zip(*(c.to_pylist() for c in batch.columns)):
+                own = "/".join([folder, *(f"{n}={_folder(v)}" for n, v in zip(names, values))])
+                path, content = f"{own}/part-0.txt", (content or b"") + b"\n"
+                if path in written:
+                    with open(path, "rb") as f:
+                        content = f.read() + content
+                os.makedirs(own, exist_ok=True)
+                part = f"{own}/.{uuid.uuid4().hex}"
+                with open(part, "wb") as f:
+                    f.write(content)
+                os.replace(part, path)
+                written.add(path)
+        yield pa.RecordBatch.from_arrays([pa.array([len(written)], pa.int64())], names=["n"])
+
+    os.makedirs(folder, exist_ok=True)
+    rows = files.select(*[F.col(n).cast("string").alias(f"_{k}") for k, n in enumerate(names)], F.col("value").cast("binary").alias("_value"))
+    rows.repartition(*[f"_{k}" for k in range(count)]).mapInArrow(write, "n long").agg(F.sum("n")).collect()  # one number
+
+
+def _folder(value: str | None) -> str:
+    """A value as part of a folder's name; null and the empty text share one, as in Spark."""
+    return _ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", value) if value else "__HIVE_DEFAULT_PARTITION__"
 
 
 def write_json_parts(rows: DataFrame, root: str, part: str, order: list[str], value: str, head, tail) -> None:

@@ -35,6 +35,34 @@ def test_partitioned_trees(spark, tmp_path):
     assert "content" not in plan_of(readers.tree_paths(spark, str(tmp_path / "t"), ("sample", "file"), True).drop("content"))
 
 
+def test_tasks_write_a_tree_themselves(spark, tmp_path):
+    """One file for each name and nothing beside it, lines of equal names together, bytes of any kind."""
+    rows = [(f"s:{k % 40}", f"f{k % 3}", f"{k}".encode()) for k in range(40 * 3)] + [("", "f", b"\xff\x00"), ("s:0", "f0", b"again")]
+    files = spark.createDataFrame(rows, "sample string, file string, value binary").withColumn("value", F.col("value").cast("string")).repartition(5)
+    writers.write_tree(files, str(tmp_path / "t"), ("sample", "file"))
+    found = [p for p in (tmp_path / "t").rglob("*") if p.is_file()]
+    assert len(found) == 121
+    got = readers.tree_paths(spark, str(tmp_path / "t"), ("sample", "file"), True).collect()
+    assert {(r[0], r[1], bytes(r[2])) for r in got if r[0:2] not in (("s:0", "f0"), (None, "f"))} == {(a, b, v + b"\n") for a, b, v in rows if (a, b) not in (("s:0", "f0"), ("", "f"))}
+    odd = {r[0]: bytes(r[2]) for r in got if r[0:2] in (("s:0", "f0"), (None, "f"))}
+    assert odd[None] == b"\xff\x00\n" and sorted(odd["s:0"].split()) == [b"0", b"again"]
+
+
+def test_small_files_are_read_by_few_tasks(spark, tmp_path):
+    """Spark alone would make a task of every small file."""
+    for k in range(40):
+        (tmp_path / "p" / f"s{k}").mkdir(parents=True)
+        (tmp_path / "p" / f"s{k}" / "chart.html").write_text("x")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        assert readers.tree_paths(spark, str(tmp_path / "p"), ("sample", "file")).rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism < 40
+        got = readers.read_sample_tree(spark, str(tmp_path / "p"))
+        assert got.where("html = 'x'").count() == 40
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_bitmaps_come_back(spark, tmp_path):
     """Pictures of any width: the same pixels in the same places."""
     rng = np.random.default_rng(2)
