@@ -56,10 +56,15 @@ def json_payload(text: Column) -> Column:
     return F.when(fenced != "", fenced).otherwise(F.coalesce(_between(text, "{", "}"), _between(text, "[", "]")))
 
 
+#: What a JSON value begins with; any other text needs no parser to be refused.
+_JSON_START = r"\A[ \n\t\r]*[\[{\"0-9tfn-]"
+
+
 def valid_json(text: Column) -> Column:
-    """The text if all of it is one JSON value, else null. The parser alone would let anything follow the value."""
+    """The text if all of it is one JSON value, else null. The parser alone would let anything follow the value, so it reads a list of the text, once."""
     listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    return F.when(F.try_parse_json(text).isNotNull() & listed.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull(), text)
+    size = F.size(F.try_variant_get(listed, "$", "array<variant>"))
+    return F.when(text.rlike(_JSON_START) & (size == 1), text)
 
 
 def json_block(text: Column) -> Column:

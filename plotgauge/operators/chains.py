@@ -115,8 +115,12 @@ def _node(v: Column, path: str, kind: str = "string") -> Column:
 
 def semantic_signature(options: DataFrame, option: str = "option") -> DataFrame:
     """Add the nine comparable fields of an option given as JSON text, each as one text; null where nothing is set."""
-    v = F.try_parse_json(option)
-    series = F.from_json(F.get_json_object(option, "$.series"), "array<struct<name:string,type:string,label:struct<show:boolean,position:string>,itemStyle:struct<borderRadius:string>,barWidth:string,lineStyle:struct<width:string>,symbolSize:string>>")
+    # a text is parsed once, and its series are taken out once: columns of their own, which Spark doesn't put in everywhere they are used
+    kind = "struct<name:string,type:string,label:struct<show:boolean,position:string>,itemStyle:struct<borderRadius:string>,barWidth:string,lineStyle:struct<width:string>,symbolSize:string>"
+    parsed = options.withColumn("_v", F.try_parse_json(option))
+    one = F.try_variant_get("_v", "$.series", kind)  # a list of one may stand without its brackets
+    parsed = parsed.withColumn("_series", F.coalesce(F.try_variant_get("_v", "$.series", f"array<{kind}>"), F.when(one.isNotNull(), F.array(one))))
+    v, series = F.col("_v"), F.col("_series")
     text = lambda *parts: F.concat_ws("|", *[F.coalesce(p, F.lit("-")) for p in parts])
     flag = lambda c: F.coalesce(c.cast("string"), F.lit("false"))
     labels = F.transform(series, lambda s: text(s["type"], flag(s["label"]["show"]), s["label"]["position"]))
@@ -129,12 +133,12 @@ def semantic_signature(options: DataFrame, option: str = "option") -> DataFrame:
         "legend_pos": text(n("legend.left"), n("legend.bottom").isNotNull().cast("string"), n("legend.right").isNotNull().cast("string"), n("legend.top"), n("legend.orient")),
         "background": F.try_variant_get(v, "$.backgroundColor", "string"),
         "labels_signature": F.array_join(labels, ";"),
-        "palette": F.get_json_object(option, "$.color"),
+        "palette": F.try_variant_get(v, "$.color", "string"),
         "splitline": text(flag(n("yAxis.splitLine.show")), n("yAxis.splitLine.lineStyle.type"), n("yAxis.splitLine.lineStyle.color")),
         "grid": text(n("grid.left"), n("grid.right"), n("grid.top"), n("grid.bottom")),
         "series_style": F.concat(F.array_join(bars, ";"), F.lit("/"), F.array_join(lines, ";")),
     }
-    return options.withColumns(found)
+    return parsed.withColumns(found).drop("_v", "_series")
 
 
 def usable_series(options: DataFrame, option: str = "option", state: Column | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..fixtures import adapter, table
 from ..operators import chains as C
 from ..operators import states as A
+from ..sources.writers import settle
 from .registry import query
 
 STATES = ("states",)
@@ -204,7 +205,7 @@ m AS (SELECT chart_id, step, n, 1 + CASE WHEN n < 2 THEN 0 WHEN (step >= 10) = (
 @query("j11_field_fidelity", _FIDELITY + """
 SELECT chart_id, step, round(same / n, 4) AS field_fidelity, same = n AS exact_match FROM m""")
 def j11(spark, d):
-    ref = C.semantic_signature(C.chain_options(_charts(spark, d)))
+    ref = settle(C.semantic_signature(C.chain_options(_charts(spark, d))).select("chart_id", "step", *C.FIELDS), "signatures")
     # every third chart's model is one edit behind
     late = ref.where("chart_id % 3 = 0 AND step < 10").withColumn("step", F.col("step") + 1)
     gen = late.unionByName(ref.where("chart_id % 3 <> 0 AND step > 0"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import html_gate, json_block
 from ..operators import chains, colors, complexity, parsing, pixels, robustness, scoring, states, synthesis, text_match
+from ..sources.writers import settle
 
 KEYS = ["model", "task", "sample"]
 
@@ -89,8 +90,10 @@ def edit_chains(reference: DataFrame, answers: DataFrame) -> dict[str, DataFrame
     keys = ["chart_id", "step"]
     read = answers.select(*keys, json_block(F.col("raw")).alias("option"), "rendered")
     ok = F.coalesce(F.col("rendered"), F.lit(False)) & F.col("option").isNotNull()
-    fidelity = chains.field_fidelity(chains.semantic_signature(reference), chains.semantic_signature(read.where(ok)))
-    rows = reference.where("step > 0").select(*keys).join(read.select(*keys, ok.alias("render_ok")), keys, "left").join(fidelity, keys, "left")
+    # answers are parsed once: what follows needs their signatures only
+    read = settle(chains.semantic_signature(read).select(*keys, ok.alias("render_ok"), *chains.FIELDS), "answers")
+    fidelity = chains.field_fidelity(chains.semantic_signature(reference), read.where("render_ok"))
+    rows = reference.where("step > 0").select(*keys).join(read.select(*keys, "render_ok"), keys, "left").join(fidelity, keys, "left")
     rows = rows.na.fill({"render_ok": False, "exact_match": False, "field_fidelity": 0.0})
     steps = chains.carry_hard_collapse(rows)
     return {"chain": steps, "steps": chains.step_summary(steps), "collapse": chains.collapse_distribution(steps), "drift": chains.drift_distribution(steps)}

@@ -405,3 +405,20 @@ def test_image_messages_are_one_line(spark):
     df = spark.createDataFrame(list(enumerate(images)), "k long, image binary")
     found = df.select("k", parsing.image_message(F.lit("Look."), F.col("image"))[0]["content"][1]["value"].alias("url")).collect()
     assert {r.k: r.url for r in found} == {k: "data:image/png;base64," + base64.b64encode(v or b"").decode() for k, v in enumerate(images)}
+
+
+def test_an_option_is_parsed_once(spark):
+    """Every field of the signature, its series too, reads one parsed value; whether a text is JSON takes one parse."""
+    options = spark.createDataFrame([("{}",)], "option string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    signature = plan(chains.semantic_signature(options))
+    assert signature.count("parse_json") + signature.count("parseJson") == 1 and "from_json" not in signature and "get_json_object" not in signature
+    assert plan(options.select(X.valid_json(F.col("option")).isNotNull().alias("ok"))).count("arseJson") <= 1
+
+
+def test_series_of_any_form(spark):
+    """A list, one object without brackets, none, and no JSON."""
+    one = '{"name":"A","type":"bar","label":{"show":true,"position":"top"},"itemStyle":{"borderRadius":[6, 6,0,0]},"barWidth":22}'
+    texts = ['{"series":[%s,{"type":"line","name":"B","lineStyle":{"width":3},"symbolSize":10}],"color":["#1", "#2"]}' % one, '{"series":%s,"color":"red"}' % one, "{}", "no"]
+    got = values(chains.semantic_signature(spark.createDataFrame([(t,) for t in texts], "option string").coalesce(1)), "labels_signature", "series_style", "palette")
+    assert got == [("bar|true|top;line|false|-", "A|[6,6,0,0]|22/B|3|10", '["#1","#2"]'), ("bar|true|top", "A|[6,6,0,0]|22/", "red"), (None, None, None), (None, None, None)]
