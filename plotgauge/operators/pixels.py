@@ -6,9 +6,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..sources.writers import settle
 
@@ -60,40 +64,58 @@ def transition_complexity(pixels: DataFrame, levels: int = LEVELS) -> DataFrame:
     return counts.groupBy("image").agg((-F.sum(bits)).alias("complexity"))
 
 
+_GLCM = ("contrast", "dissimilarity", "heterogeneity", "energy", "correlation")
+
+
+def _glcm(image: np.ndarray, y: np.ndarray, x: np.ndarray, c: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The five features of n images' pixels, and which images have any neighbours. Neighbours are found by place, counted by image and values."""
+    y, x = y - y.min(), x - x.min()
+    width, height = int(x.max()) + 2, int(y.max()) + 2
+    place = (image * height + y) * width + x + 1  # the places left and right of a line, and below an image, stay empty
+    order = np.argsort(place)
+    place, image = place[order], image[order]
+    known, value = np.unique(c[order], return_inverse=True)
+    size = len(known)
+    sums, weights = np.zeros((5, n)), np.zeros(n)
+    for dy, dx, w in DIRECTIONS:
+        other = place + dy * width + dx
+        at = np.minimum(np.searchsorted(place, other), len(place) - 1)
+        met = np.flatnonzero(place[at] == other)
+        a, b, own = value[met], value[at[met]], image[met] * size * size
+        pair, count = np.unique(np.concatenate([own + a * size + b, own + b * size + a]), return_counts=True)
+        of, i, j = pair // (size * size), known[pair // size % size].astype(float), known[pair % size].astype(float)
+        by_image = lambda v: np.bincount(of, v, n)  # noqa: E731, B023
+        total = by_image(count)
+        p, d = count / total[of], i - j  # noqa: E741
+        mu, ii, ij = by_image(p * i), by_image(p * i * i), by_image(p * i * j)
+        spread = ii - mu * mu
+        alike = np.divide(ij - mu * mu, spread, out=np.ones(n), where=spread > 1e-9)
+        some = total > 0
+        sums += w * some * np.array([by_image(p * d * d), by_image(p * abs(d)), -by_image(p / (1 + d * d)), np.sqrt(by_image(p * p)), alike])
+        weights += w * some
+    return sums / np.maximum(weights, 1), weights > 0
+
+
 def glcm_features(gray: DataFrame) -> DataFrame:
-    """(image, contrast, dissimilarity, heterogeneity, energy, correlation) of symmetric, normed co-occurrence, averaged over eight angles. Images are whole rectangles, an image's line is one array."""
-    # all that follows is counted by image, so pixels are shuffled once; each line of an image meets the next one as an array
-    lines = gray.select("image", "y", "x", "c").repartition("image").groupBy("image", "y").agg(F.array_sort(F.collect_list(F.struct("x", "c"))).alias("line"))
-    by_line = Window.partitionBy("image").orderBy("y")
-    lines = lines.select("image", "line", F.when(F.lead("y").over(by_line) == F.col("y") + 1, F.lead("line").over(by_line)).alias("next"))
-    n = F.size("line")
-
-    def neighbours(k: int, dy: int, dx: int, w: int):
-        here = F.col("line") if dx >= 0 else F.slice("line", 2, F.greatest(n - 1, F.lit(0)))
-        other = F.col("next") if dy else F.col("line")
-        other = F.slice(other, 2, F.greatest(n - 1, F.lit(0))) if dx > 0 else other
-        met = F.zip_with(here, other, lambda a, b: F.when(b["x"] == a["x"] + dx, F.struct(F.lit(k).alias("k"), F.lit(w).alias("w"), a["c"].alias("i"), b["c"].alias("j"))))
-        return F.coalesce(F.filter(met, lambda p: p.isNotNull()), F.array())
-
-    met = lines.select("image", F.inline(F.concat(*[neighbours(k, *way) for k, way in enumerate(DIRECTIONS)])))
-    pairs = met.groupBy("image", "k", "w", "i", "j").agg(F.count(F.lit(1)).alias("n"))
-    turned = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
-    both = pairs.select("image", "k", "w", "n", F.inline(turned)).groupBy("image", "k", "w", "i", "j").agg(F.sum("n").alias("n"))
-    both = both.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("image", "k")))
-    d = F.col("i") - F.col("j")
-    one = both.groupBy("image", "k", "w").agg(
-        F.sum(F.col("p") * d * d).alias("contrast"),
-        F.sum(F.col("p") * F.abs(d)).alias("dissimilarity"),
-        F.sum(F.col("p") / (1 + d * d)).alias("homogeneity"),
-        F.sqrt(F.sum(F.col("p") * F.col("p"))).alias("energy"),
-        F.sum(F.col("p") * F.col("i")).alias("mu"),
-        F.sum(F.col("p") * F.col("i") * F.col("i")).alias("ii"),
-        F.sum(F.col("p") * F.col("i") * F.col("j")).alias("ij"),
-    )
-    spread = F.col("ii") - F.col("mu") * F.col("mu")
-    one = one.withColumn("correlation", F.when(spread > 1e-9, (F.col("ij") - F.col("mu") * F.col("mu")) / spread).otherwise(1.0))
-    mean = lambda c: F.sum(F.col(c) * F.col("w")) / F.sum("w")
-    return one.groupBy("image").agg(mean("contrast").alias("contrast"), mean("dissimilarity").alias("dissimilarity"), (-mean("homogeneity")).alias("heterogeneity"), mean("energy").alias("energy"), mean("correlation").alias("correlation"))
+    """(image, contrast, dissimilarity, heterogeneity, energy, correlation) of symmetric, normed co-occurrence, averaged over eight angles; images without neighbours are left out.
+
+    Pixels are shuffled once, by image. An image's pixels are one value then, and a batch of images is counted at once inside the task, so
+    that no task holds a table of all its images' pairs.
+    """
+    kind = T.StructType([T.StructField(f, T.DoubleType()) for f in _GLCM])
+
+    @F.arrow_udf(kind)
+    def run(images: pa.Array) -> pa.Array:
+        own, flat = np.repeat(np.arange(len(images)), pc.list_value_length(images).to_numpy(zero_copy_only=False)), images.flatten()
+        if not len(flat):
+            return pa.nulls(len(images), to_arrow_type(kind))
+        found, some = _glcm(own, *(flat.field(k).to_numpy(zero_copy_only=False) for k in range(3)), len(images))
+        return pa.StructArray.from_arrays([pa.array(v) for v in found], names=list(_GLCM), mask=pa.array(~some))
+
+    whole = F.collect_list(F.struct("y", "x", "c")).alias("_pixels")
+    pixels = gray.select("image", "y", "x", "c").where("y IS NOT NULL AND x IS NOT NULL AND c IS NOT NULL")
+    rows = pixels.repartition("image").groupBy("image").agg(whole)
+    return rows.select("image", run("_pixels").alias("_f")).where("_f IS NOT NULL").select("image", "_f.*")
 
 
 def _ssim(a: np.ndarray, b: np.ndarray, window: int = 7) -> float:

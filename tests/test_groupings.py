@@ -148,3 +148,27 @@ def test_short_ratio():
     for _ in range(30_000):
         a, b = ("".join(rng.choice("abcde"[: rng.randrange(1, 6)]) for _ in range(rng.randrange(text_match.SHORT + 1))) for _ in range(2))
         assert text_match.short_ratio(a, b) == SequenceMatcher(None, a, b).ratio(), (a, b)
+
+
+def test_cooccurrence_holds_no_pairs(spark):
+    """No table of pairs in a task, and images of any form: gaps, one line, one column, one pixel, negative places."""
+    rng = random.Random(4)
+    images = {k: {(y - k, x - 2): rng.randrange(0, 256, 50) for y in range(h) for x in range(w) if rng.random() < full} for k, (h, w, full) in enumerate([(8, 8, 1), (5, 9, 0.6), (1, 6, 1), (6, 1, 1), (1, 1, 1), (2, 2, 1)])}
+    gray = spark.createDataFrame([(k, y, x, c) for k, p in images.items() for (y, x), c in p.items()], "image long, y long, x long, c long").repartition(3)
+    found = pixels.glcm_features(gray)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for k, p in images.items():
+        sums, weights = np.zeros(2), 0
+        for dy, dx, w in pixels.DIRECTIONS:
+            pairs = [(c, p[y + dy, x + dx]) for (y, x), c in p.items() if (y + dy, x + dx) in p]
+            pairs += [(b, a) for a, b in pairs]
+            if pairs:
+                share = np.unique(pairs, axis=0, return_counts=True)[1] / len(pairs)
+                sums += w * np.array([np.mean([(a - b) ** 2 for a, b in pairs]), np.sqrt((share**2).sum())])
+                weights += w
+        if weights:
+            want[k] = sums / weights
+    got = {r["image"]: (r["contrast"], r["energy"]) for r in found.collect()}
+    assert got.keys() == want.keys() and 4 not in got
+    assert all(np.allclose(got[k], want[k]) for k in got)
