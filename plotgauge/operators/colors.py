@@ -157,6 +157,12 @@ def _merge_lightness(names: list[str], labs: np.ndarray, t: float) -> dict[str,
     return root
 
 
+def _one_by_one(images: pa.Array, work, kind: pa.DataType) -> pa.Array:
+    """`work` on each value of a batch; only a few images' colours are Python objects at a time, and few results."""
+    parts = [pa.array([work(x) for x in images.slice(k, 100).to_pylist()], kind) for k in range(0, len(images), 100)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def _by_image(profile: DataFrame, columns: list[str], work, kind: str) -> DataFrame:
     """(image, ...): `work` on each image's named colours, a list of dicts that gives a list of dicts of the fields of `kind`. An image's
     colours are one value, a dictionary's entries at most, and a batch of images goes through one Arrow UDF."""
@@ -164,7 +170,7 @@ def _by_image(profile: DataFrame, columns: list[str], work, kind: str) -> DataFr
 
     @F.arrow_udf(fields)
     def run(images: pa.Array) -> pa.Array:
-        return pa.array([work(x) for x in images.to_pylist()], to_arrow_type(fields))
+        return _one_by_one(images, work, to_arrow_type(fields))
 
     lists = profile.groupBy("image").agg(F.collect_list(F.struct(*columns)).alias("_c"))
     return lists.select("image", F.explode(run("_c")).alias("_r")).select("image", "_r.*")

@@ -172,3 +172,21 @@ def test_cooccurrence_holds_no_pairs(spark):
     got = {r["image"]: (r["contrast"], r["energy"]) for r in found.collect()}
     assert got.keys() == want.keys() and 4 not in got
     assert all(np.allclose(got[k], want[k]) for k in got)
+
+
+def test_few_images_are_python_objects_at_once():
+    """A batch of many images: what Python holds beside the result doesn't grow with the batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("names", pa.list_(pa.string()))]))
+    images = pa.array([[{"name": f"color {i} {k}", "n": k} for k in range(20)] for i in range(4000)])
+    work = lambda colors: [{"names": [c["name"] for c in colors]}]
+    tracemalloc.start()
+    out = colors._one_by_one(images, work, kind)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == 4000 and out[3999].as_py() == work(images[3999].as_py())
+    assert len(colors._one_by_one(images.slice(0, 0), work, kind)) == 0
+    assert peak < 4 << 20
