@@ -5,8 +5,10 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -85,6 +87,14 @@ def _place(values: tuple) -> tuple:
     return tuple((v is not None, v) for v in values)
 
 
+def _last_in_batch(batch: pa.RecordBatch, n_keys: int) -> pa.RecordBatch:
+    """The last row of each key, so that Python sees one row a key and not all of them."""
+    rows = batch.take(pc.sort_indices(batch, sort_keys=[(n, "ascending") for n in batch.schema.names[n_keys:-1]], null_placement="at_start"))
+    at = pa.array(np.arange(rows.num_rows))
+    keys = pa.Table.from_arrays([*rows.columns[:n_keys], at], names=[*(f"k{k}" for k in range(n_keys)), "at"])
+    return rows.take(keys.group_by([f"k{k}" for k in range(n_keys)]).aggregate([("at", "max")])["at_max"].combine_chunks())
+
+
 def _last_in_task(rows: DataFrame, n_keys: int) -> DataFrame:
     """(keys..., _value): of the rows of each task the last one for each key, as a pickled tuple, before anything is shuffled. A key that most rows bear stays small."""
     keys = rows.schema.fields[:n_keys]
@@ -97,7 +107,7 @@ def _last_in_task(rows: DataFrame, n_keys: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(map(pickle.dumps, last.values()), pa.binary())], names=[*like.names[:n_keys], "_value"])
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
+            for row in zip(*(c.to_pylist() for c in _last_in_batch(batch, n_keys).columns)):
                 key, value = row[:n_keys], row[n_keys:]
                 if key not in last or _place(value[:-1]) > _place(last[key][:-1]):
                     last[key] = value

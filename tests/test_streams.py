@@ -72,3 +72,15 @@ def test_scratch_is_deleted(spark):
     writers.drop_scratch(spark)
     writers._MADE[spark.sparkContext.applicationId] = kept
     assert not os.path.exists(path.removeprefix("file:"))
+
+
+def test_last_of_a_batch_before_python():
+    """One row of each key leaves a batch: the last by order, null lowest, then by error count."""
+    import pyarrow as pa
+
+    rows = [("m", "t", None, 9), ("m", "t", 2, 1), ("m", "t", 2, 3), ("m", "t", 1, 8), ("m", "u", None, 4), ("m", "u", None, None), (None, "u", 5, 0)]
+    names = ["model", "task", "_o0", "_errors"]
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, zip(*rows)), pa.array([k % 2 == 0 for k in range(len(rows))])], names=[*names, "_executable"])
+    got = results._last_in_batch(batch, 2).to_pylist()
+    assert sorted((tuple(r.values()) for r in got), key=str) == sorted([("m", "t", 2, 3, True), ("m", "u", None, 4, True), (None, "u", 5, 0, True)], key=str)
+    assert results._last_in_batch(batch.slice(0, 0), 2).num_rows == 0
