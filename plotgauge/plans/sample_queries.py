@@ -64,8 +64,8 @@ def s1_tree(spark, d):
     names = {"gen.html": "has_html", "orig.png": "has_orig", "eval.png": "has_eval", "gen.png": "has_gen"}
     kinds = F.filter(F.array(*[F.when(F.col(flag), F.lit(f)) for f, flag in names.items()]), lambda x: x.isNotNull())
     files = adapter(spark, d, "source_samples").select(F.expr(_MODEL).alias("model"), F.expr(_TASK).alias("task"), F.expr(_SAMPLE).alias("sample"), F.explode(kinds).alias("file"), F.coalesce("html", F.lit("")).alias("value"))
-    write_tree(files, root, ("model", "task", "sample", "file"))
-    return IO.read_eval_tree(spark, root, partitioned=True)
+    partitioned = write_tree(files, root, ("model", "task", "sample", "file"), plain=True)
+    return IO.read_eval_tree(spark, root, partitioned)
 
 
 @query("s2_sample_tree", f"SELECT {_SAMPLE} AS sample, CASE WHEN has_html THEN coalesce(html, '') || chr(10) END AS html, CASE WHEN has_gen THEN concat('// ', sample, chr(10), 'draw();', chr(10)) END AS js FROM source_samples", SAMPLES)
@@ -79,8 +79,8 @@ def s2(spark, d):
         F.struct(F.lit("chart.png").alias("file"), F.lit("a picture").alias("value")),
     )
     files = s.select(F.expr(_SAMPLE).alias("sample"), F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("f")).select("sample", "f.*")
-    write_tree(files, root, ("sample", "file"))
-    return IO.read_sample_tree(spark, root, partitioned=True)
+    partitioned = write_tree(files, root, ("sample", "file"), plain=True)
+    return IO.read_sample_tree(spark, root, partitioned)
 
 
 @query("s9_summary_order", "SELECT concat('s', page_id) AS sample, row_number() OVER (PARTITION BY page_id % 7 ORDER BY md5(CAST(page_id AS VARCHAR))) - 1 AS position FROM pages")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
+from urllib.parse import unquote
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .writers import scratch
+from .writers import WAVES, scratch, shared_folder
 
 RECORD = T.StructType(
     [
@@ -32,13 +35,9 @@ def whole_texts(spark: SparkSession, path: str) -> DataFrame:
 _BINARY = "path string, modificationTime timestamp, length long, content binary"
 
 
-#: Tasks for each core that read a tree of small files.
-_WAVES = 8
-
-
 def in_few_tasks(files: DataFrame) -> DataFrame:
     """Files read by a few tasks for each core: Spark counts a small file as 4 MB, so that a tree of them would become a task for every few files. Rows are streamed, so a task's size doesn't matter."""
-    return files.coalesce(_WAVES * files.sparkSession.sparkContext.defaultParallelism)
+    return files.coalesce(WAVES * files.sparkSession.sparkContext.defaultParallelism)
 
 
 def tree_paths(spark: SparkSession, root: str, names: tuple[str, ...], partitioned: bool = False) -> DataFrame:
@@ -57,9 +56,100 @@ def tree_paths(spark: SparkSession, root: str, names: tuple[str, ...], partition
     return files.select(*[parts[k].alias(n) for k, n in enumerate(names)], "content")
 
 
+def _visible(name: bytes) -> bool:
+    """Whether Spark's readers see a file or folder of this name."""
+    return not (name.startswith(b".") or name.startswith(b"_") and b"=" not in name or name.endswith(b"._COPYING_"))
+
+
+def _value(name: bytes) -> str | None:
+    """What stands behind `=` in a partition's folder, without escapes."""
+    value = unquote(name.partition(b"=")[2].decode("utf-8", "replace"))
+    return None if value == "__HIVE_DEFAULT_PARTITION__" else value
+
+
+def list_tree(spark: SparkSession, folder: str, names: tuple[str, ...], partitioned: bool = False) -> DataFrame:
+    """(names..., _path) of the files of a tree in a folder that all tasks see. Each level is listed by tasks that share its folders, so that
+    neither the driver nor one task holds the list. Files of no bytes are left out, as by Spark's readers."""
+    files = spark.range(1).select(F.lit(folder).cast("binary").alias("_path"))
+
+    def level(at: list[str], named: bool, last: bool):
+        def table(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "_path" else pa.string()) for n, c in zip(at, zip(*rows))], names=at)
+
+        def run(batches):
+            rows = []
+            for batch in batches:
+                for *above, path in zip(*(c.to_pylist() for c in batch.columns)):
+                    with os.scandir(path) as found:
+                        for e in found:
+                            if _visible(e.name) and (e.is_file() and e.stat().st_size > 0 if last else e.is_dir()):
+                                own = [_value(e.name) if partitioned else e.name.decode("utf-8", "replace")] if named else []
+                                rows.append((*above, *own, e.path))
+                                if len(rows) == 1000:
+                                    yield table(rows)
+                                    rows = []
+            if rows:
+                yield table(rows)
+
+        return run
+
+    for k in range(len(names) + partitioned):
+        named, last = k < len(names), k == len(names) - (not partitioned)
+        at = [*names[: k + named], "_path"]
+        dealt = files.repartition(WAVES * spark.sparkContext.defaultParallelism, "_path") if k else files
+        files = dealt.mapInArrow(level(at, named, last), "".join(f"`{n}` string, " for n in at[:-1]) + "_path binary")
+    return files
+
+
+#: Bytes of contents that go from Python to Spark at once, if it is more than one file.
+_CONTENTS = 4 << 20
+
+
+def tree_files(spark: SparkSession, root: str, names: tuple[str, ...], partitioned: bool = False, wanted: tuple[str, ...] | None = None) -> DataFrame:
+    """(names..., content) like `tree_paths`, for large trees: where the root is a folder that all tasks see, they list and read it themselves, and
+    nothing is kept for each file on the driver. With `wanted`, only files of these names (the last one) are opened, content is null for others."""
+    folder = shared_folder(spark, root)
+    if folder is None or not os.path.isdir(folder):
+        files = tree_paths(spark, root, names, partitioned)
+        if wanted is None:
+            return files
+        named = F.col(names[-1]).isin(*wanted)
+        if partitioned:
+            rows = files.where(named)
+        else:  # the same folder twice: names from paths, contents from the wanted kinds of files only
+            found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{" + ",".join(wanted) + "}").load(root)
+            parts = F.slice(F.split("path", "/"), -len(names), len(names))
+            rows = in_few_tasks(found).select(*[parts[k].alias(n) for k, n in enumerate(names)], "content")
+        return rows.unionByName(files.where(~named).select(*names, F.lit(None).cast("binary").alias("content")))
+
+    def run(batches):
+        for batch in batches:
+            rows, size = [], 0
+            for *values, path in zip(*(c.to_pylist() for c in batch.columns)):
+                content = None
+                if wanted is None or values[-1] in wanted:
+                    with open(path, "rb") as f:
+                        content = f.read()
+                rows.append((*values, content))
+                size += len(content or b"")
+                if size >= _CONTENTS:
+                    yield table(rows)
+                    rows, size = [], 0
+            if rows:
+                yield table(rows)
+
+    def table(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [*[pa.string()] * len(names), pa.binary()])], names=[*names, "content"])
+
+    return list_tree(spark, folder, names, partitioned).mapInArrow(run, "".join(f"`{n}` string, " for n in names) + "content binary")
+
+
 def read_eval_tree(spark: SparkSession, root: str, partitioned: bool = False) -> DataFrame:
     """(model, task, sample, has_<file>...) of a tree root/model/task/sample/file. Only paths are read, not contents."""
-    return listing(tree_paths(spark, root, ("model", "task", "sample", "file"), partitioned).drop("content"))
+    names, folder = ("model", "task", "sample", "file"), shared_folder(spark, root)
+    if folder is None or not os.path.isdir(folder):
+        return listing(tree_paths(spark, root, names, partitioned).drop("content"))
+    return listing(list_tree(spark, folder, names, partitioned))
 
 
 def listing(files: DataFrame) -> DataFrame:
@@ -77,15 +167,8 @@ def pick_reference_image(samples: DataFrame) -> DataFrame:
 
 def read_sample_tree(spark: SparkSession, root: str, partitioned: bool = False) -> DataFrame:
     """(sample, html, js) of a tree root/sample/{chart.html, code.js, ...}; null for an absent file. Of other files, such as pictures, nothing but the path is read."""
-    files = tree_paths(spark, root, ("sample", "file"), partitioned)
-    text = F.col("file").isin("chart.html", "code.js")
-    if partitioned:
-        rows = files.where(text)
-    else:  # the same folder twice: names from paths, contents from the two kinds of files only
-        wanted = in_few_tasks(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{chart.html,code.js}").load(root))
-        parts = F.slice(F.split("path", "/"), -2, 2)
-        rows = wanted.select(parts[0].alias("sample"), parts[1].alias("file"), "content")
-    rows = rows.select("sample", "file", F.decode("content", "UTF-8").alias("value")).unionByName(files.where(~text).select("sample", "file", F.lit(None).cast("string").alias("value")))
+    files = tree_files(spark, root, ("sample", "file"), partitioned, ("chart.html", "code.js"))
+    rows = files.select("sample", "file", F.decode("content", "UTF-8").alias("value"))
     return rows.groupBy("sample").agg(F.max(F.when(F.col("file") == "chart.html", F.col("value"))).alias("html"), F.max(F.when(F.col("file") == "code.js", F.col("value"))).alias("js"))
 
 

@@ -57,31 +57,47 @@ def drop_scratch(spark: SparkSession) -> None:
 _ESCAPED = re.compile(r"""[\x00-\x1f"#%'*/:=?\\\x7f{\[\]^]""")
 
 
-def write_tree(files: DataFrame, root: str, names: tuple[str, ...]) -> None:
+def shared_folder(spark: SparkSession, root: str) -> str | None:
+    """The path of a root that is a folder to all tasks; null on any other file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    uri = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
+
+
+#: Tasks for each core that write or read a tree of small files.
+WAVES = 8
+
+
+def write_tree(files: DataFrame, root: str, names: tuple[str, ...], plain: bool = False) -> bool:
     """Write rows (names..., value) as files below a folder for each name, as Spark's text writer does: names are escaped, and a value ends with a line feed.
 
     Where the root is a folder that all tasks see, they write the files themselves: Spark's writer starts processes for the permissions of each
     file there, and its commit moves files one by one. On any other file system Spark's writer is used. A file appears with all of its content or not at all, and
     a task that runs again writes the same ones. Rows of equal names are lines of one file.
+
+    `plain`: folders have the names as they are, and the last name is the file itself, which saves a folder for each file; a name that can't be one
+    raises. Spark's writer can't do that. Returns whether the folders are partitions, as the readers want to know.
     """
-    sc = files.sparkSession.sparkContext
-    at = sc._jvm.org.apache.hadoop.fs.Path(root)
-    uri = at.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(at).toUri()
-    if uri.getScheme() != "file":
+    spark, folder, count = files.sparkSession, shared_folder(files.sparkSession, root), len(names)
+    if folder is None:
         files.write.partitionBy(*names).text(root)
-        return
-    folder, count = uri.getPath(), len(names)
+        return True
 
     def write(batches):
-        written = set()
+        written, made = set(), set()
         for batch in batches:
             for *values, content in zip(*(c.to_pylist() for c in batch.columns)):
-                own = "/".join([folder, *(f"{n}={_folder(v)}" for n, v in zip(names, values))])
-                path, content = f"{own}/part-0.txt", (content or b"") + b"\n"
+                if plain:
+                    own, path = "/".join([folder, *map(_plain, values[:-1])]), _plain(values[-1])
+                else:
+                    own, path = "/".join([folder, *(f"{n}={_folder(v)}" for n, v in zip(names, values))]), "part-0.txt"
+                path, content = f"{own}/{path}", (content or b"") + b"\n"
                 if path in written:
                     with open(path, "rb") as f:
                         content = f.read() + content
-                os.makedirs(own, exist_ok=True)
+                if own not in made:
+                    os.makedirs(own, exist_ok=True)
+                    made.add(own)
                 part = f"{own}/.{uuid.uuid4().hex}"
                 with open(part, "wb") as f:
                     f.write(content)
@@ -91,7 +107,17 @@ def write_tree(files: DataFrame, root: str, names: tuple[str, ...]) -> None:
 
     os.makedirs(folder, exist_ok=True)
     rows = files.select(*[F.col(n).cast("string").alias(f"_{k}") for k, n in enumerate(names)], F.col("value").cast("binary").alias("_value"))
-    rows.repartition(*[f"_{k}" for k in range(count)]).mapInArrow(write, "n long").agg(F.sum("n")).collect()  # one number
+    # with a number, or Spark would join small texts into one task, however many files they are
+    dealt = rows.repartition(WAVES * spark.sparkContext.defaultParallelism, *[f"_{k}" for k in range(count)])
+    dealt.mapInArrow(write, "n long").agg(F.sum("n")).collect()  # one number
+    return not plain
+
+
+def _plain(value: str | None) -> str:
+    """A value as the name of a folder or file that readers don't pass over."""
+    if not value or value[0] in "._" or "/" in value or "\0" in value or value.endswith("._COPYING_"):
+        raise ValueError(f"no name for a file: {value!r}")
+    return value
 
 
 def _folder(value: str | None) -> str:

@@ -103,3 +103,33 @@ def test_dictionary_by_place(spark, tmp_path):
     (tmp_path / "d.csv").write_text('Color_Name,LAB(OpenCV)\r\nzinc,[1 2 3]\r\n\r\n"a, b",[53  80 67]\n')
     got = sorted(tuple(r) for r in readers.read_color_dict(spark, str(tmp_path / "d.csv")).collect())
     assert [(n, lab) for _, n, lab in got] == [("zinc", [1, 2, 3]), ("a, b", [53, 80, 67])] and got[0][0] == 0
+
+
+def test_trees_are_listed_by_tasks(spark, tmp_path):
+    """No file of a tree is known to the driver, plain or partitioned; a plain tree has a folder for each sample only."""
+    rows = [(f"s{k} a:b?c#d", f, "x\ny") for k in range(30) for f in ("chart.html", "chart.png", "code.js")[k % 3 :]]
+    files = spark.createDataFrame(rows, "sample string, file string, value string").repartition(5)
+    want = sorted((f"s{k} a:b?c#d", "x\ny\n" if k % 3 < 1 else None, "x\ny\n") for k in range(30))
+    for plain in (True, False):
+        root = str(tmp_path / f"t{plain}")
+        partitioned = writers.write_tree(files, root, ("sample", "file"), plain)
+        assert partitioned is not plain
+        got = readers.read_sample_tree(spark, root, partitioned)
+        assert got.inputFiles() == [] and "FileScan" not in plan_of(got)
+        assert sorted(tuple(r) for r in got.collect()) == want
+        found = readers.list_tree(spark, root, ("sample", "file"), partitioned)
+        assert sorted((r[0], r[1]) for r in found.collect()) == sorted(r[:2] for r in rows)
+    assert sum(p.is_dir() for p in (tmp_path / "tTrue").rglob("*")) == 30
+    (tmp_path / "tTrue" / "_hidden").mkdir()
+    (tmp_path / "tTrue" / "_hidden" / "code.js").write_text("x")
+    (tmp_path / "tTrue" / "none").mkdir()
+    assert readers.read_sample_tree(spark, str(tmp_path / "tTrue")).count() == 30
+
+
+def test_names_that_no_file_can_have(spark, tmp_path):
+    import pytest
+
+    for k, name in enumerate(["a/b", "", None, "..", ".a", "_a"]):
+        files = spark.createDataFrame([("s", name, "x")], "sample string, file string, value string")
+        with pytest.raises(Exception, match="no name for a file"):
+            writers.write_tree(files, str(tmp_path / f"t{k}"), ("sample", "file"), plain=True)
