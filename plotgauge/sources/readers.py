@@ -230,6 +230,31 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return in_few_tasks(spark.read.format("image").option("recursiveFileLookup", "true").load(path)).select(F.col("image.origin").alias("image"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
 
 
+def _bitmap(name: str | None, content: bytes) -> tuple[int, int, bytes]:
+    """Height, width and pixels by row (blue, green, red) of a bitmap of 24 bits without compression."""
+    number = lambda at, size=4: int.from_bytes(content[at : at + size], "little", signed=True)
+    w, h = number(18), number(22)
+    line = (w * 3 + 3) // 4 * 4
+    if content[:2] != b"BM" or number(14) < 40 or number(28, 2) != 24 or number(30) != 0 or w < 1 or len(content) < number(10) + abs(h) * line:
+        raise ValueError(f"{name!r} is no whole 24-bit bitmap; read_images reads other kinds")
+    rows = np.frombuffer(content, np.uint8, abs(h) * line, number(10)).reshape(abs(h), line)[:, : w * 3]
+    return abs(h), w, (rows if h < 0 else rows[::-1]).tobytes()  # lines go from bottom to top, unless the height is negative
+
+
+def read_bitmaps(files: DataFrame, name: str = "image") -> DataFrame:
+    """(image, height, width, channels, data) as from `read_images`, of the files that ``writers.bitmaps`` makes, given as (image, content). Spark's image source
+    makes a serializer for each file anew, some milliseconds of each. Any other kind of file raises."""
+
+    def run(batches):
+        for batch in batches:
+            names, found = batch.column(0), [_bitmap(n, c) for n, c in zip(*(batch.column(k).to_pylist() for k in range(2)))]
+            if found:
+                h, w, data = zip(*found)
+                yield pa.RecordBatch.from_arrays([names, pa.array(h, pa.int32()), pa.array(w, pa.int32()), pa.array([3] * len(h), pa.int32()), pa.array(data, pa.binary())], names=["image", "height", "width", "channels", "data"])
+
+    return files.select(F.col(name).cast("string").alias("image"), "content").mapInArrow(run, "image string, height int, width int, channels int, data binary")
+
+
 def pixels(images: DataFrame) -> DataFrame:
     """(image, y, x, c0, c1, c2) of three-channel images, unpacked in batches."""
 
@@ -249,10 +274,22 @@ def color_counts(images: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found, size = [], 0
+            for at, data in enumerate(batch.column(1).to_pylist()):
                 a = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.int64)
-                code, n = np.unique(a[:, 0] << 16 | a[:, 1] << 8 | a[:, 2], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(code)), *(pa.array(v) for v in (code >> 16, code >> 8 & 255, code & 255, n))], names=["image", "c0", "c1", "c2", "n"])
+                found.append((at, *np.unique(a[:, 0] << 16 | a[:, 1] << 8 | a[:, 2], return_counts=True)))
+                size += len(found[-1][1])
+                if size >= 100_000:  # many small images go back to Spark at once
+                    yield table(batch.column(0), found)
+                    found, size = [], 0
+            if found:
+                yield table(batch.column(0), found)
+
+    def table(names, found):
+        at, code, n = zip(*found)
+        where = np.repeat(at, [len(c) for c in code])
+        code, n = np.concatenate(code), np.concatenate(n)
+        return pa.RecordBatch.from_arrays([names.take(pa.array(where, pa.int64())), *(pa.array(v) for v in (code >> 16, code >> 8 & 255, code & 255, n))], names=["image", "c0", "c1", "c2", "n"])
 
     return images.where("channels = 3").select("image", "data").mapInArrow(run, "image string, c0 long, c1 long, c2 long, n long")
 

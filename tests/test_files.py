@@ -133,3 +133,27 @@ def test_names_that_no_file_can_have(spark, tmp_path):
         files = spark.createDataFrame([("s", name, "x")], "sample string, file string, value string")
         with pytest.raises(Exception, match="no name for a file"):
             writers.write_tree(files, str(tmp_path / f"t{k}"), ("sample", "file"), plain=True)
+
+
+def test_bitmaps_are_decoded_alike(spark, tmp_path):
+    """The same rows as Spark's image source gives, from tasks that read the tree themselves; any other file raises."""
+    import pytest
+
+    rng = np.random.default_rng(3)
+    rows = [(k, y, x, *map(int, rng.integers(0, 256, 3))) for k, (h, w) in enumerate([(1, 1), (2, 3), (5, 4), (3, 7), (9, 2)]) for y in range(h) for x in range(w)]
+    given = spark.createDataFrame(rows, "image long, y long, x long, c0 long, c1 long, c2 long").repartition(3)
+    root = str(tmp_path / "p")
+    partitioned = writers.write_tree(writers.bitmaps(given).withColumn("folder", F.concat(F.lit("d"), F.col("image") % 2)), root, ("folder", "image"), plain=True)
+    images = readers.read_bitmaps(readers.tree_files(spark, root, ("folder", "image"), partitioned))
+    assert images.inputFiles() == [] and sum(p.is_dir() for p in (tmp_path / "p").rglob("*")) == 2
+    other = readers.read_images(spark, root).withColumn("image", F.substring_index("image", "/", -1))
+    assert images.schema.names == other.schema.names
+    assert sorted(map(tuple, images.collect())) == sorted(map(tuple, other.collect()))
+    counts = readers.color_counts(images)
+    assert sorted(map(tuple, counts.groupBy("image").agg(F.sum("n")).collect())) == [("0", 1), ("1", 6), ("2", 20), ("3", 21), ("4", 18)]
+    whole = next(p for p in (tmp_path / "p" / "d0").iterdir() if p.name == "2").read_bytes()
+    for k, odd in enumerate([b"GIF89a", whole[:60], whole[:28] + b"\x08" + whole[29:]]):
+        (tmp_path / f"o{k}").mkdir()
+        (tmp_path / f"o{k}" / "1").write_bytes(odd)
+        with pytest.raises(Exception, match="no whole 24-bit bitmap"):
+            readers.read_bitmaps(readers.tree_files(spark, str(tmp_path / f"o{k}"), ("image",))).collect()
