@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The five base charts, as (name, type, data) of their series.
 VARIANTS = (
@@ -96,16 +97,20 @@ def apply_edit_step(option: Column, step: int) -> Column:
     return option
 
 
-def chain_options(options: DataFrame, steps: int = 10, id_col: str = "chart_id") -> DataFrame:
-    """(chart_id, step, option JSON): each step's reference option; step 0 is the base."""
+def chain_options(options: DataFrame, steps: int = 10, id_col: str = "chart_id", text: bool = True) -> DataFrame:
+    """(chart_id, step, option): each step's reference option; step 0 is the base. As JSON text, or else as the struct it is."""
     out, df = [], options
     for k in range(steps + 1):
         if k:
             df = df.withColumn("option", apply_edit_step(F.col("option"), k))
-        out.append(df.select(id_col, F.lit(k).cast("long").alias("step"), F.to_json("option").alias("option")))
+        out.append(df.select(id_col, F.lit(k).cast("long").alias("step"), (F.to_json("option") if text else F.col("option")).alias("option")))
     return reduce(DataFrame.unionByName, out)
 
 
+#: Parts of an option that its signature is made of.
+_PARTS = ("title", "legend", "backgroundColor", "color", "yAxis", "grid", "series")
+
+
 def _node(v: Column, path: str, kind: str = "string") -> Column:
     """A value whose first node may be an object or a list of one object."""
     head, _, rest = path.partition(".")
@@ -114,31 +119,41 @@ def _node(v: Column, path: str, kind: str = "string") -> Column:
 
 
 def semantic_signature(options: DataFrame, option: str = "option") -> DataFrame:
-    """Add the nine comparable fields of an option given as JSON text, each as one text; null where nothing is set."""
+    """Add the nine comparable fields of an option, each as one text; null where nothing is set.
+
+    The option is JSON text, or a struct of the same fields, where null is the same as absent. Of a struct only the parts that wanted fields need are looked at.
+    """
     # a text is parsed once, and its series are taken out once: columns of their own, which Spark doesn't put in everywhere they are used
     kind = "struct<name:string,type:string,label:struct<show:boolean,position:string>,itemStyle:struct<borderRadius:string>,barWidth:string,lineStyle:struct<width:string>,symbolSize:string>"
-    parsed = options.withColumn("_v", F.try_parse_json(option))
-    one = F.try_variant_get("_v", "$.series", kind)  # a list of one may stand without its brackets
-    parsed = parsed.withColumn("_series", F.coalesce(F.try_variant_get("_v", "$.series", f"array<{kind}>"), F.when(one.isNotNull(), F.array(one))))
-    v, series = F.col("_v"), F.col("_series")
+    given = options.schema[option].dataType
+    if isinstance(given, T.StructType):
+        part = lambda t: F.to_variant_object(F.struct(F.col(option)[t].alias(t))) if t in given.names else F.lit(None).cast("variant")
+        parsed = options.withColumns({f"_v_{t}": part(t) for t in _PARTS})
+        v = {t: F.col(f"_v_{t}") for t in _PARTS}
+    else:
+        parsed = options.withColumn("_v", F.try_parse_json(option))
+        v = dict.fromkeys(_PARTS, F.col("_v"))
+    one = F.try_variant_get(v["series"], "$.series", kind)  # a list of one may stand without its brackets
+    parsed = parsed.withColumn("_series", F.coalesce(F.try_variant_get(v["series"], "$.series", f"array<{kind}>"), F.when(one.isNotNull(), F.array(one))))
+    series = F.col("_series")
     text = lambda *parts: F.concat_ws("|", *[F.coalesce(p, F.lit("-")) for p in parts])
     flag = lambda c: F.coalesce(c.cast("string"), F.lit("false"))
     labels = F.transform(series, lambda s: text(s["type"], flag(s["label"]["show"]), s["label"]["position"]))
     bars = F.transform(F.filter(series, lambda s: s["type"] == "bar"), lambda s: text(s["name"], s["itemStyle"]["borderRadius"], s["barWidth"]))
     lines = F.transform(F.filter(series, lambda s: s["type"] == "line"), lambda s: text(s["name"], s["lineStyle"]["width"], s["symbolSize"]))
-    n = lambda path: _node(v, path)
+    n = lambda path: _node(v[path.partition(".")[0]], path)
     found = {
         "title_text": n("title.text"),
         "title_layout": text(n("title.left"), n("title.top"), n("title.textStyle.color")),
         "legend_pos": text(n("legend.left"), n("legend.bottom").isNotNull().cast("string"), n("legend.right").isNotNull().cast("string"), n("legend.top"), n("legend.orient")),
-        "background": F.try_variant_get(v, "$.backgroundColor", "string"),
+        "background": F.try_variant_get(v["backgroundColor"], "$.backgroundColor", "string"),
         "labels_signature": F.array_join(labels, ";"),
-        "palette": F.try_variant_get(v, "$.color", "string"),
+        "palette": F.try_variant_get(v["color"], "$.color", "string"),
         "splitline": text(flag(n("yAxis.splitLine.show")), n("yAxis.splitLine.lineStyle.type"), n("yAxis.splitLine.lineStyle.color")),
         "grid": text(n("grid.left"), n("grid.right"), n("grid.top"), n("grid.bottom")),
         "series_style": F.concat(F.array_join(bars, ";"), F.lit("/"), F.array_join(lines, ";")),
     }
-    return parsed.withColumns(found).drop("_v", "_series")
+    return parsed.withColumns(found).drop("_v", "_series", *[f"_v_{t}" for t in _PARTS])
 
 
 def usable_series(options: DataFrame, option: str = "option", state: Column | None = None) -> DataFrame:

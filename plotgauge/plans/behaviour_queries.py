@@ -153,7 +153,7 @@ FROM s"""
 
 @query("p24_p25_edit_chain_signature", _STEPS_SQL)
 def p24(spark, d):
-    return C.semantic_signature(C.chain_options(_charts(spark, d))).select("chart_id", "step", "title_text", "title_layout", "legend_pos", "background", "palette", "splitline", "grid")
+    return C.semantic_signature(C.chain_options(_charts(spark, d), text=False)).select("chart_id", "step", "title_text", "title_layout", "legend_pos", "background", "palette", "splitline", "grid")
 
 
 @query("p25_series_signature", """
@@ -165,7 +165,7 @@ SELECT chart_id, step, string_agg(concat(kind, '|', CASE WHEN step >= 4 THEN 'tr
               coalesce(string_agg(concat(name, '|', CASE WHEN step >= 8 THEN '3|10' ELSE '2|6' END), ';' ORDER BY i) FILTER (WHERE kind = 'line'), '')) AS series_style
 FROM s GROUP BY chart_id, step""")
 def p25(spark, d):
-    return C.semantic_signature(C.chain_options(_charts(spark, d))).select("chart_id", "step", "labels_signature", "series_style")
+    return C.semantic_signature(C.chain_options(_charts(spark, d), text=False)).select("chart_id", "step", "labels_signature", "series_style")
 
 
 _LENGTHS = "[c_custkey % 7, c_nationkey % 6, c_custkey % 5]"
@@ -205,7 +205,7 @@ m AS (SELECT chart_id, step, n, 1 + CASE WHEN n < 2 THEN 0 WHEN (step >= 10) = (
 @query("j11_field_fidelity", _FIDELITY + """
 SELECT chart_id, step, round(same / n, 4) AS field_fidelity, same = n AS exact_match FROM m""")
 def j11(spark, d):
-    ref = settle(C.semantic_signature(C.chain_options(_charts(spark, d))).select("chart_id", "step", *C.FIELDS), "signatures")
+    ref = settle(C.semantic_signature(C.chain_options(_charts(spark, d), text=False)).select("chart_id", "step", *C.FIELDS), "signatures")
     # every third chart's model is one edit behind
     late = ref.where("chart_id % 3 = 0 AND step < 10").withColumn("step", F.col("step") + 1)
     gen = late.unionByName(ref.where("chart_id % 3 <> 0 AND step > 0"))

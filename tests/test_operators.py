@@ -448,3 +448,19 @@ def test_pairing_groups_once(spark):
     assert sorted(values(both, "image", "ref", "gen")) == [(1, ["a", "b"], ["z"]), (2, ["c"], []), (3, [], ["y"])]
     plan = both._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("Aggregate") == 1
+
+
+def test_signature_of_typed_options(spark):
+    """Structs and their JSON texts have one signature, field by field; a struct isn't written as text and parsed again."""
+    charts = chains.base_options(spark.range(10).withColumnRenamed("id", "chart_id"))
+    kept = chains.semantic_signature(chains.chain_options(charts, text=False))
+    text = chains.semantic_signature(chains.chain_options(charts))
+    assert kept.columns == text.columns
+    want = ["chart_id", "step", *chains.FIELDS]
+    assert sorted(map(tuple, kept.select(want).collect()), key=repr) == sorted(map(tuple, text.select(want).collect()), key=repr)
+    plan = kept.select("series_style")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "structstojson" not in plan and "parse" not in plan and "base chart" not in plan
+    one = "struct<title:struct<text:string>,series:array<struct<name:string,type:string,barWidth:int>>,color:array<string>>"
+    odd = spark.createDataFrame([(1, (("a",), [("n", "bar", 3), (None, "line", None)], ["red"])), (2, (None, None, None)), (3, None)], f"k int, option {one}")
+    a, b = chains.semantic_signature(odd), chains.semantic_signature(odd.withColumn("option", F.to_json("option")))
+    assert sorted(map(tuple, a.select("k", *chains.FIELDS).collect())) == sorted(map(tuple, b.select("k", *chains.FIELDS).collect()))
