@@ -99,11 +99,17 @@ def apply_edit_step(option: Column, step: int) -> Column:
 
 def chain_options(options: DataFrame, steps: int = 10, id_col: str = "chart_id", text: bool = True) -> DataFrame:
     """(chart_id, step, option): each step's reference option; step 0 is the base. As JSON text, or else as the struct it is."""
+    if text:  # a list of all steps' texts for each chart: a plan has the edits once, not again for each step
+        df = options.select(id_col, F.col("option").alias("_0"))
+        for k in range(1, steps + 1):
+            df = df.withColumn(f"_{k}", apply_edit_step(F.col(f"_{k - 1}"), k))
+        texts = df.select(id_col, F.posexplode(F.array(*[F.to_json(f"_{k}") for k in range(steps + 1)])).alias("step", "option"))
+        return texts.withColumn("step", F.col("step").cast("long"))
     out, df = [], options
     for k in range(steps + 1):
         if k:
             df = df.withColumn("option", apply_edit_step(F.col("option"), k))
-        out.append(df.select(id_col, F.lit(k).cast("long").alias("step"), (F.to_json("option") if text else F.col("option")).alias("option")))
+        out.append(df.select(id_col, F.lit(k).cast("long").alias("step"), "option"))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -166,12 +172,16 @@ def usable_series(options: DataFrame, option: str = "option", state: Column | No
     return options.withColumn("usable_series", F.coalesce(at, F.lit(-1)).cast("long"))
 
 
-def field_fidelity(ref: DataFrame, gen: DataFrame, keys: tuple[str, ...] = ("chart_id", "step")) -> DataFrame:
-    """(chart_id, step, field_fidelity, exact_match): the share of the step's active fields that agree; two absent ones do."""
-    renamed = gen.select(*keys, *[F.col(f).alias(f"_{f}") for f in FIELDS])
-    both = ref.join(renamed, list(keys)).where("step > 0").withColumn("_n", active_count(F.col("step")))
+def field_fidelity(ref: DataFrame, gen: DataFrame, keys: tuple[str, ...] = ("chart_id", "step"), how: str = "inner", more: tuple[str, ...] = ()) -> DataFrame:
+    """(chart_id, step, field_fidelity, exact_match): the share of the step's active fields that agree; two absent ones do. Columns `more` of `gen` follow.
+
+    With `how` left, a step that `gen` lacks is compared with one that sets no field.
+    """
+    # Steps are so alike that their files are a small part of what their rows take in memory: by file sizes Spark would gather them all on the driver, to broadcast them.
+    renamed = gen.select(*keys, *more, *[F.col(f).alias(f"_{f}") for f in FIELDS]).hint("merge")
+    both = ref.select(*keys, *FIELDS).where("step > 0").join(renamed, list(keys), how).withColumn("_n", active_count(F.col("step")))
     same = reduce(lambda a, b: a + b, [F.when((F.col("_n") >= k + 1) & F.col(f).eqNullSafe(F.col(f"_{f}")), 1).otherwise(0) for k, f in enumerate(FIELDS)])
-    return both.select(*keys, F.round(same / F.col("_n"), 4).alias("field_fidelity"), (same == F.col("_n")).alias("exact_match"))
+    return both.select(*keys, F.round(same / F.col("_n"), 4).alias("field_fidelity"), (same == F.col("_n")).alias("exact_match"), *more)
 
 
 def scored_steps(steps: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from ..fixtures import adapter, table
 from ..operators.chains import base_options, chain_options
 from ..operators.colors import color_profile
 from ..sources.readers import read_model_coefficients, read_prompts
-from ..sources.writers import write_results
+from ..sources.writers import WAVES, write_results
 from ..streaming.results import scratch
 from . import jobs
 from .behaviour_queries import _FAIL, _FIDELITY, ANCHORS
@@ -104,7 +104,9 @@ dead AS (SELECT chart_id, min(step) FILTER (WHERE NOT ok) AS c FROM raw GROUP BY
 SELECT r.chart_id, r.step, coalesce(r.step < c, true) AS render_ok, em AND coalesce(r.step < c, true) AS exact_match, CASE WHEN r.step >= c THEN 0.0 ELSE f END AS field_fidelity FROM raw r JOIN dead d ON d.chart_id = r.chart_id""")
 def job_edit_chains(spark, d):
     """Every third chart's model is one edit behind; some answers hold no JSON, some pages don't render."""
-    ref = chain_options(base_options(table(spark, d, "customer").select(F.col("c_custkey").alias("chart_id"))))
+    # ids make small files, so few tasks; each becomes eleven options
+    charts = table(spark, d, "customer").select(F.col("c_custkey").alias("chart_id")).repartition(WAVES * spark.sparkContext.defaultParallelism, "chart_id")
+    ref = chain_options(base_options(charts))
     late = ref.where("chart_id % 3 = 0 AND step < 10").withColumn("step", F.col("step") + 1)
     gen = late.unionByName(ref.where("chart_id % 3 <> 0 AND step > 0"))
     raw = F.when((F.col("chart_id") % 7 == 1) & (F.col("step") == 6), "no answer").otherwise(F.concat(F.lit("Here:\n```json\n"), "option", F.lit("\n```")))

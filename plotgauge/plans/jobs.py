@@ -90,12 +90,12 @@ def edit_chains(reference: DataFrame, answers: DataFrame) -> dict[str, DataFrame
     keys = ["chart_id", "step"]
     read = answers.select(*keys, json_block(F.col("raw")).alias("option"), "rendered")
     ok = F.coalesce(F.col("rendered"), F.lit(False)) & F.col("option").isNotNull()
-    # answers are parsed once: what follows needs their signatures only
-    read = settle(chains.semantic_signature(read).select(*keys, ok.alias("render_ok"), *chains.FIELDS), "answers")
-    fidelity = chains.field_fidelity(chains.semantic_signature(reference), read.where("render_ok"))
-    rows = reference.where("step > 0").select(*keys).join(read.select(*keys, "render_ok"), keys, "left").join(fidelity, keys, "left")
-    rows = rows.na.fill({"render_ok": False, "exact_match": False, "field_fidelity": 0.0})
-    steps = chains.carry_hard_collapse(rows)
+    read = chains.semantic_signature(read).select(*keys, ok.alias("render_ok"), *chains.FIELDS)
+    rows = chains.field_fidelity(chains.semantic_signature(reference), read, how="left", more=("render_ok",)).na.fill({"render_ok": False})
+    ok = F.col("render_ok")
+    rows = rows.select(*keys, ok, F.when(ok, F.col("field_fidelity")).otherwise(0.0).alias("field_fidelity"), (ok & F.col("exact_match")).alias("exact_match"))
+    # options and answers are parsed once: what follows needs the scored steps only
+    steps = settle(chains.carry_hard_collapse(rows), "chain")
     return {"chain": steps, "steps": chains.step_summary(steps), "collapse": chains.collapse_distribution(steps), "drift": chains.drift_distribution(steps)}
 
 

@@ -464,3 +464,29 @@ def test_signature_of_typed_options(spark):
     odd = spark.createDataFrame([(1, (("a",), [("n", "bar", 3), (None, "line", None)], ["red"])), (2, (None, None, None)), (3, None)], f"k int, option {one}")
     a, b = chains.semantic_signature(odd), chains.semantic_signature(odd.withColumn("option", F.to_json("option")))
     assert sorted(map(tuple, a.select("k", *chains.FIELDS).collect())) == sorted(map(tuple, b.select("k", *chains.FIELDS).collect()))
+
+
+def test_edit_chains_never_pass_through_the_driver(spark, monkeypatch):
+    """However small their files are, signatures are not broadcast; options of all steps come from one scan; all that the job returns reads the scored steps."""
+    from plotgauge.plans import jobs
+
+    reference = chains.chain_options(chains.base_options(spark.range(4).withColumnRenamed("id", "chart_id")))
+    plan = lambda df: df._jdf.queryExecution().toString()
+    assert "Union" not in plan(reference)
+    sig = chains.semantic_signature(reference)
+    assert "SortMergeJoin" in plan(chains.field_fidelity(sig, sig)) and "Broadcast" not in plan(chains.field_fidelity(sig, sig))
+    # chart 1 has no answer to step 3, chart 2's fifth doesn't render, chart 3's eighth holds no JSON, its second is the option of step 1
+    wrong = reference.where("chart_id = 3 AND step = 1").withColumn("step", F.lit(2).cast("long"))
+    given = reference.where("step > 0 AND NOT (chart_id = 1 AND step = 3) AND NOT (chart_id = 3 AND step = 2)").unionByName(wrong)
+    raw = F.when(F.expr("chart_id = 3 AND step = 8"), "no").otherwise(F.col("option"))
+    answers = given.select("chart_id", "step", raw.alias("raw"), F.expr("IF(chart_id = 2 AND step = 5, CAST(NULL AS BOOLEAN), true)").alias("rendered"))
+    seen = []
+    monkeypatch.setattr(jobs, "settle", lambda df, name: seen.append(df) or writers.settle(df, name))
+    found = jobs.edit_chains(reference, answers)
+    assert len(seen) == 1 and "SortMergeJoin" in plan(seen[0]) and "Broadcast" not in plan(seen[0])
+    assert not any("Join" in plan(df) for df in found.values())
+    ends = {1: 3, 2: 5, 3: 8}
+    got = {(r.chart_id, r.step): (r.render_ok, r.exact_match, r.field_fidelity) for r in found["chain"].collect()}
+    want = {(c, k): (True, True, 1.0) if k < ends.get(c, 11) else (False, False, 0.0) for c in range(4) for k in range(1, 11)}
+    assert got == want | {(3, 2): (True, False, 0.5)}
+    assert dict(values(found["collapse"], "step", "n")) == {"3": 1, "5": 1, "8": 1, "no_hard_crash": 1}
